@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html, lines, mixing, packing, quality, simhash, tokens, warc
+from . import exact_dedup, html, lines, lm, mixing, packing, quality, simhash, tokens, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "begin", "end", "n_words", "first_doc_id", "first_begin")
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.learn_and_score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -64,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_quality, op5_exact_dedup, op6_substring_dedup, op8_token_counts, op9_html_extract, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_quality, op5_exact_dedup, op6_substring_dedup, op7_lm_scoring, op8_token_counts, op9_html_extract, op10_packing, pipeline)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
