@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, staged
 
 CLASSES, IN_CLASS, WIDTH = 32, 32, 16
-LANES, STEPS, ROUNDS, RATE, CLIP = 256, 32, 2, 0.1, 5.0
+LANES, STEPS, ROUNDS, RATE, CLIP = 256, 16, 2, 0.05, 5.0
 BLOCK_BYTES = 12 << 20
 END, RARE = 0, 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -211,7 +211,7 @@ def train_block(p: Weights, seen: Weights, texts: list[np.ndarray]) -> int:
         for name, g in grads.items():
             g = g * scale
             seen[name] += g * g
-            p[name] -= np.float32(RATE) * g / (np.sqrt(seen[name]) + np.float32(1e-4))
+            p[name] -= np.float32(RATE) * g / (np.sqrt(seen[name]) + np.float32(1e-6))
         tokens += n
     return tokens
 
@@ -282,7 +282,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
 
         def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
             first, vocab = given.value
-            p, seen, tokens = {k: v.copy() for k, v in first.items()}, {k: np.full_like(v, 1e-2) for k, v in first.items()}, 0
+            p, seen, tokens = {k: v.copy() for k, v in first.items()}, {k: np.full_like(v, 1e-8) for k, v in first.items()}, 0
             for rows in blocked(batches, 0):
                 tokens += train_block(p, seen, [ids_of(words(t), vocab) for (t,) in rows])
             if tokens:
@@ -351,29 +351,68 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     parts = staged(slim.mapInArrow(run, PARTS), "lm-parts")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            block, docs_, logs, known = map(np.concatenate, zip(*held, strict=True))
+            order = np.lexsort((docs_, block))
+            block, docs_ = block[order], docs_[order]
+            edge = np.nonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (docs_[1:] != docs_[:-1]))))[0]
+            block, docs_, logs, known = block[edge], docs_[edge], np.add.reduceat(logs[order], edge), np.add.reduceat(known[order], edge)
+            cut = np.nonzero(np.concatenate(([True], block[1:] != block[:-1])))[0]
+            packed = [[x[a:z].astype(k).tobytes() for a, z in zip(cut, np.append(cut[1:], len(block)), strict=True)] for x, k in ((docs_, "<u4"), (logs, "<f8"), (known, "<i8"))]
+            return pa.RecordBatch.from_arrays([pa.array(block[cut]), *(pa.array(x, pa.binary()) for x in packed)], ["block", "docs", "rare_logs", "rare_known"])
+
         for b in batches:
             count = b.column(3).to_numpy().astype(np.float64)
             docs_, times = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").astype(np.int64) for i in (1, 2))
             length = pa.compute.binary_length(b.column(1)).to_numpy() // 4
-            block = np.repeat(b.column(0).to_numpy(), length)
-            logs, known = np.repeat(np.log10(count + 1), length) * times, np.repeat(count > 0, length) * times
-            order = np.lexsort((docs_, block))
-            block, docs_ = block[order], docs_[order]
-            edge = np.nonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (docs_[1:] != docs_[:-1]))))[0] if len(block) else np.empty(0, np.int64)
-            if len(edge):
-                yield pa.RecordBatch.from_arrays([pa.array(block[edge]), pa.array(docs_[edge].astype(np.int32)), pa.array(np.add.reduceat(logs[order], edge)), pa.array(np.add.reduceat(known[order], edge))], ["block", "n", "logs", "n_known"])
+            held.append((np.repeat(b.column(0).to_numpy(), length), docs_, np.repeat(np.log10(count + 1), length) * times, np.repeat(count > 0, length) * times))
+            size += len(docs_)
+            if size > 2_000_000:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, logs, known = None, [], np.zeros(0), np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            n = np.array([r[0] for r in rows])
+            width = max(int(n.max()) + 1, len(logs))
+            more, seen = np.append(logs, np.zeros(width - len(logs)))[n], np.append(known, np.zeros(width - len(known), np.int64))[n]
+            cols = list(zip(*rows, strict=True))
+            arrays = [pa.array(c, pa.int64()) for c in cols[1:4]] + [pa.array(np.array(cols[4]) + seen), pa.array(np.array(cols[5]) + more), pa.array(cols[6], pa.float64()), pa.array(more)]
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "n_rare", "n_known", "logs", "ln", "rare_logs"])
+
+        for b in batches:
+            for block, docs_, rare_logs, rare_known, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if block != at:
+                    if rows:
+                        yield out()
+                    at, rows, logs, known = block, [], np.zeros(0), np.zeros(0, np.int64)
+                if docs_ is None:
+                    rows.append(row)
+                else:
+                    places = np.frombuffer(docs_, "<u4")
+                    if places[-1] >= len(logs):
+                        logs, known = (np.append(x, np.zeros(int(places[-1]) + 1 - len(x), x.dtype)) for x in (logs, known))
+                    logs[places] += np.frombuffer(rare_logs, "<f8")
+                    known[places] += np.frombuffer(rare_known, "<i8")
+        if rows:
+            yield out()
 
     rare = parts.filter("word IS NOT NULL").join(counts.filter("word IS NOT NULL").withColumnRenamed("n", "c"), "word", "left")
-    rare = rare.select("block", "docs", "times", F.coalesce("c", F.lit(0)).alias("c")).mapInArrow(sums, "block long, n int, logs double, n_known long")
-    plain = parts.filter("word IS NULL")
+    rare = rare.select("block", "docs", "times", F.coalesce("c", F.lit(0)).alias("c")).mapInArrow(sums, "block long, docs binary, rare_logs binary, rare_known binary")
     none = lambda kind: F.lit(None).cast(kind)
-    together = plain.select("block", "n", "doc_id", "n_tokens", "n_rare", "ln", "logs", "n_known", F.lit(0.0).alias("rare_logs")).unionByName(
-        rare.select("block", "n", none("long").alias("doc_id"), none("long").alias("n_tokens"), none("long").alias("n_rare"), none("double").alias("ln"), "logs", "n_known", F.col("logs").alias("rare_logs"))
-    )
-    whole = together.groupBy("block", "n").agg(*[F.max(c).alias(c) for c in ("doc_id", "n_tokens", "n_rare", "ln")], *[F.sum(c).alias(c) for c in ("logs", "n_known", "rare_logs")])
+    plain = parts.filter("word IS NULL").select("block", *[none("binary").alias(c) for c in ("docs", "rare_logs", "rare_known")], "n", "doc_id", "n_tokens", "n_rare", "n_known", "logs", "ln")
+    own = [none(k).alias(c) for c, k in (("n", "int"), ("doc_id", "long"), ("n_tokens", "long"), ("n_rare", "long"), ("n_known", "long"), ("logs", "double"), ("ln", "double"))]
+    together = plain.unionByName(rare.select("block", "docs", "rare_logs", "rare_known", *own)).repartition("block").sortWithinPartitions("block")
+    whole = together.mapInArrow(merged, "doc_id long, n_tokens long, n_rare long, n_known long, logs double, ln double, rare_logs double")
     base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(model.train_tokens + model.distinct + 1)))
     full = F.col("ln") / F.lit(float(np.log(10))) + F.col("rare_logs") - F.col("n_rare") * F.lit(model.rare_share)
-    return whole.select("doc_id", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), full.alias("score"))
+    return whole.select("doc_id", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), full.alias("score"))
 
 
 def learn_and_score(docs: DataFrame) -> DataFrame:

@@ -57,11 +57,11 @@ def targets(totals: DataFrame, weights=WEIGHTS, most=MOST_REPEATS) -> DataFrame:
 
 
 def _threshold(sized: DataFrame, budgets: DataFrame, nearest: bool) -> DataFrame:
-    """(_source, at, used): the threshold per source up to which hashes take at most ``budget``, and what they take.
+    """(_source, at, used, spill): the threshold per source up to which hashes take at most ``budget``, what they take, and by how much the next one is too long.
 
     ``nearest``: the last bucket is taken too if that comes nearer to the budget.
     """
-    open_at = budgets.select(F.col("source").alias("_source"), F.col("budget").alias("_rest"), F.lit(0).cast("long").alias("_prefix"), F.lit(0).cast("long").alias("used"))
+    open_at = budgets.select(F.col("source").alias("_source"), F.col("budget").alias("_rest"), F.lit(0).cast("long").alias("_prefix"), F.lit(0).cast("long").alias("used"), F.lit(None).cast("double").alias("spill"))
     for level in range(LEVELS):
         last = level == LEVELS - 1
         here = sized.withColumn("_digits", F.shiftrightunsigned("hash", BITS * (LEVELS - 1 - level))).withColumn("_above", F.shiftright("_digits", BITS))
@@ -73,14 +73,16 @@ def _threshold(sized: DataFrame, budgets: DataFrame, nearest: bool) -> DataFrame
         passed = grown.join(bounds, grown["_found"].eqNullSafe(bounds["_source"])).filter(F.col("_upto") > F.col("_rest"))
         before = F.col("_upto") - F.col("_sum")
         over = F.lit(last and nearest) & (F.col("_upto") - F.col("_rest") < F.col("_rest") - before)
-        step = F.struct((F.col("_digits") + over.cast("long")).alias("digits"), F.when(over, F.col("_upto")).otherwise(before).alias("used"))
+        step = F.struct((F.col("_digits") + over.cast("long")).alias("digits"), F.when(over, F.col("_upto")).otherwise(before).alias("used"), (F.col("_upto") - F.col("_rest")).cast("double").alias("spill"))
         first = passed.groupBy("_found").agg(F.min_by(step, F.col("_digits")).alias("at"))
+        if not level:  # a source whose sum stays below its budget is taken whole
+            whole = sums.groupBy(F.col("source").alias("_all")).agg(F.sum("_sum").alias("_total"))
+            open_at = open_at.join(whole, open_at["_source"].eqNullSafe(whole["_all"]), "left").drop("_all")
         following = open_at.join(first, open_at["_source"].eqNullSafe(first["_found"]), "left")
-        # a source whose sum stays below its budget is open to the end
         digits = F.coalesce(F.col("at.digits"), F.shiftleft(F.col("_prefix") + 1, BITS) if level else F.lit(1 << BITS).cast("long"))
-        used = F.coalesce(F.col("at.used"), F.col("_rest") if level else F.lit(None).cast("long"), F.lit(0))
-        open_at = staged(following.select("_source", (F.col("_rest") - used).alias("_rest"), digits.alias("_prefix"), (F.col("used") + used).cast("double").alias("used")), f"mix-level{level}")
-    return open_at.select("_source", F.col("_prefix").alias("at"), "used")
+        used = F.coalesce(F.col("at.used"), F.lit(0) if level else F.col("_total"), F.lit(0))
+        open_at = staged(following.select("_source", (F.col("_rest") - used).alias("_rest"), digits.alias("_prefix"), (F.col("used") + used).cast("double").alias("used"), F.col("at.spill").alias("spill")), f"mix-level{level}")
+    return open_at.select("_source", F.col("_prefix").alias("at"), "used", "spill")
 
 
 def plan(sized: DataFrame, weights=WEIGHTS, most=MOST_REPEATS) -> DataFrame:
@@ -94,11 +96,14 @@ def plan(sized: DataFrame, weights=WEIGHTS, most=MOST_REPEATS) -> DataFrame:
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     aims = staged(aims.withColumn("rounds", rounds.cast("long")).withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size")), "mix-aims")
     first = _threshold(sized, aims, nearest=False)
-    left = staged(aims.join(first, aims["source"].eqNullSafe(first["_source"])).select("source", "source_size", "target", "rounds", F.col("at").alias("below"), (F.col("budget") - F.col("used")).alias("budget")), "mix-left")
+    left = staged(aims.join(first, aims["source"].eqNullSafe(first["_source"])).select("source", "source_size", "target", "rounds", F.col("at").alias("below"), (F.col("budget") - F.col("used")).alias("budget"), "spill"), "mix-left")
     bounds = small_or_plain(left.select(F.col("source").alias("_source"), "below", "budget"), BROADCAST_SOURCES)
     shorter = sized.join(bounds, sized["source"].eqNullSafe(bounds["_source"])).filter("hash >= below AND size <= budget").select("source", "size", "hash")
     second = _threshold(shorter, left, nearest=True)
-    return staged(left.join(second, left["source"].eqNullSafe(second["_source"])).select("source", "source_size", "target", "rounds", "below", F.col("at").alias("upto"), F.col("budget").alias("fits")), "mix-plan")
+    second = second.select("_source", F.col("at").alias("upto"), F.col("used").alias("filled"))
+    nearer = F.coalesce(F.col("spill") < F.abs(F.col("budget") - F.col("filled")), F.lit(False))  # the document at the border comes nearer than the filling
+    columns = [(F.col("below") + nearer.cast("long")).alias("below"), F.when(nearer, F.lit(0).cast("long")).otherwise(F.col("upto")).alias("upto"), F.col("budget").alias("fits")]
+    return staged(left.join(second, left["source"].eqNullSafe(second["_source"])).select("source", "source_size", "target", "rounds", *columns), "mix-plan")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -111,7 +116,7 @@ def with_takes(sized: DataFrame, thresholds: DataFrame) -> DataFrame:
     bounds = small_or_plain(thresholds.withColumnRenamed("source", "_source"), BROADCAST_SOURCES)
     more = (F.col("hash") < F.col("below")) | ((F.col("hash") < F.col("upto")) & (F.col("size") <= F.col("fits")))
     joined = sized.join(bounds, sized["source"].eqNullSafe(bounds["_source"]), "left")
-    return joined.withColumn("takes", F.col("rounds") + (more & (F.col("source_size") > 0)).cast("long")).drop("_source", "rounds", "below", "upto", "fits", "hash")
+    return joined.withColumn("takes", F.col("rounds") + (more & (F.col("target") > F.col("rounds") * F.col("source_size"))).cast("long")).drop("_source", "rounds", "below", "upto", "fits", "hash")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most=MOST_REPEATS) -> DataFrame:
