@@ -122,55 +122,97 @@ def blocks(path: str, block_bytes: int = BLOCK_BYTES, common: int = COMMON):
     return run
 
 
+SUMS = "block long, n int, doc_id long, n_bytes long, tokens long, docs binary, worth binary"
+#: So many (document, pieces) pairs are summed up at once.
+PAIRS = 2_000_000
+
+
+def summed(block: np.ndarray, docs: np.ndarray, worth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums by block and document, sorted by them."""
+    order = np.lexsort((docs, block))
+    block, docs, worth = block[order], docs[order], worth[order]
+    edge = np.nonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (docs[1:] != docs[:-1]))))[0]
+    return block[edge], docs[edge], np.add.reduceat(worth, edge)
+
+
 def sums(path: str):
-    """Rows sorted by pre-token: counts each distinct one, and gives one row of sums a block; document rows pass."""
+    """Rows sorted by pre-token: counts each distinct one, and gives a row of sums for each block; document rows pass."""
+    names = [c.split()[0] for c in SUMS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, found = counter(path), {}
+        count, held, size = counter(path), [], 0
         last, last_pieces = None, 0
         for b in batches:
             plain = b.column(0).is_null()
             if (docs := b.filter(plain)).num_rows:
-                yield pa.RecordBatch.from_arrays([docs.column(1), docs.column(7), docs.column(4), docs.column(5), docs.column(6)], ["block", "n", "doc_id", "n_bytes", "tokens"])
+                none = pa.nulls(docs.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([docs.column(1), docs.column(7), docs.column(4), docs.column(5), docs.column(6), none, none], names)
             b = b.filter(b.column(0).is_valid())
             if not b.num_rows:
                 continue
             coded = b.column(0).dictionary_encode()
             terms = coded.dictionary.to_pylist()
-            pieces = np.array(count([" " + x for x in terms if x != last] or []) if last not in terms else [last_pieces, *count([" " + x for x in terms[1:]])], np.int64)
+            again = terms[0] == last  # a pre-token that goes on from the batch before
+            pieces = np.array(([last_pieces] if again else []) + count([" " + x for x in terms[again:]]), np.int64)
             last, last_pieces = terms[-1], int(pieces[-1])
             each = pieces[coded.indices.to_numpy()]
             docs, times = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").astype(np.int64) for i in (2, 3))
             lengths = pa.compute.binary_length(b.column(2)).to_numpy() // 4
-            worth, block = np.repeat(each, lengths) * times, np.repeat(b.column(1).to_numpy(), lengths)
-            order = np.lexsort((docs, block))
-            block, docs, worth = block[order], docs[order], worth[order]
-            edge = np.nonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (docs[1:] != docs[:-1]))))[0]
-            worth = np.add.reduceat(worth, edge)
-            found.setdefault("at", []).append(np.stack((block[edge], docs[edge], worth)))
-            if sum(x.shape[1] for x in found["at"]) > 2_000_000:
-                yield from flush(found.pop("at"))
-        if "at" in found:
-            yield from flush(found.pop("at"))
-
-    def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        block, docs, worth = np.concatenate(parts, axis=1)
-        order = np.lexsort((docs, block))
-        block, docs, worth = block[order], docs[order], worth[order]
-        edge = np.nonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (docs[1:] != docs[:-1]))))[0]
-        worth = np.add.reduceat(worth, edge)
-        for a in range(0, len(edge), 100_000):
-            e = edge[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(block[e]), pa.array(docs[e].astype(np.int32)), pa.nulls(len(e), pa.int64()), pa.nulls(len(e), pa.int64()), pa.array(worth[a : a + 100_000])], ["block", "n", "doc_id", "n_bytes", "tokens"])
+            held.append(summed(np.repeat(b.column(1).to_numpy(), lengths), docs, np.repeat(each, lengths) * times))
+            size += len(held[-1][0])
+            if size > PAIRS:
+                held = [summed(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > PAIRS // 2:
+                    yield flush(held[0])
+                    held, size = [], 0
+        if held:
+            yield flush(summed(*map(np.concatenate, zip(*held, strict=True))))
+
+    def flush(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        block, docs, worth = found
+        edge = np.nonzero(np.concatenate(([True], block[1:] != block[:-1])))[0]
+        ends = np.append(edge[1:], len(block))
+        packed = [pa.array([x[a:z].astype("<i8" if k else "<u4").tobytes() for a, z in zip(edge, ends, strict=True)], pa.binary()) for k, x in enumerate((docs, worth))]
+        none = [pa.nulls(len(edge), k) for k in (pa.int32(), pa.int64(), pa.int64(), pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(block[edge]), *none, *packed], names)
 
     return run
 
 
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block: each document with its sum."""
+    block, total, rows = None, np.zeros(0, np.int64), []
+
+    def out() -> pa.RecordBatch:
+        n = np.array([r[0] for r in rows], np.int64)
+        tokens = np.array([r[3] for r in rows], np.int64)
+        inside = n < len(total)
+        tokens[inside] += total[n[inside]]
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array(tokens)], ["doc_id", "n_bytes", "n_tokens"])
+
+    for b in batches:
+        for at, n, doc_id, n_bytes, tokens, docs, worth in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if at != block:
+                if rows:
+                    yield out()
+                block, total, rows = at, np.zeros(0, np.int64), []
+            if docs is None:
+                rows.append((n, doc_id, n_bytes, tokens))
+            else:
+                places = np.frombuffer(docs, "<u4")
+                if places[-1] >= len(total):
+                    total = np.append(total, np.zeros(int(places[-1]) + 1 - len(total), np.int64))
+                total[places] += np.frombuffer(worth, "<i8")
+    if rows:
+        yield out()
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, block_bytes: int = BLOCK_BYTES, common: int = COMMON) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document, for the tokenizer file at ``path``."""
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     parts = slim.mapInArrow(blocks(path, block_bytes, common), PARTS)
     dealt = parts.repartition(F.coalesce("term", F.concat("block", F.lit(" "), "n"))).sortWithinPartitions("term")
-    found = dealt.mapInArrow(sums(path), "block long, n int, doc_id long, n_bytes long, tokens long")
-    whole = found.groupBy("block", "n").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
+    found = dealt.mapInArrow(sums(path), SUMS)
+    whole = found.repartition("block").sortWithinPartitions("block").mapInArrow(merged, "doc_id long, n_bytes long, n_tokens long")
     return whole.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
