@@ -57,7 +57,7 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
     """Every document's group: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = recipes(docs, digest)
     first = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("_first"), F.count("*").alias("group_size"))
-    joined = rows.join(first, "recipe")
+    joined = rows.join(staged(first, "recipe-groups"), "recipe")  # read from a table, so that Spark splits a recipe's rows if they are many
     return joined.select("doc_id", F.col("_first.doc_id").alias("keep_id"), "group_size", (F.col("_first.row") == F.col("row")).alias("kept"), "text_sha256")
 
 
