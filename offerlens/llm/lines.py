@@ -64,6 +64,7 @@ def repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     found = listed(docs, least_words)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "begin")
     first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = staged(first, "first-units")  # read from a table, so that Spark splits a digest's units if they are many
     again = found.join(first, "digest").filter((F.col("row") != F.col("first.row")) | (F.col("begin") != F.col("first.begin")))
     return again.select("doc_id", "row", "begin", "end", "n_words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.begin").alias("first_begin"))
 

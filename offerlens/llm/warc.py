@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, staged
 
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -91,6 +91,7 @@ def with_revisits(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
     p = p.withColumn("key", F.unhex(F.sha2("payload", 256)))
     shared = p.filter(F.length("payload") >= least_revisit).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    shared = staged(shared, "shared-payloads")  # read from a table, so that Spark splits a payload's pages if they are many
     return p.join(shared, "key", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
 
 
