@@ -150,7 +150,7 @@ def retryable(status: Column) -> Column:
 
 def bot_challenge(status: Column, headers: Column) -> Column:
     """Whether a reply is a bot challenge, by its status and headers."""
-    value = lambda name: F.element_at(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name), 1)["value"]
+    value = lambda name: F.get(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name), F.lit(0))["value"]
     return F.coalesce(F.lower(value("x-vercel-mitigated")) == "challenge", F.lit(False)) | F.coalesce((status == 429) & value("x-vercel-challenge-token").isNotNull(), F.lit(False))
 
 

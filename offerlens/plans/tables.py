@@ -14,7 +14,7 @@ SELECT cast(l_partkey AS string) AS product_id, concat('src', cast(l_suppkey % 7
   l_orderkey * 100000 + l_linenumber * 10000 + l_suppkey AS seq
 FROM lineitem""",
     "titles": """
-SELECT concat('q', cast(p_partkey % 97 AS string)) AS query_id, p_partkey AS arrival, cast(p_partkey AS string) AS id, concat('src', cast(p_partkey % 7 AS string)) AS source,
+SELECT concat('q', cast(cast(floor(p_partkey / 50) AS bigint) AS string)) AS query_id, p_partkey AS arrival, cast(p_partkey AS string) AS id, concat('src', cast(p_partkey % 7 AS string)) AS source,
   concat(CASE WHEN p_partkey % 3 = 0 THEN 'Samsung ' WHEN p_partkey % 3 = 1 THEN 'Näyttö ' ELSE 'ASUS ' END, p_name,
     CASE p_partkey % 5 WHEN 0 THEN ' 990 PRO' WHEN 1 THEN ' RTX 4070 Ti' WHEN 2 THEN ' i5-13600K' WHEN 3 THEN ' SN850X M.2 2280 x4' ELSE ' U80' END,
     ' ', cast(p_size AS string), CASE p_partkey % 4 WHEN 0 THEN ' Tt' WHEN 1 THEN '" televisio' WHEN 2 THEN '00GB' ELSE ' tuuman' END,
