@@ -26,6 +26,8 @@ _CANON = (
 )
 #: An inch mark after a digit becomes the word; a second pass covers marks in a row.
 _EXPAND = """regexp_replace(regexp_replace({}, '([0-9])["”″]', '\\1inch', 'g'), 'inch["”″]', 'inchinch', 'g')"""
+_GTIN = """CASE WHEN gb IS NOT NULL AND (10 - list_sum(list_transform(range(1, length(gb)), lambda i: substr(gb, i, 1)::INT * CASE WHEN (length(gb) - i) % 2 = 1 THEN 3 ELSE 1 END))::INT % 10) % 10 = right(gb, 1)::INT
+    AND NOT (left(repeat(left(gb, 1), 13), length(gb) - 1) = left(gb, length(gb) - 1) OR left(repeat(left(gb, 2), 13), length(gb) - 1) = left(gb, length(gb) - 1) OR left(repeat(left(gb, 3), 13), length(gb) - 1) = left(gb, length(gb) - 1)) THEN gb END"""
 _SIGNED = (
     _TITLES_EAN
     + f""", expanded AS (SELECT *, {_EXPAND.format(_FOLD.format("name"))} AS e FROM listings),
@@ -36,8 +38,7 @@ sets AS (SELECT *, list_sort(list_distinct(list_filter(list_transform(toks, lamb
   list_sort(list_distinct(list_concat(list_filter(toks, lambda t: t IN ({_in(T.LINE_QUALIFIERS)})), CASE WHEN regexp_matches(e, '{T.HEATSINK}') AND NOT regexp_matches(e, 'ilman |without ') THEN ['heatsink'] ELSE [] END))) AS qualifiers FROM tokened),
 gtins AS (SELECT *, regexp_replace(ean, '[^0-9]', '', 'g') AS gd FROM sets),
 bodies AS (SELECT *, CASE length(gd) WHEN 8 THEN gd WHEN 12 THEN concat('0', gd) WHEN 13 THEN gd WHEN 14 THEN substr(gd, 2) END AS gb FROM gtins),
-signed AS (SELECT *, CASE WHEN gb IS NOT NULL AND (10 - list_sum(list_transform(range(1, length(gb)), lambda i: substr(gb, i, 1)::INT * CASE WHEN (length(gb) - i) % 2 = 1 THEN 3 ELSE 1 END))::INT % 10) % 10 = right(gb, 1)::INT
-    AND NOT (left(repeat(left(gb, 1), 13), length(gb) - 1) = left(gb, length(gb) - 1) OR left(repeat(left(gb, 2), 13), length(gb) - 1) = left(gb, length(gb) - 1) OR left(repeat(left(gb, 3), 13), length(gb) - 1) = left(gb, length(gb) - 1)) THEN gb END AS ean_key,
+signed AS (SELECT *, {_GTIN} AS ean_key,
   CASE WHEN length(regexp_replace({_FOLD.format("sku")}, '[^a-z0-9]', '', 'g')) >= 4 THEN regexp_replace({_FOLD.format("sku")}, '[^a-z0-9]', '', 'g') END AS sku_key,
   coalesce(nullif(trim(regexp_replace({_FOLD.format("brand")}, '[^a-z0-9 ]', '', 'g')), ''), CASE WHEN regexp_matches(toks[1], '^[a-z][a-z][a-z]+$') THEN toks[1] END) AS brand_key,
   CASE WHEN len(list_filter(toks, lambda t: t IN ({_in(T.SERVICE_WORDS)}) OR regexp_matches(t, '{"|".join(T.SERVICE_STEMS)}'))) > 0 THEN 'service'
@@ -105,7 +106,11 @@ SELECT product_id, source, k.q AS seq, k.p AS price_euro, k.s AS in_stock FROM (
     "filter_inches": f"{_SIGNED} SELECT id FROM signed WHERE screen_inches BETWEEN 20 AND 40",
     "filter_noop": f"{_TITLES} SELECT id FROM titles",
     "filter_dropped_count": f"{_SIGNED} SELECT count(*) FILTER (WHERE ok) AS kept, count(*) FILTER (WHERE NOT ok) AS dropped FROM (SELECT coalesce(price_euro <= 1000 AND in_stock AND screen_inches >= 10, false) AS ok FROM signed)",
-    "gtin_normalize": f"{_SIGNED.replace('regexp_replace(ean, ', 'regexp_replace(ean, ')} SELECT id, ean, ean_key AS gtin, NULL::VARCHAR AS gtin_other FROM signed",
+    "gtin_normalize": f"""{_TITLES_EAN}, raws AS (SELECT id, ean, ean AS raw, 'a' AS k FROM listings UNION ALL SELECT id, ean, CASE WHEN arrival % 2 = 0 THEN substr(ean, 2, 12) ELSE '1' || ean END, 'b' FROM listings),
+gtins AS (SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS gd FROM raws),
+bodies AS (SELECT *, CASE length(gd) WHEN 8 THEN gd WHEN 12 THEN concat('0', gd) WHEN 13 THEN gd WHEN 14 THEN substr(gd, 2) END AS gb FROM gtins),
+held AS (SELECT *, {_GTIN} AS g FROM bodies) SELECT id, any_value(ean) AS ean, max(CASE WHEN k = 'a' THEN g END) AS gtin, max(CASE WHEN k = 'b' THEN g END) AS gtin_other FROM held GROUP BY id""",
+    "url_encode": f"{_TITLES} SELECT id, replace(url_encode(name), '%20', '+') AS encoded FROM titles",
     "blocking_candidates": f"{_SIGNED} SELECT a.query_id, a.arrival AS a, b.arrival AS b {_BOTH} AND {_SHARED}",
     "pair_scores": f"{_SCORES} SELECT * FROM scores WHERE score IS NOT NULL",
     "parse_price": f"{_PRICES} SELECT seq, {_NUMBER} AS price_euro FROM (SELECT seq, regexp_replace(raw_price, '[^0-9.,]', '', 'g') AS k FROM prices)",
@@ -126,4 +131,3 @@ SELECT query_id, arrival, coalesce(ean, CASE WHEN d AND page THEN 'e' || id END)
     "page_titles": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages",
     "refresh_outcome": f"{common('actions', 'offers')}{_LATEST}{_TRACKED} SELECT count(*) AS total, count(price_euro) AS updated, count(*) - count(price_euro) AS errors FROM tracked LEFT JOIN latest USING (product_id, source)",
 }
-del SQL["gtin_normalize"]
