@@ -28,6 +28,9 @@ def whole_text(docs: DataFrame, name: str = "text") -> Column:
     return F.coalesce(docs[name].cast("string"), F.lit(""))
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names, which driver and executors share.
 
@@ -35,8 +38,9 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+        base = _own[0]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 

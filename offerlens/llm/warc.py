@@ -12,7 +12,7 @@ so a payload that a third of all pages share is no large group.
 Files come from ``pyarrow.fs`` (local, s3, gs, hdfs). A task names its files after itself and its attempt; only files that
 the committed index names count, so lost executors and repeated attempts leave no wrong records.
 
-Defined results: a null html is an empty payload; a null url is left out of the record and read as null; among rows that
+Defined results: a null html is an empty payload; a null url is left out of the record and read as null (line breaks in one are percent-encoded); among rows that
 repeat with the same ``page_id`` and payload all are of one type (responses if theirs is the smallest id); a null ``page_id``
 revisits the smallest id of its payload, or is a response if all are null; an empty table gives an empty index.
 Extra columns of ``pages`` are ignored.
