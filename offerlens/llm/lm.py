@@ -17,7 +17,6 @@ Defined results: a null or wordless text is its end alone; rows that repeat are
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,17 +30,17 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, staged
 
 CLASSES, IN_CLASS, WIDTH = 32, 32, 16
-LANES, STEPS, ROUNDS, RATE, CLIP = 256, 16, 2, 0.05, 5.0
+LANES, STEPS, ROUNDS, RATE, CLIP = 512, 32, 2, 0.05, 5.0
 BLOCK_BYTES = 12 << 20
 END, RARE = 0, 1
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 Weights = dict[str, np.ndarray]
 
 
 def words(text: str | None) -> list[bytes]:
-    return WORD.findall((text or "").encode().translate(TO_LOWER))
+    """Lower-cased words; the white space of bytes is just the six characters that part words."""
+    return (text or "").encode().translate(TO_LOWER).split()
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -71,24 +70,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    e = np.exp(np.minimum(x, 60))  # logits of a clipped, small model; sums over short rows are quicker as products
+    return x - np.log(e @ np.ones((x.shape[1], 1), e.dtype))
 
 
 def forward(p: Weights, inputs: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-    """States (steps, lanes, width) over a window, and what backpropagation needs; ``keep`` is 0 where a text begins."""
-    k, states, trail = WIDTH, [], []
-    gx = p["embed"][inputs] @ p["w"] + p["b"]
+    """States (steps, lanes, width) over a window, and what backpropagation needs; ``keep`` is 0 where a text begins.
+
+    Within, lanes stand last, so that the gates are contiguous rows.
+    """
+    k, trail = WIDTH, []
+    states = np.empty((len(inputs), inputs.shape[1], k), h.dtype)
+    w, u, b, h = np.ascontiguousarray(p["w"].T), np.ascontiguousarray(p["u"].T), p["b"][:, None], h.T
+    x = p["embed"][inputs]
     for t in range(len(inputs)):
-        h = h * keep[t][:, None]
-        gh = h @ p["u"]
-        rz = _sigmoid(gx[t, :, : 2 * k] + gh[:, : 2 * k])
-        r, z = rz[:, :k], rz[:, k:]
-        n = np.tanh(gx[t, :, 2 * k :] + r * gh[:, 2 * k :])
-        trail.append((h, gh[:, 2 * k :], r, z, n))
+        h = h * keep[t]
+        g, gh = w @ x[t].T, u @ h
+        g += b
+        g[: 2 * k] += gh[: 2 * k]
+        rz = _sigmoid(g[: 2 * k])
+        r, z, un = rz[:k], rz[k:], gh[2 * k :]
+        n = np.tanh(g[2 * k :] + r * un)
+        trail.append((h, un, r, z, n))
         h = n + z * (h - n)
-        states.append(h)
-    return np.stack(states), trail
+        states[t] = h.T
+    return states, trail
 
 
 def log_probabilities(p: Weights, states: np.ndarray, targets: np.ndarray, back: bool = False):
@@ -126,19 +132,21 @@ def log_probabilities(p: Weights, states: np.ndarray, targets: np.ndarray, back:
 
 def backward(p: Weights, inputs: np.ndarray, keep: np.ndarray, trail: list, gs: np.ndarray) -> Weights:
     """Gradients of the recurrent part over one window; ``gs`` are the states' own gradients."""
-    k = WIDTH
-    gh, ggx = np.zeros_like(gs[0]), np.empty((*inputs.shape, 3 * k), np.float32)
-    gu = np.zeros_like(p["u"])
+    k, u = WIDTH, p["u"]
+    gh, ggx = np.zeros_like(gs[0]).T, np.empty((*inputs.shape, 3 * k), gs.dtype)
+    gu = np.zeros_like(u)
     for t in range(len(inputs) - 1, -1, -1):
         h, un, r, z, n = trail[t]
-        gh = gh + gs[t]
+        gh = gh + gs[t].T
+        both = np.empty((3 * k, gh.shape[1]), gh.dtype)
         gn = gh * (1 - z) * (1 - n * n)
-        gz = gh * (h - n) * z * (1 - z)
-        gr = gn * un * r * (1 - r)
-        ggx[t] = np.concatenate((gr, gz, gn), axis=1)
-        ggh = np.concatenate((gr, gz, gn * r), axis=1)
-        gu += h.T @ ggh
-        gh = (gh * z + ggh @ p["u"].T) * keep[t][:, None]
+        both[:k] = gn * un * r * (1 - r)
+        both[k : 2 * k] = gh * (h - n) * z * (1 - z)
+        both[2 * k :] = gn
+        ggx[t] = both.T
+        both[2 * k :] *= r
+        gu += h @ both.T
+        gh = (gh * z + u @ both) * keep[t]
     flat = ggx.reshape(-1, 3 * k)
     x = p["embed"][inputs].reshape(-1, k)
     gx, embed = flat @ p["w"].T, np.zeros_like(p["embed"])
@@ -259,9 +267,23 @@ def count_words(docs: DataFrame) -> DataFrame:
     return staged(partial.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
-def ids_of(found: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
-    get = vocabulary.get
-    return np.array([*[get(w, RARE) for w in found], END], np.int32)
+def encoded(texts: list[str | None], vocabulary: dict[bytes, int]) -> tuple[list[np.ndarray], pa.Array, np.ndarray, np.ndarray]:
+    """A block's texts as ids; its distinct words, each word's place among them, and how many words each text has."""
+    found, sizes = [], np.empty(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        own = words(t)
+        sizes[i] = len(own)
+        found += own
+    coded = pa.array(found, pa.large_binary()).dictionary_encode()
+    del found
+    codes, distinct = coded.indices.to_numpy(), coded.dictionary
+    of_word = np.array([vocabulary.get(w, RARE) for w in distinct.to_pylist()], np.int32)
+    ids = np.full(len(codes) + len(texts), END, np.int32)
+    ends = np.cumsum(sizes + 1)
+    inside = np.ones(len(ids), bool)
+    inside[ends - 1] = False
+    ids[inside] = of_word[codes] if len(codes) else 0
+    return np.split(ids, ends[:-1]), distinct, codes, sizes
 
 
 def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -284,7 +306,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
             first, vocab = given.value
             p, seen, tokens = {k: v.copy() for k, v in first.items()}, {k: np.full_like(v, 1e-8) for k, v in first.items()}, 0
             for rows in blocked(batches, 0):
-                tokens += train_block(p, seen, [ids_of(words(t), vocab) for (t,) in rows])
+                tokens += train_block(p, seen, encoded([t for (t,) in rows], vocab)[0])
             if tokens:
                 flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float64) * tokens
                 for a in range(0, len(flat), 10_000):
@@ -321,30 +343,29 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, number = given.value, TaskContext.get().partitionId() << 32
         for rows in blocked(batches, 1):
-            texts, rare, sizes = [], [], []
-            for _, text in rows:
-                found = words(text)
-                ids = ids_of(found, m.vocabulary)
-                gone = [found[i] for i in np.nonzero(ids == RARE)[0]]
-                rare += gone
-                sizes.append(len(gone))
-                texts.append(ids)
+            texts, distinct, codes, sizes = encoded([t for _, t in rows], m.vocabulary)
+            rare = np.concatenate(texts)
+            inside = np.ones(len(rare), bool)
+            inside[np.cumsum(sizes + 1) - 1] = False
+            rare = rare[inside] == RARE
+            doc = np.repeat(np.arange(len(rows)), sizes)[rare]
+            codes = codes[rare].astype(np.int64)
+            sizes = np.bincount(doc, minlength=len(rows))
             ln = score_block(m.weights, texts)
             yield batch(
                 len(rows), block=np.full(len(rows), number), n=np.arange(len(rows), dtype=np.int32), doc_id=[i for i, _ in rows], n_tokens=np.array([len(x) for x in texts]),
                 n_known=np.array([int(m.known[x[x != RARE]].sum()) for x in texts]), n_rare=np.array(sizes), logs=np.array([float(m.log_counts[x].sum()) for x in texts]), ln=ln,
             )
-            coded = pa.array(rare, pa.large_binary()).dictionary_encode()
-            pair = coded.indices.to_numpy().astype(np.int64) * len(rows) + np.repeat(np.arange(len(rows)), sizes)
-            pair, times = np.unique(pair, return_counts=True)
+            pair, times = np.unique(codes * len(rows) + doc, return_counts=True)
             word, doc = np.divmod(pair, len(rows))
-            edge = np.searchsorted(word, np.arange(len(coded.dictionary) + 1))
-            for a in range(0, len(coded.dictionary), 50_000):
-                z = min(a + 50_000, len(coded.dictionary))
+            found = np.nonzero(np.concatenate(([True], word[1:] != word[:-1])))[0] if len(word) else np.empty(0, np.int64)
+            distinct, edge = distinct.take(pa.array(word[found])), np.append(found, len(word))
+            for a in range(0, len(distinct), 50_000):
+                z = min(a + 50_000, len(distinct))
                 lo, hi = edge[a], edge[z]
                 cut = pa.array(((edge[a : z + 1] - lo) * 4).astype(np.int32))
                 packed = [pa.Array.from_buffers(pa.binary(), z - a, [None, cut.buffers()[1], pa.py_buffer(x[lo:hi].astype("<u4").tobytes())]) for x in (doc, times)]
-                yield batch(z - a, word=coded.dictionary.slice(a, z - a).cast(pa.binary()), block=np.full(z - a, number), docs=packed[0], times=packed[1])
+                yield batch(z - a, word=distinct.slice(a, z - a).cast(pa.binary()), block=np.full(z - a, number), docs=packed[0], times=packed[1])
             number += 1
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
