@@ -36,7 +36,7 @@ FROM orders""",
     "prices": """
 SELECT l_orderkey * 100000 + l_linenumber * 10000 + l_suppkey AS seq,
   CASE l_linenumber % 7 WHEN 0 THEN concat(cast(cast(floor(l_extendedprice) AS bigint) AS string), ',-') WHEN 1 THEN concat(cast(cast(floor(l_quantity) AS bigint) AS string), ' 299,90 €') WHEN 2 THEN concat('1.', lpad(cast(l_orderkey % 1000 AS string), 3, '0'))
-    WHEN 3 THEN concat('1,', lpad(cast(l_orderkey % 1000 AS string), 3, '0'), '.50') WHEN 4 THEN concat('alk. ', cast(cast(floor(l_quantity) AS bigint) AS string), ',5') WHEN 5 THEN 'ei hintaa' ELSE cast(cast(floor(l_extendedprice) AS bigint) AS string) END AS raw_price,
+    WHEN 3 THEN concat('1,', lpad(cast(l_orderkey % 1000 AS string), 3, '0'), '.50') WHEN 4 THEN concat('alk. ', cast(cast(floor(l_quantity) AS bigint) AS string), ',5') WHEN 5 THEN 'ei tiedossa' ELSE cast(cast(floor(l_extendedprice) AS bigint) AS string) END AS raw_price,
   CASE l_suppkey % 9 WHEN 0 THEN 'Varastossa' WHEN 1 THEN 'Heti toimitukseen' WHEN 2 THEN 'Ei varastossa' WHEN 3 THEN 'Tilapäisesti loppu' WHEN 4 THEN 'Saatavilla toimittajalta' WHEN 5 THEN '???' WHEN 6 THEN ' ' WHEN 7 THEN 'Out of Stock' ELSE 'In stock' END AS raw_stock,
   CASE l_partkey % 5 WHEN 0 THEN '//cdn.example.org/i.jpg' WHEN 1 THEN '/a/b' WHEN 2 THEN 'c?d=1' WHEN 3 THEN ' https://example.org/x ' ELSE 'http://example.org' END AS href
 FROM lineitem""",

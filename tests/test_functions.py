@@ -15,7 +15,7 @@ def values(spark, rows, column, kind="string"):
 
 
 def test_prices(spark):
-    cases = {"1 299,00 €": 1299.0, "459,90 €": 459.9, "1.299,00": 1299.0, "899,-": 899.0, "\xa079,95\xa0€": 79.95, "1299.00": 1299.0, "1,299.00": 1299.0, "59.99": 59.99, "1.299": 1299.0, "2.499": 2499.0, "1,299": 1299.0, "459,9": 459.9, "12,50": 12.5, "": None, "ei hintaa": None, "€": None, "1.299.00": 1299.0}
+    cases = {"1 299,00 €": 1299.0, "459,90 €": 459.9, "1.299,00": 1299.0, "899,-": 899.0, "\xa079,95\xa0€": 79.95, "1299.00": 1299.0, "1,299.00": 1299.0, "59.99": 59.99, "1.299": 1299.0, "2.499": 2499.0, "1,299": 1299.0, "459,9": 459.9, "12,50": 12.5, "": None, "ei tiedossa": None, "€": None, "1.299.00": 1299.0}
     assert values(spark, list(cases), S.price(F.col("x"))) == list(cases.values())
 
 
