@@ -17,9 +17,11 @@ Defined results: a null or wordless text is its end alone; rows that repeat are
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,13 +67,11 @@ def start(counts: np.ndarray, seed: int = 1) -> Weights:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(np.minimum(x, 60))  # logits of a clipped, small model; sums over short rows are quicker as products
-    return x - np.log(e @ np.ones((x.shape[1], 1), e.dtype))
+def _exponents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of logits, which are cut at 60 in place, and its sums by row (over short rows they are quicker as products)."""
+    np.minimum(x, 60, out=x)
+    e = np.exp(x)
+    return e, e @ np.ones(x.shape[1], e.dtype)
 
 
 def forward(p: Weights, inputs: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
@@ -81,46 +81,62 @@ def forward(p: Weights, inputs: np.ndarray, keep: np.ndarray, h: np.ndarray) ->
     """
     k, trail = WIDTH, []
     states = np.empty((len(inputs), inputs.shape[1], k), h.dtype)
-    w, u, b, h = np.ascontiguousarray(p["w"].T), np.ascontiguousarray(p["u"].T), p["b"][:, None], h.T
-    x = p["embed"][inputs]
+    sign = np.where(np.arange(3 * k) < 2 * k, -1, 1).astype(h.dtype)[:, None]  # of the gates r and z, for exp(-x)
+    w, u, h = np.concatenate((p["w"], p["b"][None])).T * sign, p["u"].T * sign, h.T.copy()
+    x = np.concatenate((p["embed"], np.ones((len(p["embed"]), 1), h.dtype)), axis=1)[inputs]
     for t in range(len(inputs)):
-        h = h * keep[t]
+        h[:, keep[t] == 0] = 0
         g, gh = w @ x[t].T, u @ h
-        g += b
-        g[: 2 * k] += gh[: 2 * k]
-        rz = _sigmoid(g[: 2 * k])
-        r, z, un = rz[:k], rz[k:], gh[2 * k :]
-        n = np.tanh(g[2 * k :] + r * un)
+        rz, un, n = g[: 2 * k], gh[2 * k :], g[2 * k :]
+        rz += gh[: 2 * k]
+        np.minimum(rz, 60, out=rz)
+        np.exp(rz, out=rz)
+        rz += 1
+        np.reciprocal(rz, out=rz)
+        r, z = rz[:k], rz[k:]
+        n += r * un
+        n *= 2
+        np.minimum(n, 60, out=n)
+        np.exp(n, out=n)  # tanh(x) = 1 - 2 / (exp(2x) + 1), which is quicker here
+        n += 1
+        np.divide(-2, n, out=n)
+        n += 1
         trail.append((h, un, r, z, n))
-        h = n + z * (h - n)
+        h = h - n
+        h *= z
+        h += n
         states[t] = h.T
     return states, trail
 
 
 def log_probabilities(p: Weights, states: np.ndarray, targets: np.ndarray, back: bool = False):
     """log P of targets (n) after states (n, width); with ``back`` also the gradients of their negative sum."""
-    order = np.argsort(targets // IN_CLASS, kind="stable")
+    order = np.argsort((targets // IN_CLASS).astype(np.uint8), kind="stable")
     x, target = states[order], targets[order]
     of_class, place = target // IN_CLASS, target % IN_CLASS
-    lc = _log_softmax(x @ p["wc"] + p["bc"])
     row = np.arange(len(x))
-    logp = lc[row, of_class]
+    logits = x @ p["wc"]
+    logits += p["bc"]
+    e, total = _exponents(logits)
+    logp = logits[row, of_class] - np.log(total)
     edges = np.searchsorted(of_class, np.arange(CLASSES + 1))
     if back:
-        gc = np.exp(lc)
-        gc[row, of_class] -= 1
-        grads = {"wc": x.T @ gc, "bc": gc.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-        gx = gc @ p["wc"].T
+        e /= total[:, None]
+        e[row, of_class] -= 1
+        grads = {"wc": x.T @ e, "bc": e.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
+        gx = e @ p["wc"].T
     for c in range(CLASSES):
         a, z = edges[c], edges[c + 1]
         if a < z:
-            lw = _log_softmax(x[a:z] @ p["ww"][c] + p["bw"][c])
-            logp[a:z] += lw[np.arange(z - a), place[a:z]]
+            logits = x[a:z] @ p["ww"][c]
+            logits += p["bw"][c]
+            e, total = _exponents(logits)
+            logp[a:z] += logits[row[: z - a], place[a:z]] - np.log(total)
             if back:
-                gw = np.exp(lw)
-                gw[np.arange(z - a), place[a:z]] -= 1
-                grads["ww"][c], grads["bw"][c] = x[a:z].T @ gw, gw.sum(axis=0)
-                gx[a:z] += gw @ p["ww"][c].T
+                e /= total[:, None]
+                e[row[: z - a], place[a:z]] -= 1
+                grads["ww"][c], grads["bw"][c] = x[a:z].T @ e, e.sum(axis=0)
+                gx[a:z] += e @ p["ww"][c].T
     out = np.empty(len(x), np.float32)
     out[order] = logp
     if not back:
@@ -151,50 +167,51 @@ def backward(p: Weights, inputs: np.ndarray, keep: np.ndarray, trail: list, gs:
     x = p["embed"][inputs].reshape(-1, k)
     gx, embed = flat @ p["w"].T, np.zeros_like(p["embed"])
     ids = inputs.ravel()
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
     first = np.nonzero(np.concatenate(([True], np.diff(ids[order]) != 0)))[0]
     embed[ids[order][first]] = np.add.reduceat(gx[order], first)
     return {"embed": embed, "w": x.T @ flat, "u": gu, "b": flat.sum(axis=0)}
 
 
 def windows(texts: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> Iterator[tuple[np.ndarray, ...]]:
-    """Texts (ids that close with END) in lanes, longest first, as windows: (lanes in use, inputs, targets, keep, text or -1)."""
-    waiting = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-    now, at = [-1] * lanes, [0] * lanes
-    while True:
-        for lane in range(lanes):
-            if now[lane] < 0 and waiting:
-                now[lane], at[lane] = waiting.pop(), 0
-        used = [lane for lane in range(lanes) if now[lane] >= 0]
-        if not used:
-            return
-        inputs, targets = np.full((len(used), steps), END), np.full((len(used), steps), END)
-        keep, text = np.ones((len(used), steps), np.float32), np.full((len(used), steps), -1)
-        for i, lane in enumerate(used):
-            t = 0
-            while t < steps and now[lane] >= 0:
-                ids, a = texts[now[lane]], at[lane]
-                n = min(steps - t, len(ids) - a)
-                targets[i, t : t + n] = ids[a : a + n]
-                inputs[i, t + 1 : t + n] = ids[a : a + n - 1]
-                inputs[i, t] = ids[a - 1] if a else END
-                if not a:
-                    keep[i, t] = 0
-                text[i, t : t + n] = now[lane]
-                t, at[lane] = t + n, a + n
-                if at[lane] == len(ids):
-                    now[lane] = -1
-                    if waiting:
-                        now[lane], at[lane] = waiting.pop(), 0
-        yield np.array(used), inputs.T, targets.T, keep.T, text.T
+    """Texts (ids that close with END) in lanes, as windows of (step, lane): inputs, targets, keep, text or -1.
+
+    Longest first, each text goes to the lane that is shortest by then. Lanes lie in one array, the longest first, so those
+    in use are always the first ones.
+    """
+    size = np.array([len(t) for t in texts], np.int64)
+    load, lane_of = [(0, lane) for lane in range(min(lanes, len(texts)))], np.empty(len(texts), np.int64)
+    for i in np.argsort(-size, kind="stable").tolist():
+        n, lane = load[0]
+        lane_of[i] = lane
+        heapq.heapreplace(load, (n + len(texts[i]), lane))
+    length = np.bincount(lane_of, size, len(load)).astype(np.int64)
+    rank = np.empty(len(load), np.int64)
+    rank[np.argsort(-length, kind="stable")] = np.arange(len(load))
+    order = np.lexsort((-size, rank[lane_of]))
+    length = -np.sort(-length)
+    end = np.cumsum(length)
+    begin = end - length
+    first = np.cumsum(size[order]) - size[order]
+    flat = np.concatenate([*(texts[i] for i in order), np.array([END], np.int32)])  # the last place pads
+    before = np.concatenate((flat[:1], flat[:-1]))
+    before[first] = before[-1] = END
+    keep = np.ones(len(flat), np.float32)
+    keep[first] = 0
+    text = np.append(np.repeat(order, size[order]), -1)
+    for at in range(0, int(length[0]), steps):
+        used = int(np.searchsorted(-length, -at))
+        place = begin[:used] + at + np.arange(steps)[:, None]
+        place[place >= end[:used]] = len(flat) - 1
+        yield before[place], flat[place], keep[place], text[place]
 
 
 def score_block(p: Weights, texts: list[np.ndarray]) -> np.ndarray:
     """The natural log-likelihood of each whole text."""
     scores, state = np.zeros(len(texts)), np.zeros((LANES, WIDTH), np.float32)
-    for used, inputs, targets, keep, text in windows(texts):
-        states, _ = forward(p, inputs, keep, state[used])
-        state[used] = states[-1]
+    for inputs, targets, keep, text in windows(texts):
+        states, _ = forward(p, inputs, keep, state[: inputs.shape[1]])
+        state = states[-1]
         inside = text.ravel() >= 0
         logp = log_probabilities(p, states.reshape(-1, WIDTH)[inside], targets.ravel()[inside])
         scores += np.bincount(text.ravel()[inside], logp, len(texts))
@@ -204,20 +221,21 @@ def score_block(p: Weights, texts: list[np.ndarray]) -> np.ndarray:
 def train_block(p: Weights, seen: Weights, texts: list[np.ndarray]) -> int:
     """Truncated backpropagation over a block of texts, in place (Adagrad); the number of tokens."""
     state, tokens = np.zeros((LANES, WIDTH), np.float32), 0
-    for used, inputs, targets, keep, text in windows(texts):
-        states, trail = forward(p, inputs, keep, state[used])
-        state[used] = states[-1]
+    for inputs, targets, keep, text in windows(texts):
+        states, trail = forward(p, inputs, keep, state[: inputs.shape[1]])
+        state = states[-1]
         inside = text.ravel() >= 0
         n = int(inside.sum())
         _, gs, grads = log_probabilities(p, states.reshape(-1, WIDTH)[inside], targets.ravel()[inside], back=True)
         full = np.zeros((inputs.size, WIDTH), np.float32)
         full[inside] = gs
         grads |= backward(p, inputs, keep, trail, full.reshape(states.shape))
-        scale = np.float32(1 / n)
-        norm = float(np.sqrt(sum(float((g * scale).ravel() @ (g * scale).ravel()) for g in grads.values())))
-        scale *= np.float32(min(1.0, CLIP / (norm + 1e-9)))
+        for g in grads.values():
+            g /= n
+        norm = float(np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in grads.values())))
+        scale = np.float32(min(1.0, CLIP / (norm + 1e-9)))
         for name, g in grads.items():
-            g = g * scale
+            g *= scale
             seen[name] += g * g
             p[name] -= np.float32(RATE) * g / (np.sqrt(seen[name]) + np.float32(1e-6))
         tokens += n
@@ -267,23 +285,27 @@ def count_words(docs: DataFrame) -> DataFrame:
     return staged(partial.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
+def coded(own: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
+    """The ids of a text's words and its end."""
+    return np.fromiter(chain(map(vocabulary.get, own, repeat(RARE)), (END,)), np.int32, len(own) + 1)
+
+
 def encoded(texts: list[str | None], vocabulary: dict[bytes, int]) -> tuple[list[np.ndarray], pa.Array, np.ndarray, np.ndarray]:
     """A block's texts as ids; its distinct words, each word's place among them, and how many words each text has."""
-    found, sizes = [], np.empty(len(texts), np.int64)
+    places: defaultdict[bytes, int] = defaultdict(count().__next__)  # a new word gets the next place
+    parts, sizes = [], np.empty(len(texts), np.int64)
     for i, t in enumerate(texts):
         own = words(t)
         sizes[i] = len(own)
-        found += own
-    coded = pa.array(found, pa.large_binary()).dictionary_encode()
-    del found
-    codes, distinct = coded.indices.to_numpy(), coded.dictionary
-    of_word = np.array([vocabulary.get(w, RARE) for w in distinct.to_pylist()], np.int32)
+        parts.append(np.fromiter(map(places.__getitem__, own), np.int32, len(own)))
+    codes = np.concatenate([*parts, np.empty(0, np.int32)])
+    of_word = np.array([vocabulary.get(w, RARE) for w in places], np.int32)
     ids = np.full(len(codes) + len(texts), END, np.int32)
     ends = np.cumsum(sizes + 1)
     inside = np.ones(len(ids), bool)
     inside[ends - 1] = False
     ids[inside] = of_word[codes] if len(codes) else 0
-    return np.split(ids, ends[:-1]), distinct, codes, sizes
+    return np.split(ids, ends[:-1]), pa.array(list(places), pa.large_binary()), codes, sizes
 
 
 def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -306,7 +328,7 @@ def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
             first, vocab = given.value
             p, seen, tokens = {k: v.copy() for k, v in first.items()}, {k: np.full_like(v, 1e-8) for k, v in first.items()}, 0
             for rows in blocked(batches, 0):
-                tokens += train_block(p, seen, encoded([t for (t,) in rows], vocab)[0])
+                tokens += train_block(p, seen, [coded(words(t), vocab) for (t,) in rows])
             if tokens:
                 flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float64) * tokens
                 for a in range(0, len(flat), 10_000):
