@@ -14,6 +14,9 @@
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; rows that repeat have the same
 fingerprint and component; a null ``doc_id`` is in its component but never names it, unless all are null; an empty
 table gives an empty result; extra columns are ignored by ``components`` and carried by ``dedup``.
+
+``dedup`` (the pipeline's near-dedup) does not decide on fingerprints: MinHash bands give candidates, and each link is verified by the exact
+Jaccard similarity of the shingle sets.
 """
 
 from __future__ import annotations
@@ -148,12 +151,6 @@ def exact_keys(radius: int, parts: int) -> list[list[int]]:
     return [[each * part + i for part in chosen for i in range(each)] for chosen in combinations(range(parts), parts - radius)]
 
 
-def sampled_keys(width: int, count: int, bits: int, seed: int = 7) -> list[list[int]]:
-    """Bit places of ``count`` fixed random keys: fingerprints that differ in a share p of their bits miss all with (1 - (1-p)**bits)**count."""
-    draw = np.random.default_rng(seed)
-    return [sorted(draw.choice(64 * width, bits, replace=False).tolist()) for _ in range(count)]
-
-
 def links(nodes: DataFrame, width: int, radius: int, keys: list[list[int]], tile: int = TILE) -> DataFrame:
     """(a, b): ids of ``nodes`` (id, fp0, ...) that differ in at most ``radius`` bits and share a key; no more than join them all."""
     cols = words_of(width)
@@ -240,15 +237,120 @@ def components(docs: DataFrame, words_each: int = 3, radius: int = RADIUS, parts
     return of.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies of 0.8 similarity (five-word shingles) differ in 17.5 of 128 bits on average (deviation 3.9), unrelated texts in 64 (5.7).
-NEAR = {"words_each": 5, "width": 2, "radius": 25, "keys": sampled_keys(2, 32, 12)}
+# Near-dedup of the pipeline: candidates by MinHash, links by exact Jaccard similarity of shingle sets.
+SHINGLE, BANDS, ROWS, LEADER_ROUNDS = 5, 24, 4, 4
+#: Texts of similarity exactly 0.8 share no band with (1 - 0.8**4)**24 = 3e-6.
+FACTORS = np.random.default_rng(11).integers(0, 2**63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: str | None, words_each: int = SHINGLE) -> tuple[bytes, np.ndarray]:
+    """The text's words (lower case, joined by a space) and the distinct hashes of its shingles, in order; a shorter text is one shingle."""
+    words = WORD.findall((text or "").encode().translate(TO_LOWER))
+    joined, k = b" ".join(words), max(1, min(words_each, len(words)))
+    ends = np.cumsum([len(w) + 1 for w in words] or [1]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh64_digest
+    hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[: len(ends) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)])
+    return joined, np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: ``ROWS`` minima of the hashes, multiplied by odd factors."""
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (FACTORS[:, None] * hashes[None, at : at + 1024]).min(axis=1), out=least)
+    rows = least.astype("<u8").reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), n) for n, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of 0.8 or more, for sorted distinct hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose shingle ``sets`` (id, hashes) are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
+            yield b.select([0, 1]).filter(pa.array([similar(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)) for u, v in zip(x, y, strict=True)], pa.bool_()))
+
+    of = lambda side: sets.select(F.col("id").alias(side), F.col("hashes").alias(f"of_{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def verified_links(keyed: DataFrame, sets: DataFrame, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+    """(node, root) of nodes joined by similar pairs that share a key of ``keyed`` (key, id, n: size of its set).
+
+    In a few rounds each key's nodes are verified against one of them, by turns, so that a large group of near copies is joined by pairs in
+    proportion to its size; then every pair that shares a key and is not yet in one class is verified, so no pair is passed over.
+    """
+    spark, sized = keyed.sparkSession, F.least("n", "n2") * 5 >= F.greatest("n", "n2") * 4
+    ordered = [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")]
+    edges = tried = spark.createDataFrame([], "a long, b long")
+    found = spark.createDataFrame([], "node long, root long")
+    for turn in range(leader_rounds + 1):
+        now = staged(keyed.join(found, keyed["id"] == found["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "rooted")
+        mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+        now = staged(now.join(mixed, "key"), "mixed")
+        if now.isEmpty():
+            break
+        if turn < leader_rounds:
+            led = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "root")).alias("l")).select("key", F.col("l.id").alias("id2"), F.col("l.n").alias("n2"), F.col("l.root").alias("root2"))
+            pairs = now.join(led, "key").filter((F.col("root") != F.col("root2")) & sized).select(*ordered)
+        else:
+            roots = now.select("key", "root").distinct()
+            apart = roots.join(roots.select("key", F.col("root").alias("root2")), "key").filter("root < root2")
+            other = now.select("key", F.col("root").alias("root2"), F.col("id").alias("id2"), F.col("n").alias("n2"))
+            pairs = now.join(apart, ["key", "root"]).join(other, ["key", "root2"]).filter(sized).select(*ordered)
+        pairs = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            tried = tried.unionByName(pairs)
+            edges = staged(edges.unionByName(verified(pairs, sets)), "verified")
+            found = staged(classes(edges), "found")
+    return found
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns: of each class of near copies the one that names it.
+    """The documents that stay, with their own columns: of each class of near copies the one with the smallest doc_id.
 
-    Rows that repeat whole stay or go together; a row with a null ``doc_id`` stays only if its whole class has none.
+    Links are pairs of five-word shingle sets of Jaccard similarity 0.8 or more. Rows that repeat whole (doc_id and text) stay or go
+    together; a null ``doc_id`` is larger than all others, and of texts with one ``doc_id`` that with the smallest hash stays.
     """
-    of = classed(docs, **NEAR)
-    goes = of.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
-    return docs.join(goes, docs["doc_id"].cast("long").eqNullSafe(goes["_id"]), "left_anti")
+    row = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_t0"), F.hash(F.col("text").cast("string")).alias("_t1")]
+    slim = docs.select(*row, F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, sizes, keys = [], [], []
+            for text in b.column(3).to_pylist():
+                joined, hashes = shingles(text)
+                words.append(xxhash.xxh3_128_digest(joined))
+                sizes.append(len(hashes))
+                keys.append(bands(hashes))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(words, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["_id", "_t0", "_t1", "words", "n", "keys"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t)[1].tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "hashes"])
+
+    rows = staged(slim.mapInArrow(run, "_id long, _t0 long, _t1 int, words binary, n long, keys array<long>"), "minhashes")
+    name = F.struct(F.col("_id").isNull().alias("none"), "_id", "_t0", "_t1")
+    nodes = rows.groupBy("words").agg(F.min(name).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    keyed = staged(nodes.select(F.explode("keys").alias("key"), "id", "n"), "keyed")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("key")
+    keyed = staged(keyed.join(shared, "key"), "shared-keys")
+    wanted = nodes.join(keyed.select("id").distinct(), "id").select("id", "least._id", "least._t0", "least._t1")
+    same = slim["_id"].eqNullSafe(wanted["_id"]) & (slim["_t0"] == wanted["_t0"]) & (slim["_t1"] == wanted["_t1"])
+    texts = slim.join(wanted, same).select("id", "text").dropDuplicates(["id"])
+    sets = staged(texts.mapInArrow(hashed, "id long, hashes binary"), "shingle-sets")
+    found = verified_links(keyed, sets)
+    named = staged(nodes.join(found, nodes["id"] == found["node"], "left").select("words", "least", F.coalesce("root", "id").alias("root")), "named")
+    stays = named.groupBy("root").agg(F.min("least").alias("stays"))
+    of = rows.join(named.join(stays, "root").select("words", "stays"), "words")
+    goes = of.filter(name != F.col("stays")).select("_id", "_t0", "_t1").distinct()
+    text = docs["text"].cast("string")
+    return docs.join(goes, docs["doc_id"].cast("long").eqNullSafe(goes["_id"]) & (F.xxhash64(text) == goes["_t0"]) & (F.hash(text) == goes["_t1"]), "left_anti")

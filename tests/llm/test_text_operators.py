@@ -148,6 +148,31 @@ def test_near_dedup_keeps_one_of_each_class(spark, docs):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 50] and kept.columns == ["doc_id", "text", "component_id"]
 
 
+def jaccard(a, b):
+    x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (WORD.findall(lowered(a)), WORD.findall(lowered(b))))
+    return len(x & y) / len(x | y)
+
+
+def test_near_dedup_follows_the_shingle_rule(spark):
+    base = [f"word{i}" for i in range(304)]
+    text = lambda head, changed: " ".join(head + w if i not in changed else f"new{i}" for i, w in enumerate(base))
+    rows, want = [], set()
+    for k in range(40):  # a changed word changes five of 300 shingles: 6 leave 0.818, 7 leave 0.791
+        far = k % 2
+        pair = text(f"t{k}", ()), text(f"t{k}", range(20, 20 + 40 * (6 + far), 40))
+        assert (jaccard(*pair) >= 0.8) == (not far)
+        rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+        want |= {2 * k, 2 * k + 1} if far else {2 * k}
+    assert {r.doc_id for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+
+
+def test_near_dedup_links_through_others(spark):
+    base = [f"word{i}" for i in range(304)]
+    chain = [(i, " ".join(w if not any(k == 20 + 25 * j for j in range(3 * i)) else f"new{k}" for k, w in enumerate(base))) for i in range(4)]
+    assert jaccard(chain[0][1], chain[3][1]) < 0.8 <= min(jaccard(chain[i][1], chain[i + 1][1]) for i in range(3))
+    assert [r.doc_id for r in simhash.dedup(spark.createDataFrame(chain, "doc_id long, text string")).collect()] == [0]
+
+
 def water_fill(sizes, most=3.0):
     names = sorted((n for n in sizes if n is not None)) + [None] * (None in sizes)
     weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
