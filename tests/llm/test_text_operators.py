@@ -173,6 +173,13 @@ def test_near_dedup_links_through_others(spark):
     assert [r.doc_id for r in simhash.dedup(spark.createDataFrame(chain, "doc_id long, text string")).collect()] == [0]
 
 
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    text = lambda head: " ".join(f"{head}{i}" for i in range(300))
+    rows = [(1, text("a")), (None, text("a") + " end"), (None, text("b")), (2, text("c")), (9, text("c") + " end"), (9, text("d")), (7, text("e")), (7, text("e") + " end")]
+    kept = [(r.doc_id, r.text) for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert Counter(kept) - Counter(rows[6:]) == Counter([rows[0], rows[2], rows[3], rows[5]]) and len(kept) == 5
+
+
 def water_fill(sizes, most=3.0):
     names = sorted((n for n in sizes if n is not None)) + [None] * (None in sizes)
     weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
