@@ -1,7 +1,9 @@
 """Substring dedup by hashing units (sentences of a line): the earliest occurrence stays, the others are removed.
 
-A unit runs from a character other than white space to the end of its sentence or line. It is normalised (lower case, one
-space between words) and hashed to 128 bits; units of fewer than ``LEAST_WORDS`` words are left alone. Per digest
+A unit runs from a character other than white space to the end of its sentence or line. Neighbouring ones of fewer than ``LEAST_WORDS``
+words are joined to one stretch. A sentence or stretch of more than ``MOST_WORDS`` words is cut where the hash of two words in a row is
+the least of its nine, so that the same words are cut alike whatever stands before them. A unit is normalised (lower case, one
+space between words) and hashed to 128 bits; what has fewer than ``LEAST_WORDS`` words even so is left alone. Per digest
 the first occurrence (by ``doc_id``, null last, then place) is a partial minimum; the units of digests found
 more than once are joined with it. A passage that many documents share is no large group in either step: the minimum is combined
 before its shuffle, and Spark splits the join's skewed partitions.
@@ -13,6 +15,7 @@ points of the original text; an empty table gives an empty result; extra columns
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,17 +27,42 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-LEAST_WORDS = 5
+LEAST_WORDS, MOST_WORDS, ASIDE = 5, 15, 4
 UNIT = re.compile(r"\S(?:.*?[.!?]+(?=\s)|.*)")
+WORDS = re.compile(r"\S+")
 UNITS = "doc_id long, row long, begin int, end int, n_words int, digest binary"
 
 
 def units(text: str, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
     """(begin, end, words, digest) of every unit that counts."""
+    short, n_short = [0, 0], 0
     for m in UNIT.finditer(text):
-        words = m[0].lower().split()
-        if len(words) >= least_words:
-            yield m.start(), m.start() + len(m[0].rstrip()), len(words), xxhash.xxh3_128_digest(" ".join(words))
+        words, end = m[0].lower().split(), m.start() + len(m[0].rstrip())
+        if len(words) < least_words:
+            short, n_short = [short[0] if n_short else m.start(), end], n_short + len(words)
+            continue
+        if n_short >= least_words:
+            yield from cut_up(text, *short)
+        n_short = 0
+        if len(words) <= MOST_WORDS:
+            yield m.start(), end, len(words), xxhash.xxh3_128_digest(" ".join(words))
+        else:
+            yield from cut_up(text, m.start(), end)
+    if n_short >= least_words:
+        yield from cut_up(text, *short)
+
+
+def cut_up(text: str, begin: int, end: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """The units of a stretch of text, each of at least ``ASIDE`` + 1 words if it is cut at all."""
+    spans = [m.span() for m in WORDS.finditer(text, begin, end)]
+    words, at = [text[a:b].lower() for a, b in spans], 0
+    if len(words) > MOST_WORDS:
+        h = [zlib.crc32(f"{a} {b}".encode(errors="replace")) for a, b in zip(words, words[1:])]
+        for i in range(ASIDE, len(h) - ASIDE):
+            if h[i] < min(h[i - ASIDE : i]) and h[i] <= min(h[i + 1 : i + 1 + ASIDE]):
+                yield spans[at][0], spans[i][1], i + 1 - at, xxhash.xxh3_128_digest(" ".join(words[at : i + 1]))
+                at = i + 1
+    yield spans[at][0], spans[-1][1], len(words) - at, xxhash.xxh3_128_digest(" ".join(words[at:]))
 
 
 def listed(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

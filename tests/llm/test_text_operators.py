@@ -243,6 +243,17 @@ def test_substring_repeats(docs, rows):
         assert unit.strip() == unit and (r.first_doc_id, r.first_begin) == first[d]
 
 
+@pytest.mark.parametrize("shape", ["short sentences", "short lines", "long sentence"])
+def test_shared_stretches_hold_a_unit(shape):
+    draw = np.random.default_rng(4)
+    word = lambda: "".join(draw.choice(list("abcdefghij"), 6)) + {"short sentences": "!! ", "short lines": "\n", "long sentence": " "}[shape]
+    for _ in range(100):
+        stretch = "".join(word() for _ in range(50))
+        a, b = ("".join(word() for _ in range(draw.integers(0, 40))) + stretch + "".join(word() for _ in range(draw.integers(0, 40))) for _ in range(2))
+        shared = {u[3] for u in lines.units(a)} & {u[3] for u in lines.units(b)}
+        assert sum(u[2] for u in lines.units(a) if u[3] in shared) >= 20
+
+
 def test_substring_clean(spark):
     a = "This first sentence is said once only here. This shared passage has quite a few words in it. Tail."
     b = "Another text begins in its own way today. This shared PASSAGE has  quite a few words in it. Short one."
