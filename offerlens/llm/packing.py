@@ -54,7 +54,20 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
         byte_of = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(shown)))}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={bytes(byte_of[c] for c in t): i for t, i in vocab.items()}, special_tokens=special)
-        return lambda text: model.encode_to_numpy(text, allowed_special="all")
+
+        def encode(text: str) -> np.ndarray:
+            try:
+                return model.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # its pattern gives up on a run of about a million white-space characters
+                return library(path)(text)
+
+        return encode
+    return library(path)
+
+
+@lru_cache(2)
+def library(path: str) -> Callable[[str], np.ndarray]:
+    """The ids of a text by the tokenizers library."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)

@@ -95,6 +95,11 @@ def _library(cache=[]):  # noqa: B006
     return cache[0] if cache else cache.append(Tokenizer.from_file(PATH)) or cache[0]
 
 
+@pytest.mark.parametrize("run", [" " * 1_000_000, "\n" * 1_000_000])
+def test_encoder_of_very_long_white_space(run):
+    assert packing.encoder(PATH)("a" + run + "b").tolist() == _library().encode("a" + run + "b", add_special_tokens=False).ids
+
+
 def test_encoder_over_all_characters_and_the_vocabulary():
     ours, library = packing.encoder(PATH), _library()
     chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
