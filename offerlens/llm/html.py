@@ -1,7 +1,7 @@
 """HTML extraction by site style trees.
 
 Pages of a host are merged into one tree: an element is known by its path of tags, classes and ids from the body down. For
-each element of a host the pages are counted that show it with each presentation (sequence of child tags) and with each content
+each element of a host the distinct pages (copies count once) are counted that show it with each presentation (sequence of child tags) and with each content
 (hash of its text). Importance is entropy, as a share of the most it can be over the element's pages: an
 element that looks and reads the same everywhere has 0, one that differs on every page has 1; the composite weighs
 presentation and content. Branches of low importance are removed from each page.
@@ -9,7 +9,8 @@ presentation and content. Branches of low importance are removed from each page.
 Two priors of the presentation keep the tree honest where pages are few or noise differs from page to page: elements whose tag,
 role or class says that they are navigation, advert, form, comment and so on have importance 0; what stands in an
 ``article`` or ``main`` (and in none of those) has importance 1, so an article that is found on several pages of a host stays.
-If a page has an ``article`` or ``main`` with text, other branches of it are not its main text.
+If a page has an ``article`` or ``main`` with text, other branches of it are not its main text. A branch with nearly all of a page's
+text outside noise is never removed from it.
 
 The counts are partial sums by (host, element, variant), so a host with a third of all pages is no large group. The table of
 low elements is broadcast only if it proves to be small; else it is joined to the pages' elements by shuffle.
@@ -22,6 +23,7 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-LEAST_PAGES, LOW, PRESENTATION = 5, 0.2, 0.3
+LEAST_PAGES, LOW, PRESENTATION, NEARLY_ALL = 5, 0.2, 0.3, 0.9
 BROADCAST_ROWS = 200_000
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>", re.S)
@@ -177,7 +179,12 @@ def variants(html: str) -> Iterator[tuple[int, int, int]]:
 
 def main_text(html: str, low: frozenset[int] = frozenset()) -> str:
     """The main text of a page: its blocks outside noise and outside the branches whose elements are in ``low``."""
-    kept = [(text, main) for text, paths, noise, main in walk(html)[1] if not noise and (main or low.isdisjoint(paths))]
+    blocks = [(text, low.intersection(paths), main) for text, paths, noise, main in walk(html)[1] if not noise]
+    held, whole = Counter(), sum(len(text) for text, _, _ in blocks)
+    for text, paths, _ in blocks:
+        for p in paths:
+            held[p] += len(text)
+    kept = [(text, main) for text, paths, main in blocks if main or all(held[p] >= NEARLY_ALL * whole for p in paths)]
     if any(main for _, main in kept):
         kept = [x for x in kept if x[1]]
     return "\n\n".join(text for text, _ in kept)
@@ -192,10 +199,14 @@ def importance(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(h, *v) for h, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for v in variants(html or "")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, [pa.string(), *[pa.int64()] * 3], strict=True)], ["host", "element", "presentation", "content"])
-
-    found = pages.select(host_of(pages).alias("host"), pages["html"].cast("string").alias("html")).mapInArrow(run, "host string, element long, presentation long, content long")
+            rows = []
+            for h, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = list(variants(html or ""))
+                page = xxhash.xxh64_intdigest(repr(found)) >> 1
+                rows += [(h, page, *v) for v in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, [pa.string(), *[pa.int64()] * 4], strict=True)], ["host", "page", "element", "presentation", "content"])
+
+    found = pages.select(host_of(pages).alias("host"), pages["html"].cast("string").alias("html")).mapInArrow(run, "host string, page long, element long, presentation long, content long").distinct()
     kinds = F.explode(F.array(F.struct(F.lit("p").alias("kind"), F.col("presentation").alias("v")), F.struct(F.lit("c").alias("kind"), F.col("content").alias("v"))))
     counts = found.select("host", "element", kinds.alias("x")).groupBy("host", "element", "x.kind", "x.v").agg(F.count("*").alias("n"))
     share = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n") * F.log("n")).otherwise(0.0))

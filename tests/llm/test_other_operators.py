@@ -192,6 +192,14 @@ def test_html_style_tree_removes_what_repeats(spark):
         assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+@pytest.mark.parametrize("copies", [5, 85])
+def test_html_copies_without_article_keep_their_text(spark, copies):
+    page = lambda i: f"<html><body><div class=top><p>Site</p></div><div class=story><p>Story {i} {'long words ' * 30}</p></div></body></html>"
+    pages = spark.createDataFrame([(i, "https://same.org/", page(0)) for i in range(copies)] + [(100 + i, "https://same.org/", page(i)) for i in range(1, 4)], "page_id long, url string, html string")
+    got = html.extract(pages).collect()
+    assert len(got) == copies + 3 and all(f"Story {max(0, r.page_id - 100)} long words" in r.text for r in got)
+
+
 def test_html_rows(pages):
     got = html.extract(pages).collect()
     assert Counter((r.page_id, r.url) for r in got) == Counter((r.page_id, r.url) for r in pages.select("page_id", "url").collect())
