@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -58,3 +59,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def small_or_plain(df: DataFrame, most_rows: int) -> DataFrame:
     """Marks ``df`` for broadcast if it proves to have at most ``most_rows`` rows; else Spark joins it by shuffle."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def keep_freed_memory() -> None:
+    """Lets a Python worker reuse the memory of freed arrays instead of returning it to the system, where it would be faulted in again.
+
+    Numpy over arrays of a megabyte spends most of its time on those faults. Where the C library has no ``mallopt`` nothing changes.
+    """
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError):
+        return
+    trim_threshold, mmap_threshold = -1, -3
+    for which in (trim_threshold, mmap_threshold):
+        mallopt(which, 1 << 28)

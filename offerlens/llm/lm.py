@@ -1,180 +1,208 @@
 """LM scoring by a gated recurrent language model with class-factored output, in numpy within Spark tasks.
 
 1. Counts: every training token is counted, in tasks by blocks of texts, then by a grouped sum (a table of words and counts).
-2. Vocabulary: the ``CLASSES * IN_CLASS - 2`` most frequent words, the end, and one entry for all rarer words. Words are put in
-   classes by frequency; P(word) = P(class | state) * P(word | class, state). A rare word has its entry's probability times its share
-   (count + 1) / (rare tokens + rare words + 1) of it, so the model is a distribution over all words, unseen ones too.
-3. Training: every training text is read once, in ``ROUNDS`` rounds. In a round each task runs truncated backpropagation (windows of ``STEPS``
-   tokens, states carried on) over its texts from the same weights; the results are averaged by tokens, as a grouped sum of
-   (place, weight) rows, and only the averaged weights (a fixed number) go to the driver.
-4. Scoring: texts lie in lanes, cut into windows; the state is carried across windows to the end of each text, so a text's
-   score is its whole log-likelihood. What rare words add is joined from the counts: a block of texts gives one row for each
-   rare word with the texts that have it, and sums come back by block.
+2. Entries: the model predicts one of ``CLASSES * IN_CLASS`` entries, ordered by training frequency and put in classes in that order:
+   P(entry) = P(class | state) * P(entry | class, state). The ``OWN`` most frequent words and the end have an entry each; all
+   other words share ``SHAPES`` entries by their last letters and what follows those. So the state predicts every
+   token; a word has its entry's probability times its share (count + 1) / (tokens + words + 1 of the entry), which leaves a share for
+   words never seen: a distribution over all words.
+3. Each text is encoded once: its entries are written as a table of 16-bit numbers, from which training and scoring read.
+4. Training: a gated recurrent unit whose gate sees the word and, by a diagonal, its own state: z = sigmoid(gate[x] + peep * h),
+   h = (1 - z) * h + z * value[x]. Truncated backpropagation over windows of ``STEPS`` tokens, states carried on. Every training text is
+   read once, in rounds whose number grows with the logarithm of the corpus (``rounds_of``). In a round each task trains over its texts
+   from the same weights; the results are averaged by tokens, chunk of weights by chunk, in tasks that hold one running sum a chunk;
+   only the averaged weights (a fixed number) go to the driver.
+5. Scoring: texts lie in lanes, cut into windows; the state is carried across windows to the end of each text, so a text's
+   score is its whole log-likelihood. Counts of words beyond the ``KNOWN`` most frequent are joined: a block of texts gives one
+   row for each such word with the texts that have it, and sums come back by block.
 
 Defined results: a null or wordless text is its end alone; rows that repeat are scored each; a null ``doc_id`` is in training
-(the checksum of no text is 0); an empty table gives an empty result; with no training text all counts are 0. Extra columns are ignored.
+(the checksum of no text is 0); an empty table gives an empty result; with no training text all counts are 0 and the weights
+stay as they begin. A very long text is scored as one sequence; in training its segments of ``SEGMENT`` tokens begin anew. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, count, repeat
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, staged
+from .common import keep_freed_memory, staged
 
-CLASSES, IN_CLASS, WIDTH = 32, 32, 16
-LANES, STEPS, ROUNDS, RATE, CLIP = 512, 32, 2, 0.05, 5.0
-BLOCK_BYTES = 12 << 20
-END, RARE = 0, 1
-TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+CLASSES, IN_CLASS, WIDTH = 64, 64, 15
+SHAPES = 1024
+OWN = CLASSES * IN_CLASS - SHAPES - 1
+#: The counts of so many words at most are given to all tasks.
+KNOWN = 1 << 16
+LANES, STEPS, SEGMENT, RATE, CLIP = 512, 32, 4096, 0.4, 5.0
+#: Tokens to the first round; each doubling beyond adds a round.
+ROUND_TOKENS = 4 << 20
+BLOCK_BYTES, BLOCK_TOKENS = 12 << 20, 2 << 20
+END_SHAPE = re.compile(rb"([^\W\d_]{0,2})([\W\d_]*)\Z")
 
 Weights = dict[str, np.ndarray]
 
 
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased words; the white space of bytes is just the six characters that part words."""
-    return (text or "").encode().translate(TO_LOWER).split()
+def listed_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts (lower-cased A-Z) in order, and how many each text has.
+
+    The white space that Arrow splits ASCII text at is just the six characters that part words.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    words, owner = split.flatten(), pc.list_parent_indices(split)
+    real = pc.greater(pc.binary_length(words), 0)  # leading and trailing white space gives empty strings
+    return words.filter(real), np.bincount(owner.filter(real).to_numpy(), minlength=len(texts))
 
 
 def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def shapes() -> dict[str, tuple[int, ...]]:
+def shape(word: bytes) -> int:
+    """The number of a word's shape: its last two letters and, without its digits' values, what follows them."""
+    letters, tail = END_SHAPE.search(word).groups()
+    return zlib.crc32(letters + b" " + re.sub(rb"\d", b"0", tail[-3:])) % SHAPES
+
+
+def sizes() -> dict[str, tuple[int, ...]]:
     v, h = CLASSES * IN_CLASS, WIDTH
-    return {"embed": (v, h), "w": (h, 3 * h), "u": (h, 3 * h), "b": (3 * h,), "wc": (h, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, h, IN_CLASS), "bw": (CLASSES, IN_CLASS)}
+    return {"gate": (v, h), "value": (v, h), "peep": (h,), "wc": (h + 1, CLASSES), "ww": (CLASSES, h + 1, IN_CLASS)}
 
 
 def start(counts: np.ndarray, seed: int = 1) -> Weights:
-    """Small random weights; the output's biases give the training frequencies."""
+    """Small random weights; the output's biases (its last rows) give the training frequencies."""
     draw = np.random.default_rng(seed)
-    out = {k: (draw.standard_normal(s) * (0.3 if k == "embed" else 0.2)).astype(np.float32) for k, s in shapes().items()}
+    out = {k: (draw.standard_normal(s) * 0.3).astype(np.float32) for k, s in sizes().items()}
     by_class = (counts.astype(np.float64) + 0.5).reshape(CLASSES, IN_CLASS)
-    out["b"] = np.zeros(3 * WIDTH, np.float32)
-    out["bw"] = np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32)
-    out["bc"] = np.log(by_class.sum(axis=1) / by_class.sum()).astype(np.float32)
+    out["gate"] += np.linspace(-3, 2, WIDTH, dtype=np.float32)  # from slow memory to the last word alone
+    out["peep"] *= 0
     out["wc"] *= 0.1
     out["ww"] *= 0.1
+    out["ww"][:, -1] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
+    out["wc"][-1] = np.log(by_class.sum(axis=1) / by_class.sum())
     return out
 
 
-def _exponents(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of logits, which are cut at 60 in place, and its sums by row (over short rows they are quicker as products)."""
-    np.minimum(x, 60, out=x)
-    e = np.exp(x)
-    return e, e @ np.ones(x.shape[1], e.dtype)
+#: Scale and shift at which a float's bits, read as a number, are its exponent's logarithm.
+BITS_PER_E, BITS_OF_ONE = float(np.float32(2**23 / np.log(2))), float(127 << 23)
 
 
-def forward(p: Weights, inputs: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
-    """States (steps, lanes, width) over a window, and what backpropagation needs; ``keep`` is 0 where a text begins.
+def exponents(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """exp(x @ w), taken linear between powers of two in single precision: the logits, scaled and shifted, are the bits of the result.
 
-    Within, lanes stand last, so that the gates are contiguous rows.
+    Any positive function gives a distribution once it is divided by its sum, and this one saves most of the time. ``x`` has a last
+    column of ones, for the bias in the last row of ``w``; logits are cut at -80 and 60.
     """
-    k, trail = WIDTH, []
-    states = np.empty((len(inputs), inputs.shape[1], k), h.dtype)
-    sign = np.where(np.arange(3 * k) < 2 * k, -1, 1).astype(h.dtype)[:, None]  # of the gates r and z, for exp(-x)
-    w, u, h = np.concatenate((p["w"], p["b"][None])).T * sign, p["u"].T * sign, h.T.copy()
-    x = np.concatenate((p["embed"], np.ones((len(p["embed"]), 1), h.dtype)), axis=1)[inputs]
+    if x.dtype == np.float64:  # as tests have it
+        return np.exp(np.clip(x @ w, -80, 60))
+    w = w * np.float32(BITS_PER_E)
+    w[-1] += np.float32(BITS_OF_ONE)
+    bits = x @ w
+    low, high = BITS_OF_ONE - 80 * BITS_PER_E, BITS_OF_ONE + 60 * BITS_PER_E
+    if bits.min(initial=high) < low or bits.max(initial=low) > high:
+        np.clip(bits, np.float32(low), np.float32(high), out=bits)
+    return bits.astype(np.int32).view(np.float32)
+
+
+def forward(p: Weights, inputs: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
+    """States (steps, lanes, width) over a window, and what backpropagation needs; ``keep`` is 0 where a text begins."""
+    gates, values, peep, trail = np.negative(p["gate"])[inputs], p["value"][inputs], -p["peep"], []
+    states = np.empty_like(values)
+    begins = (keep == 0).any(axis=1)
     for t in range(len(inputs)):
-        h[:, keep[t] == 0] = 0
-        g, gh = w @ x[t].T, u @ h
-        rz, un, n = g[: 2 * k], gh[2 * k :], g[2 * k :]
-        rz += gh[: 2 * k]
-        np.minimum(rz, 60, out=rz)
-        np.exp(rz, out=rz)
-        rz += 1
-        np.reciprocal(rz, out=rz)
-        r, z = rz[:k], rz[k:]
-        n += r * un
-        n *= 2
-        np.minimum(n, 60, out=n)
-        np.exp(n, out=n)  # tanh(x) = 1 - 2 / (exp(2x) + 1), which is quicker here
-        n += 1
-        np.divide(-2, n, out=n)
-        n += 1
-        trail.append((h, un, r, z, n))
-        h = h - n
-        h *= z
-        h += n
-        states[t] = h.T
+        if begins[t]:
+            h = h * keep[t][:, None]
+        z, d = gates[t], values[t]
+        z += h * peep
+        np.exp(z, out=z)
+        z += 1
+        np.reciprocal(z, out=z)
+        d -= h
+        trail.append((h, z, d))
+        h = np.multiply(z, d, out=states[t])
+        h += trail[-1][0]
     return states, trail
 
 
+def backward(p: Weights, inputs: np.ndarray, keep: np.ndarray, trail: list, gs: np.ndarray) -> Weights:
+    """Gradients of the recurrent part over one window; ``gs`` are the states' own gradients."""
+    peep, gh = p["peep"], np.zeros_like(gs[0])
+    both, gp = np.empty((*inputs.shape, 2, WIDTH), gs.dtype), np.zeros_like(p["peep"])
+    begins = (keep == 0).any(axis=1)
+    for t in range(len(inputs) - 1, -1, -1):
+        h, z, d = trail[t]
+        gh += gs[t]
+        gv = gh * z
+        ga = gv * d
+        gh -= gv
+        ga -= z * ga
+        gp += np.einsum("ij,ij->j", ga, h)
+        both[t, :, 0], both[t, :, 1] = ga, gv
+        ga *= peep
+        gh += ga
+        if begins[t]:
+            gh *= keep[t][:, None]
+    ids = inputs.ravel()
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    first = np.nonzero(np.concatenate(([True], np.diff(ids[order]) != 0)))[0]
+    sums = np.add.reduceat(both.reshape(len(ids), -1)[order], first)
+    out = {"gate": np.zeros_like(p["gate"]), "value": np.zeros_like(p["value"]), "peep": gp}
+    out["gate"][ids[order][first]], out["value"][ids[order][first]] = sums[:, :WIDTH], sums[:, WIDTH:]
+    return out
+
+
 def log_probabilities(p: Weights, states: np.ndarray, targets: np.ndarray, back: bool = False):
     """log P of targets (n) after states (n, width); with ``back`` also the gradients of their negative sum."""
     order = np.argsort((targets // IN_CLASS).astype(np.uint8), kind="stable")
-    x, target = states[order], targets[order]
+    target = targets[order]
+    x = np.ones((len(order), WIDTH + 1), states.dtype)
+    x[:, :-1] = states[order]
     of_class, place = target // IN_CLASS, target % IN_CLASS
-    row = np.arange(len(x))
-    logits = x @ p["wc"]
-    logits += p["bc"]
-    e, total = _exponents(logits)
-    logp = logits[row, of_class] - np.log(total)
-    edges = np.searchsorted(of_class, np.arange(CLASSES + 1))
+    row, part = np.arange(4096), 4096  # so many rows of logits stay in the cache
+    chosen, total = np.empty((2, len(x)), x.dtype), np.empty((2, len(x)), x.dtype)
     if back:
-        e /= total[:, None]
-        e[row, of_class] -= 1
-        grads = {"wc": x.T @ e, "bc": e.sum(axis=0), "ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-        gx = e @ p["wc"].T
+        grads = {k: np.zeros_like(p[k]) for k in ("wc", "ww")}
+        gx = np.empty_like(x)
+
+    def softmax(level: int, a: int, z: int, w: np.ndarray, at: np.ndarray, gw: np.ndarray | None) -> None:
+        e = exponents(x[a:z], w)
+        total[level, a:z] = e @ np.ones(e.shape[1], e.dtype)
+        chosen[level, a:z] = e[row[: z - a], at]
+        if back:  # (e - total at the place) / total is the gradient of the logits; the division comes last, where rows are short
+            e[row[: z - a], at] -= total[level, a:z]
+            over = (1 / total[level, a:z])[:, None]
+            gw += (e.T @ (x[a:z] * over)).T
+            gx[a:z] = e @ w.T * over + (gx[a:z] if level else 0)
+
+    for a in range(0, len(x), part):
+        z = min(a + part, len(x))
+        softmax(0, a, z, p["wc"], of_class[a:z], grads["wc"] if back else None)
+    edges = np.searchsorted(of_class, np.arange(CLASSES + 1))
     for c in range(CLASSES):
-        a, z = edges[c], edges[c + 1]
-        if a < z:
-            logits = x[a:z] @ p["ww"][c]
-            logits += p["bw"][c]
-            e, total = _exponents(logits)
-            logp[a:z] += logits[row[: z - a], place[a:z]] - np.log(total)
-            if back:
-                e /= total[:, None]
-                e[row[: z - a], place[a:z]] -= 1
-                grads["ww"][c], grads["bw"][c] = x[a:z].T @ e, e.sum(axis=0)
-                gx[a:z] += e @ p["ww"][c].T
+        for a in range(edges[c], edges[c + 1], part):
+            z = min(a + part, edges[c + 1])
+            softmax(1, a, z, p["ww"][c], place[a:z], grads["ww"][c] if back else None)
     out = np.empty(len(x), np.float32)
-    out[order] = logp
+    out[order] = np.log(chosen / total).sum(axis=0)
     if not back:
         return out
-    gs = np.empty_like(gx)
-    gs[order] = gx
+    gs = np.empty((len(x), WIDTH), x.dtype)
+    gs[order] = gx[:, :-1]
     return out, gs, grads
 
 
-def backward(p: Weights, inputs: np.ndarray, keep: np.ndarray, trail: list, gs: np.ndarray) -> Weights:
-    """Gradients of the recurrent part over one window; ``gs`` are the states' own gradients."""
-    k, u = WIDTH, p["u"]
-    gh, ggx = np.zeros_like(gs[0]).T, np.empty((*inputs.shape, 3 * k), gs.dtype)
-    gu = np.zeros_like(u)
-    for t in range(len(inputs) - 1, -1, -1):
-        h, un, r, z, n = trail[t]
-        gh = gh + gs[t].T
-        both = np.empty((3 * k, gh.shape[1]), gh.dtype)
-        gn = gh * (1 - z) * (1 - n * n)
-        both[:k] = gn * un * r * (1 - r)
-        both[k : 2 * k] = gh * (h - n) * z * (1 - z)
-        both[2 * k :] = gn
-        ggx[t] = both.T
-        both[2 * k :] *= r
-        gu += h @ both.T
-        gh = (gh * z + u @ both) * keep[t]
-    flat = ggx.reshape(-1, 3 * k)
-    x = p["embed"][inputs].reshape(-1, k)
-    gx, embed = flat @ p["w"].T, np.zeros_like(p["embed"])
-    ids = inputs.ravel()
-    order = np.argsort(ids.astype(np.uint16), kind="stable")
-    first = np.nonzero(np.concatenate(([True], np.diff(ids[order]) != 0)))[0]
-    embed[ids[order][first]] = np.add.reduceat(gx[order], first)
-    return {"embed": embed, "w": x.T @ flat, "u": gu, "b": flat.sum(axis=0)}
-
-
 def windows(texts: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> Iterator[tuple[np.ndarray, ...]]:
-    """Texts (ids that close with END) in lanes, as windows of (step, lane): inputs, targets, keep, text or -1.
+    """Texts (entries that close with the end's) in lanes, as windows of (step, lane): inputs, targets, keep, text or -1.
 
     Longest first, each text goes to the lane that is shortest by then. Lanes lie in one array, the longest first, so those
     in use are always the first ones.
@@ -193,9 +221,10 @@ def windows(texts: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) ->
     end = np.cumsum(length)
     begin = end - length
     first = np.cumsum(size[order]) - size[order]
-    flat = np.concatenate([*(texts[i] for i in order), np.array([END], np.int32)])  # the last place pads
+    last = texts[0][-1:]  # the end, which pads and stands before each text
+    flat = np.concatenate([*(texts[i] for i in order), last]).astype(np.int32)
     before = np.concatenate((flat[:1], flat[:-1]))
-    before[first] = before[-1] = END
+    before[first] = before[-1] = last[0]
     keep = np.ones(len(flat), np.float32)
     keep[first] = 0
     text = np.append(np.repeat(order, size[order]), -1)
@@ -207,7 +236,7 @@ def windows(texts: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) ->
 
 
 def score_block(p: Weights, texts: list[np.ndarray]) -> np.ndarray:
-    """The natural log-likelihood of each whole text."""
+    """The natural log-likelihood of each whole text's entries."""
     scores, state = np.zeros(len(texts)), np.zeros((LANES, WIDTH), np.float32)
     for inputs, targets, keep, text in windows(texts):
         states, _ = forward(p, inputs, keep, state[: inputs.shape[1]])
@@ -221,6 +250,7 @@ def score_block(p: Weights, texts: list[np.ndarray]) -> np.ndarray:
 def train_block(p: Weights, seen: Weights, texts: list[np.ndarray]) -> int:
     """Truncated backpropagation over a block of texts, in place (Adagrad); the number of tokens."""
     state, tokens = np.zeros((LANES, WIDTH), np.float32), 0
+    texts = [t[a : a + SEGMENT] for t in texts for a in range(0, len(t), SEGMENT)]
     for inputs, targets, keep, text in windows(texts):
         states, trail = forward(p, inputs, keep, state[: inputs.shape[1]])
         state = states[-1]
@@ -243,143 +273,124 @@ def train_block(p: Weights, seen: Weights, texts: list[np.ndarray]) -> int:
 
 
 @dataclass
-class Model:
-    weights: Weights
-    vocabulary: dict[bytes, int]
-    log_counts: np.ndarray  # log10(count + 1) by id, 0 for RARE
-    known: np.ndarray  # count > 0 by id
+class Entries:
+    """What tasks need to encode texts."""
+
+    known: dict[bytes, int]  # place of each of the most frequent words
+    log_counts: np.ndarray  # log10(count + 1) by that place
+    entry: np.ndarray  # entry by that place, -1: by shape
+    of_shape: np.ndarray  # entry by shape
+    share: np.ndarray  # log10(tokens + words + 1) by entry, 0 for words of their own
+    counts: np.ndarray  # training tokens by entry
+    end: int
     train_tokens: int
     distinct: int
-    rare_share: float  # log10 of rare tokens + rare words + 1
 
 
-def blocked(batches: Iterator[pa.RecordBatch], column: int, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
-    """Rows of the batches in blocks of so many bytes of text in ``column``."""
-    rows, held = [], 0
+def blocked(batches: Iterator[pa.RecordBatch], column: int, block: int) -> Iterator[list[pa.Array]]:
+    """Columns of the batches in blocks of so many bytes in ``column``."""
+    held, size = [], 0
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            rows.append(row)
-            held += len(row[column] or "")
-            if held >= block_bytes:
-                yield rows
-                rows, held = [], 0
-    if rows:
-        yield rows
+        for a in range(0, len(b), 256):
+            part = b.slice(a, 256)
+            held.append(part)
+            size += part.column(column).nbytes
+            if size >= block:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns
+                held, size = [], 0
+    if size or held:
+        yield from (t.columns for t in pa.Table.from_batches(held).combine_chunks().to_batches())
 
 
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all of ``docs``; the end has the null word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in blocked(batches, 0):
-            counts = Counter()
-            for (text,) in rows:
-                counts.update(words(text))
-            found = list(counts)
-            for a in range(0, len(found), 50_000):
-                part = found[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts[w] for w in part], pa.int64())], ["word", "n"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([len(rows)], pa.int64())], ["word", "n"])
+        for (texts,) in blocked(batches, 0, BLOCK_BYTES):
+            found = listed_words(texts)[0].value_counts()
+            words, n = found.field("values").cast(pa.large_binary()), found.field("counts")
+            for a in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_arrays([words.slice(a, 50_000).cast(pa.binary()), n.slice(a, 50_000)], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([len(texts)], pa.int64())], ["word", "n"])
 
     partial = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "word binary, n long")
     return staged(partial.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
-def coded(own: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
-    """The ids of a text's words and its end."""
-    return np.fromiter(chain(map(vocabulary.get, own, repeat(RARE)), (END,)), np.int32, len(own) + 1)
-
-
-def encoded(texts: list[str | None], vocabulary: dict[bytes, int]) -> tuple[list[np.ndarray], pa.Array, np.ndarray, np.ndarray]:
-    """A block's texts as ids; its distinct words, each word's place among them, and how many words each text has."""
-    places: defaultdict[bytes, int] = defaultdict(count().__next__)  # a new word gets the next place
-    parts, sizes = [], np.empty(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        own = words(t)
-        sizes[i] = len(own)
-        parts.append(np.fromiter(map(places.__getitem__, own), np.int32, len(own)))
-    codes = np.concatenate([*parts, np.empty(0, np.int32)])
-    of_word = np.array([vocabulary.get(w, RARE) for w in places], np.int32)
-    ids = np.full(len(codes) + len(texts), END, np.int32)
-    ends = np.cumsum(sizes + 1)
-    inside = np.ones(len(ids), bool)
-    inside[ends - 1] = False
-    ids[inside] = of_word[codes] if len(codes) else 0
-    return np.split(ids, ends[:-1]), pa.array(list(places), pa.large_binary()), codes, sizes
-
-
-def train(docs: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Learns from all of ``docs``, each text in one of ``rounds`` rounds."""
+def entries(counts: DataFrame) -> Entries:
+    """The entries by the training counts."""
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    size = CLASSES * IN_CLASS
-    top = counts.filter("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(size - 2).collect()  # a fixed number of words
     ends = counts.filter("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    n = np.zeros(size, np.int64)
-    n[END], n[RARE] = ends, total[0] - ends - sum(r["n"] for r in top)
-    n[2 : 2 + len(top)] = [r["n"] for r in top]
-    vocabulary = {bytes(r["word"]): i + 2 for i, r in enumerate(top)}
-    weights = start(n)
-    names = list(shapes())
-    cuts = np.cumsum([0, *(int(np.prod(s)) for s in shapes().values())])
-    for r in range(rounds):
-        given = spark_broadcast(docs, (weights, vocabulary))
-
-        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            first, vocab = given.value
-            p, seen, tokens = {k: v.copy() for k, v in first.items()}, {k: np.full_like(v, 1e-8) for k, v in first.items()}, 0
-            for rows in blocked(batches, 0):
-                tokens += train_block(p, seen, [coded(words(t), vocab) for (t,) in rows])
-            if tokens:
-                flat = np.concatenate([p[k].ravel() for k in names]).astype(np.float64) * tokens
-                for a in range(0, len(flat), 10_000):
-                    part = flat[a : a + 10_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part), dtype=np.int32)), pa.array(part), pa.array(np.full(len(part), tokens, np.int64))], ["place", "v", "tokens"])
-
-        texts = docs.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select(docs["text"].cast("string").alias("text"))
-        mean = texts.mapInArrow(run, "place int, v double, tokens long").groupBy("place").agg((F.sum("v") / F.sum("tokens")).alias("v")).orderBy("place").toPandas()
-        if len(mean):
-            flat = mean["v"].to_numpy().astype(np.float32)
-            weights = {k: flat[a:z].reshape(s) for (k, s), a, z in zip(shapes().items(), cuts, cuts[1:], strict=False)}
-    logs = np.log10(n + 1.0)
-    logs[RARE] = 0
-    rare_words = total[1] - (ends > 0) - len(top)
-    return Model(weights, vocabulary, logs, n > 0, int(total[0]), int(total[1]), float(np.log10(n[RARE] + rare_words + 1)))
-
-
-def spark_broadcast(df: DataFrame, value):
-    return df.sparkSession.sparkContext.broadcast(value)
-
-
-PARTS = "word binary, block long, docs binary, times binary, n int, doc_id long, n_tokens long, n_known long, n_rare long, logs double, ln double"
-
+    words = counts.filter("word IS NOT NULL")
+    top = words.orderBy(F.desc("n"), "word").limit(KNOWN).collect()  # a fixed number of words
+    own = {bytes(r["word"]): i for i, r in enumerate(top[:OWN])}
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
-    given = spark_broadcast(docs, model)
+    def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, v = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
+        for b in batches:
+            rows = [(shape(w), c) for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if w not in own]
+            of, c = np.array(rows, np.int64).reshape(-1, 2).T
+            n += np.bincount(of, c, SHAPES).astype(np.int64)
+            v += np.bincount(of, minlength=SHAPES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHAPES, dtype=np.int32)), pa.array(n), pa.array(v)], ["shape", "n", "v"])
+
+    by_shape = words.mapInArrow(shaped, "shape int, n long, v long").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    tokens, distinct = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
+    for r in by_shape:
+        tokens[r["shape"]], distinct[r["shape"]] = r["n"], r["v"]
+    n = np.zeros(CLASSES * IN_CLASS, np.int64)  # words of their own, shapes, the end
+    n[: len(own)] = [r["n"] for r in top[: len(own)]]
+    n[OWN : OWN + SHAPES], n[-1] = tokens, ends
+    at = np.empty(len(n), np.int64)
+    at[np.argsort(-n, kind="stable")] = np.arange(len(n))
+    by_rank, share = np.empty_like(n), np.zeros(len(n))
+    by_rank[at], share[at[OWN : OWN + SHAPES]] = n, np.log10(tokens + distinct + 1)
+    entry = np.full(len(top), -1, np.int64)
+    entry[: len(own)] = at[: len(own)]
+    known = {bytes(r["word"]): i for i, r in enumerate(top)}
+    return Entries(known, np.log10(np.array([r["n"] for r in top], np.float64) + 1), entry, at[OWN : OWN + SHAPES], share, by_rank, int(at[-1]), int(total[0]), int(total[1]))
+
+
+PARTS = "word binary, block long, docs binary, times binary, n int, doc_id long, ids binary, n_tokens long, n_known long, logs double, inner double"
+
+
+def encoded(docs: DataFrame, of: Entries) -> DataFrame:
+    """Each text as entries, and a row for each block's word that isn't among the known ones; written once."""
+    given = docs.sparkSession.sparkContext.broadcast(of)
     names = [c.split()[0] for c in PARTS.split(", ")]
-    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), *[pa.int64()] * 4, pa.float64(), pa.float64()]
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
-    def batch(rows_: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(rows_, k) if c not in columns else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], k) for c, k in zip(names, kinds, strict=True)], names)
+    def batch(rows: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(rows, k) if c not in columns else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], k) for c, k in zip(names, kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, number = given.value, TaskContext.get().partitionId() << 32
-        for rows in blocked(batches, 1):
-            texts, distinct, codes, sizes = encoded([t for _, t in rows], m.vocabulary)
-            rare = np.concatenate(texts)
-            inside = np.ones(len(rare), bool)
-            inside[np.cumsum(sizes + 1) - 1] = False
-            rare = rare[inside] == RARE
-            doc = np.repeat(np.arange(len(rows)), sizes)[rare]
-            codes = codes[rare].astype(np.int64)
-            sizes = np.bincount(doc, minlength=len(rows))
-            ln = score_block(m.weights, texts)
+        e, number = given.value, TaskContext.get().partitionId() << 32
+        get, of_shape = e.known.get, e.of_shape.tolist()
+        end_log = np.log10(e.counts[e.end] + 1)
+        for doc_ids, texts in blocked(batches, 1, BLOCK_BYTES):
+            listed, size = listed_words(texts)
+            coded = listed.dictionary_encode()
+            distinct, codes = coded.dictionary.cast(pa.large_binary()), coded.indices.to_numpy()
+            as_bytes = distinct.to_pylist()
+            place = np.array([get(w, -1) for w in as_bytes], np.int64)
+            entry = np.where(place >= 0, np.append(e.entry, -1)[place], -1)
+            by_shape = np.nonzero(entry < 0)[0]
+            entry[by_shape] = [of_shape[shape(as_bytes[i])] for i in by_shape.tolist()]
+            log = np.where(place >= 0, np.append(e.log_counts, 0)[place], 0)
+            inner = np.where(e.share[entry] > 0, log - e.share[entry], 0)
+            doc, docs_ = np.repeat(np.arange(len(texts)), size), len(texts)
+            ends = np.cumsum(size + 1)
+            ids, inside = np.full(len(codes) + docs_, e.end, "<u2"), np.ones(len(codes) + docs_, bool)
+            inside[ends - 1] = False
+            ids[inside] = entry[codes] if len(codes) else 0
+            cut = pa.array(np.append(0, ends * 2).astype(np.int32))
             yield batch(
-                len(rows), block=np.full(len(rows), number), n=np.arange(len(rows), dtype=np.int32), doc_id=[i for i, _ in rows], n_tokens=np.array([len(x) for x in texts]),
-                n_known=np.array([int(m.known[x[x != RARE]].sum()) for x in texts]), n_rare=np.array(sizes), logs=np.array([float(m.log_counts[x].sum()) for x in texts]), ln=ln,
+                docs_, block=np.full(docs_, number), n=np.arange(docs_, dtype=np.int32), doc_id=doc_ids, ids=pa.Array.from_buffers(pa.binary(), docs_, [None, cut.buffers()[1], pa.py_buffer(ids.tobytes())]), n_tokens=size + 1,
+                n_known=(np.bincount(doc, (place >= 0)[codes], docs_) + (e.counts[e.end] > 0)).astype(np.int64), logs=np.bincount(doc, log[codes], docs_) + end_log, inner=np.bincount(doc, inner[codes], docs_),
             )
-            pair, times = np.unique(codes * len(rows) + doc, return_counts=True)
-            word, doc = np.divmod(pair, len(rows))
+            rare = (place < 0)[codes]
+            pair, times = np.unique(codes[rare].astype(np.int64) * docs_ + doc[rare], return_counts=True)
+            word, doc = np.divmod(pair, docs_)
             found = np.nonzero(np.concatenate(([True], word[1:] != word[:-1])))[0] if len(word) else np.empty(0, np.int64)
             distinct, edge = distinct.take(pa.array(word[found])), np.append(found, len(word))
             for a in range(0, len(distinct), 50_000):
@@ -391,7 +402,72 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             number += 1
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    parts = staged(slim.mapInArrow(run, PARTS), "lm-parts")
+    return staged(slim.mapInArrow(run, PARTS), "lm-parts")
+
+
+def rounds_of(tokens: int) -> int:
+    """2 rounds at least, and one more for each doubling of the training tokens beyond ``ROUND_TOKENS``."""
+    return 2 + max(0, ceil(log2(max(tokens, 1) / ROUND_TOKENS)))
+
+
+CHUNK = 1 << 13
+
+
+def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, tokens, v: tokens * weights): one sum a chunk, of those that are dealt to this task."""
+    sums: dict[int, list] = {}
+    for b in batches:
+        for chunk, tokens, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            at = sums.setdefault(chunk, [0, 0.0])
+            at[0] += tokens
+            at[1] = at[1] + np.frombuffer(v, np.float32).astype(np.float64) * tokens
+    rows = [(k, n, (v / n).astype(np.float32).tobytes()) for k, (n, v) in sums.items()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, [pa.int32(), pa.int64(), pa.binary()], strict=True)], ["chunk", "tokens", "v"])
+
+
+def train(parts: DataFrame, of: Entries, rounds: int | None = None) -> Weights:
+    """Learns from all texts of ``parts`` that aren't held out, each in one of the rounds."""
+    weights, names = start(of.counts), list(sizes())
+    seen = {k: np.full_like(v, 1e-4) for k, v in weights.items()}
+    flat_of = lambda *ws: np.concatenate([w[k].ravel() for w in ws for k in names])
+    rounds, kind = rounds or rounds_of(of.train_tokens), "chunk int, tokens long, v binary"
+    texts = parts.filter(F.col("word").isNull() & ~is_held_out(F.col("doc_id")))
+    for r in range(rounds):
+        given = parts.sparkSession.sparkContext.broadcast((weights, seen))
+
+        def run(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
+            keep_freed_memory()
+            p, s = ({k: v.copy() for k, v in w.items()} for w in given.value)
+            tokens = sum(train_block(p, s, [np.frombuffer(x, "<u2") for x in ids.to_pylist()]) for (ids,) in blocked(batches, 0, 2 * BLOCK_TOKENS))
+            if tokens:
+                flat = flat_of(p, s)
+                chunks = range(0, len(flat), CHUNK)
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([tokens] * len(chunks), pa.int64()), pa.array([flat[a : a + CHUNK].tobytes() for a in chunks], pa.binary())], ["chunk", "tokens", "v"])
+
+        own = texts.filter(F.pmod(F.xxhash64("block", "n"), F.lit(rounds)) == r).select("ids")
+        mean = own.mapInArrow(run, kind).repartition("chunk").mapInArrow(averaged, kind).collect()  # as many numbers as the model has
+        if mean:
+            flat = np.concatenate([np.frombuffer(x["v"], np.float32) for x in sorted(mean, key=lambda x: x["chunk"])])
+            parts_of, at = [], 0
+            for k in names * 2:
+                shape_ = sizes()[k]
+                parts_of.append(flat[at : at + int(np.prod(shape_))].reshape(shape_))
+                at += int(np.prod(shape_))
+            weights, seen = dict(zip(names, parts_of, strict=False)), dict(zip(names, parts_of[len(names) :], strict=True))
+        given.unpersist()
+    return weights
+
+
+def score(parts: DataFrame, of: Entries, weights: Weights, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score (log10) of every encoded document."""
+    given = parts.sparkSession.sparkContext.broadcast(weights)
+    plain_kind = "block long, n int, doc_id long, n_tokens long, n_known long, logs double, inner double, ln double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *columns, ids in blocked(batches, 7, 2 * BLOCK_TOKENS):
+            keep_freed_memory()
+            ln = score_block(given.value, [np.frombuffer(x, "<u2") for x in ids.to_pylist()])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ln)], [c.split()[0] for c in plain_kind.split(", ")])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -409,7 +485,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         for b in batches:
             count = b.column(3).to_numpy().astype(np.float64)
             docs_, times = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").astype(np.int64) for i in (1, 2))
-            length = pa.compute.binary_length(b.column(1)).to_numpy() // 4
+            length = pc.binary_length(b.column(1)).to_numpy() // 4
             held.append((np.repeat(b.column(0).to_numpy(), length), docs_, np.repeat(np.log10(count + 1), length) * times, np.repeat(count > 0, length) * times))
             size += len(docs_)
             if size > 2_000_000:
@@ -426,8 +502,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             width = max(int(n.max()) + 1, len(logs))
             more, seen = np.append(logs, np.zeros(width - len(logs)))[n], np.append(known, np.zeros(width - len(known), np.int64))[n]
             cols = list(zip(*rows, strict=True))
-            arrays = [pa.array(c, pa.int64()) for c in cols[1:4]] + [pa.array(np.array(cols[4]) + seen), pa.array(np.array(cols[5]) + more), pa.array(cols[6], pa.float64()), pa.array(more)]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "n_rare", "n_known", "logs", "ln", "rare_logs"])
+            arrays = [pa.array(c, pa.int64()) for c in cols[1:3]] + [pa.array(np.array(cols[3]) + seen), pa.array(np.array(cols[4]) + more), pa.array(np.array(cols[5]) + more), pa.array(cols[6], pa.float64())]
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "n_known", "logs", "inner", "ln"])
 
         for b in batches:
             for block, docs_, rare_logs, rare_known, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -448,18 +524,21 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     rare = parts.filter("word IS NOT NULL").join(counts.filter("word IS NOT NULL").withColumnRenamed("n", "c"), "word", "left")
     rare = rare.select("block", "docs", "times", F.coalesce("c", F.lit(0)).alias("c")).mapInArrow(sums, "block long, docs binary, rare_logs binary, rare_known binary")
-    none = lambda kind: F.lit(None).cast(kind)
-    plain = parts.filter("word IS NULL").select("block", *[none("binary").alias(c) for c in ("docs", "rare_logs", "rare_known")], "n", "doc_id", "n_tokens", "n_rare", "n_known", "logs", "ln")
-    own = [none(k).alias(c) for c, k in (("n", "int"), ("doc_id", "long"), ("n_tokens", "long"), ("n_rare", "long"), ("n_known", "long"), ("logs", "double"), ("ln", "double"))]
-    together = plain.unionByName(rare.select("block", "docs", "rare_logs", "rare_known", *own)).repartition("block").sortWithinPartitions("block")
-    whole = together.mapInArrow(merged, "doc_id long, n_tokens long, n_rare long, n_known long, logs double, ln double, rare_logs double")
-    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(model.train_tokens + model.distinct + 1)))
-    full = F.col("ln") / F.lit(float(np.log(10))) + F.col("rare_logs") - F.col("n_rare") * F.lit(model.rare_share)
-    return whole.select("doc_id", "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), full.alias("score"))
+    plain = parts.filter("word IS NULL").select(*(c.split()[0] for c in plain_kind.split(", ")[:-1]), "ids").mapInArrow(run, plain_kind)
+    own = plain_kind.split(", ")[1:]
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    scored = plain.select("block", *(none("binary", c) for c in ("docs", "rare_logs", "rare_known")), *(c.split()[0] for c in own))
+    summed = rare.select("block", "docs", "rare_logs", "rare_known", *(none(c.split()[1], c.split()[0]) for c in own))
+    together = scored.unionByName(summed).repartition("block").sortWithinPartitions("block")
+    whole = together.mapInArrow(merged, "doc_id long, n_tokens long, n_known long, logs double, inner double, ln double")
+    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(of.train_tokens + of.distinct + 1)))
+    full = F.col("ln") / F.lit(float(np.log(10))) + F.col("inner")
+    return whole.select("doc_id", "n_tokens", "n_known", F.lit(of.train_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), full.alias("score"))
 
 
 def learn_and_score(docs: DataFrame) -> DataFrame:
     """Trains on all but the held-out documents and scores all; adds held_out."""
-    training = docs.filter(~is_held_out(docs["doc_id"]))
-    counts = count_words(training)
-    return score(docs, train(training, counts), counts).withColumn("held_out", is_held_out(F.col("doc_id")))
+    counts = count_words(docs.filter(~is_held_out(docs["doc_id"])))
+    of = entries(counts)
+    parts = encoded(docs, of)
+    return score(parts, of, train(parts, of), counts).withColumn("held_out", is_held_out(F.col("doc_id")))
