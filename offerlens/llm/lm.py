@@ -3,7 +3,7 @@
 1. Counts: every training token is counted, in tasks by blocks of texts, then by a grouped sum (a table of words and counts).
 2. Entries: the model predicts one of ``CLASSES * IN_CLASS`` entries, ordered by training frequency and put in classes in that order:
    P(entry) = P(class | state) * P(entry | class, state). The ``OWN`` most frequent words and the end have an entry each; all
-   other words share ``SHAPES`` entries by their last letters and what follows those. So the state predicts every
+   other words share ``SHAPES`` entries by their last three bytes. So the state predicts every
    token; a word has its entry's probability times its share (count + 1) / (tokens + words + 1 of the entry), which leaves a share for
    words never seen: a distribution over all words.
 3. Each text is encoded once: its entries are written as a table of 16-bit numbers, from which training and scoring read.
@@ -24,8 +24,6 @@ stay as they begin. A very long text is scored as one sequence; in training its
 from __future__ import annotations
 
 import heapq
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, log2
@@ -44,11 +42,10 @@ SHAPES = 1024
 OWN = CLASSES * IN_CLASS - SHAPES - 1
 #: The counts of so many words at most are given to all tasks.
 KNOWN = 1 << 16
-LANES, STEPS, SEGMENT, RATE, CLIP = 512, 32, 4096, 0.4, 5.0
+LANES, STEPS, SEGMENT, RATE, CLIP = 512, 32, 1024, 0.4, 5.0
 #: Tokens to the first round; each doubling beyond adds a round.
 ROUND_TOKENS = 4 << 20
 BLOCK_BYTES, BLOCK_TOKENS = 12 << 20, 2 << 20
-END_SHAPE = re.compile(rb"([^\W\d_]{0,2})([\W\d_]*)\Z")
 
 Weights = dict[str, np.ndarray]
 
@@ -68,10 +65,17 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def shape(word: bytes) -> int:
-    """The number of a word's shape: its last two letters and, without its digits' values, what follows them."""
-    letters, tail = END_SHAPE.search(word).groups()
-    return zlib.crc32(letters + b" " + re.sub(rb"\d", b"0", tail[-3:])) % SHAPES
+def shapes_of(words: pa.Array) -> np.ndarray:
+    """The number of each word's shape: a hash of its last three bytes, with all digits taken as one."""
+    _, offsets, data = words.cast(pa.large_binary()).buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    same = np.arange(256, dtype=np.uint64)
+    same[ord("0") : ord("9") + 1] = ord("0")
+    text, key = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8), np.zeros(len(words), np.uint64)
+    for back in (1, 2, 3):
+        at = ends[1:] - back
+        key = key << np.uint64(8) | np.where(at >= ends[:-1], same[text[np.maximum(at, 0)]], np.uint64(0))
+    return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SHAPES
 
 
 def sizes() -> dict[str, tuple[int, ...]]:
@@ -201,11 +205,11 @@ def log_probabilities(p: Weights, states: np.ndarray, targets: np.ndarray, back:
     return out, gs, grads
 
 
-def windows(texts: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) -> Iterator[tuple[np.ndarray, ...]]:
+def windows(texts: list[np.ndarray], lanes: int = LANES, steps: int = STEPS, cells: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
     """Texts (entries that close with the end's) in lanes, as windows of (step, lane): inputs, targets, keep, text or -1.
 
     Longest first, each text goes to the lane that is shortest by then. Lanes lie in one array, the longest first, so those
-    in use are always the first ones.
+    in use are always the first ones. A window has at least ``steps`` steps and, if that is more, ``cells`` of a step and a lane.
     """
     size = np.array([len(t) for t in texts], np.int64)
     load, lane_of = [(0, lane) for lane in range(min(lanes, len(texts)))], np.empty(len(texts), np.int64)
@@ -228,17 +232,20 @@ def windows(texts: list[np.ndarray], lanes: int = LANES, steps: int = STEPS) ->
     keep = np.ones(len(flat), np.float32)
     keep[first] = 0
     text = np.append(np.repeat(order, size[order]), -1)
-    for at in range(0, int(length[0]), steps):
+    at = 0
+    while at < length[0]:
         used = int(np.searchsorted(-length, -at))
-        place = begin[:used] + at + np.arange(steps)[:, None]
+        upto = min(at + max(steps, cells // used), int(length[0]))
+        place = begin[:used] + np.arange(at, upto)[:, None]
         place[place >= end[:used]] = len(flat) - 1
         yield before[place], flat[place], keep[place], text[place]
+        at = upto
 
 
 def score_block(p: Weights, texts: list[np.ndarray]) -> np.ndarray:
     """The natural log-likelihood of each whole text's entries."""
     scores, state = np.zeros(len(texts)), np.zeros((LANES, WIDTH), np.float32)
-    for inputs, targets, keep, text in windows(texts):
+    for inputs, targets, keep, text in windows(texts, cells=LANES * STEPS):
         states, _ = forward(p, inputs, keep, state[: inputs.shape[1]])
         state = states[-1]
         inside = text.ravel() >= 0
@@ -276,7 +283,7 @@ def train_block(p: Weights, seen: Weights, texts: list[np.ndarray]) -> int:
 class Entries:
     """What tasks need to encode texts."""
 
-    known: dict[bytes, int]  # place of each of the most frequent words
+    known: pa.Array  # the most frequent words
     log_counts: np.ndarray  # log10(count + 1) by that place
     entry: np.ndarray  # entry by that place, -1: by shape
     of_shape: np.ndarray  # entry by shape
@@ -323,13 +330,15 @@ def entries(counts: DataFrame) -> Entries:
     ends = counts.filter("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = counts.filter("word IS NOT NULL")
     top = words.orderBy(F.desc("n"), "word").limit(KNOWN).collect()  # a fixed number of words
-    own = {bytes(r["word"]): i for i, r in enumerate(top[:OWN])}
+    top_words = pa.array([bytes(r["word"]) for r in top], pa.large_binary())
+    own = top_words.slice(0, OWN)
 
     def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(SHAPES, np.int64), np.zeros(SHAPES, np.int64)
         for b in batches:
-            rows = [(shape(w), c) for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if w not in own]
-            of, c = np.array(rows, np.int64).reshape(-1, 2).T
+            listed = b.column(0).cast(pa.large_binary())
+            other = pc.index_in(listed, own).is_null().to_numpy(zero_copy_only=False)
+            of, c = shapes_of(listed)[other], b.column(1).to_numpy()[other]
             n += np.bincount(of, c, SHAPES).astype(np.int64)
             v += np.bincount(of, minlength=SHAPES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SHAPES, dtype=np.int32)), pa.array(n), pa.array(v)], ["shape", "n", "v"])
@@ -347,8 +356,7 @@ def entries(counts: DataFrame) -> Entries:
     by_rank[at], share[at[OWN : OWN + SHAPES]] = n, np.log10(tokens + distinct + 1)
     entry = np.full(len(top), -1, np.int64)
     entry[: len(own)] = at[: len(own)]
-    known = {bytes(r["word"]): i for i, r in enumerate(top)}
-    return Entries(known, np.log10(np.array([r["n"] for r in top], np.float64) + 1), entry, at[OWN : OWN + SHAPES], share, by_rank, int(at[-1]), int(total[0]), int(total[1]))
+    return Entries(top_words, np.log10(np.array([r["n"] for r in top], np.float64) + 1), entry, at[OWN : OWN + SHAPES], share, by_rank, int(at[-1]), int(total[0]), int(total[1]))
 
 
 PARTS = "word binary, block long, docs binary, times binary, n int, doc_id long, ids binary, n_tokens long, n_known long, logs double, inner double"
@@ -365,17 +373,14 @@ def encoded(docs: DataFrame, of: Entries) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, number = given.value, TaskContext.get().partitionId() << 32
-        get, of_shape = e.known.get, e.of_shape.tolist()
         end_log = np.log10(e.counts[e.end] + 1)
         for doc_ids, texts in blocked(batches, 1, BLOCK_BYTES):
             listed, size = listed_words(texts)
             coded = listed.dictionary_encode()
             distinct, codes = coded.dictionary.cast(pa.large_binary()), coded.indices.to_numpy()
-            as_bytes = distinct.to_pylist()
-            place = np.array([get(w, -1) for w in as_bytes], np.int64)
-            entry = np.where(place >= 0, np.append(e.entry, -1)[place], -1)
-            by_shape = np.nonzero(entry < 0)[0]
-            entry[by_shape] = [of_shape[shape(as_bytes[i])] for i in by_shape.tolist()]
+            place = pc.fill_null(pc.index_in(distinct, e.known), -1).to_numpy().astype(np.int64)
+            entry = np.append(e.entry, -1)[place]
+            entry = np.where(entry < 0, e.of_shape[shapes_of(distinct)], entry)
             log = np.where(place >= 0, np.append(e.log_counts, 0)[place], 0)
             inner = np.where(e.share[entry] > 0, log - e.share[entry], 0)
             doc, docs_ = np.repeat(np.arange(len(texts)), size), len(texts)

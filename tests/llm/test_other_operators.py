@@ -266,6 +266,12 @@ def test_words_of_texts(texts):
     assert words.to_pylist() == [w for x in want for w in x] and size.tolist() == [len(x) for x in want]
 
 
+def test_shapes_of_words():
+    words = ["a", "", "xion,", "fion,", "on,", "a12", "a99", "é", "1"]
+    got = lm.shapes_of(pa.array(["skipped", *words], pa.large_string()).slice(1))
+    assert got[2] == got[3] == got[4] and got[5] == got[6] and len(set(got.tolist())) == 6 and all(lm.shapes_of(pa.array([w], pa.large_binary()))[0] == s for w, s in zip((w.encode() for w in words), got, strict=True))
+
+
 def test_rounds_grow_with_the_corpus():
     got = [lm.rounds_of(n) for n in (0, 1, 4 << 20, 8 << 20, 1 << 30, 1 << 40)]
     assert got == sorted(got) and got[0] == 2 and got[-1] == 20
@@ -288,8 +294,8 @@ def test_lm_shares_are_a_distribution(spark, docs):
     rows = [(bytes(r.word), r.n) for r in counts.filter("word IS NOT NULL").collect()]
     inside = Counter()
     for w, n in rows:
-        place = of.known[w]
-        e = int(of.entry[place]) if of.entry[place] >= 0 else int(of.of_shape[lm.shape(w)])
+        place = of.known.index(w).as_py()
+        e = int(of.entry[place]) if of.entry[place] >= 0 else int(of.of_shape[lm.shapes_of(pa.array([w], pa.large_binary()))[0]])
         inside[e] += 10 ** (math.log10(n + 1) - of.share[e]) if of.share[e] else 1
     assert all(0 < x <= 1 + 1e-9 for x in inside.values()) and of.counts.sum() == of.train_tokens and (np.diff(of.counts) <= 0).all()
 
