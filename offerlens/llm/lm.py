@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import keep_freed_memory, staged
 
-CLASSES, IN_CLASS, WIDTH = 64, 64, 15
-SHAPES = 1024
+CLASSES, IN_CLASS, WIDTH = 80, 80, 15
+SHAPES = 1600
 OWN = CLASSES * IN_CLASS - SHAPES - 1
 #: The counts of so many words at most are given to all tasks.
 KNOWN = 1 << 16
