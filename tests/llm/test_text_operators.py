@@ -227,20 +227,60 @@ def test_mixing_caps(spark):
     assert got == {k: pytest.approx(v) for k, v in want.items()} and sum(got.values()) == pytest.approx(1545)
 
 
-def test_substring_repeats(docs, rows):
-    got = lines.repeats(docs).collect()
-    text = {r[0]: r[1] for r in rows}
-    order = sorted(((r[0] is None, r[0] or 0), r[1] or "") for r in rows)
-    n = Counter(u[3] for r in rows for u in lines.units(r[1] or ""))
-    assert len(got) == sum(v - 1 for v in n.values())
-    first = {}
-    for (_, i), t in order:
-        for b, e, _, d in lines.units(t):
-            first.setdefault(d, (i, b))
-    for r in (r for r in got if r.doc_id is not None):
-        unit = text[r.doc_id][r.begin : r.end]
-        d = next(u[3] for u in lines.units(text[r.doc_id]) if u[0] == r.begin)
-        assert unit.strip() == unit and (r.first_doc_id, r.first_begin) == first[d]
+def test_units_hold_every_word_once(rows):
+    for r in rows:
+        at, words = 0, []
+        for begin, end, n, digest in lines.units(r[1] or ""):
+            unit = r[1][begin:end]
+            assert at <= begin < end and unit.strip() == unit and n == len(unit.split()) and digest == xxhash.xxh3_128_digest(" ".join(unit.lower().split()))
+            words += unit.split()
+            at = end
+        assert words == (r[1] or "").split()
+
+
+def test_substring_repeats_by_plain_walk(docs, rows):
+    """Every earlier unit's normalised text is kept in a set; runs are walked one by one."""
+    want, seen = Counter(), set()
+    named = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    named = [r for i, r in enumerate(named) if i == 0 or r[0] != named[i - 1][0]]
+    for r in named:
+        run, n = [], 0
+        for begin, end, k, _ in [*lines.units(r[1] or ""), (None, None, 0, None)]:
+            text = None if begin is None else " ".join(r[1][begin:end].lower().split())
+            if text is not None and text in seen:
+                run.append((r[0], begin, end, k))
+                n += k
+                continue
+            seen.add(text)
+            want.update(run if n >= lines.LEAST_RUN else [])
+            run, n = [], 0
+    one_each = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    got = lines.repeats(one_each).collect()
+    assert Counter((r.doc_id, r.begin, r.end, r.n_words) for r in got) == want and want
+    assert all((r.first_doc_id, r.first_begin) < (r.doc_id, r.begin) for r in got)
+
+
+@pytest.mark.parametrize("parted", [" ", ". ", "\n"])
+def test_planted_passages_go_and_clean_documents_stay(spark, parted):
+    draw = np.random.default_rng(3)
+    word = lambda: "".join(draw.choice(list("abcdefghijklmnop"), 7))
+    prose = lambda n: " ".join(word() + ("." if draw.random() < 0.08 else "") for _ in range(n))
+    common, passages = "All of this is said by every one of them.", [prose(60) for _ in range(4)]
+    texts = [prose(150) + "\n" + common + "\n" + prose(20) for _ in range(30)]
+    planted = {}
+    for i in range(10, 22):
+        k = i % 4
+        before, after = prose(33), prose(41)
+        texts[i] = f"{before}{parted}{passages[k]}{parted}{after}"
+        planted[i] = (len(before) + len(parted), len(before) + len(parted) + len(passages[k]), k)
+    got = defaultdict(list)
+    for r in lines.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r.doc_id].append(r)
+    assert set(got) == set(range(14, 22))  # the first four hold the first occurrences
+    for i, spans in got.items():
+        begin, end, k = planted[i]
+        assert all(begin <= r.begin and r.end <= end + len(parted.strip()) and r.first_doc_id == 10 + (k - 10) % 4 for r in spans)
+        assert sum(r.n_words for r in spans) >= lines.LEAST_RUN
 
 
 @pytest.mark.parametrize("shape", ["short sentences", "short lines", "long sentence"])
@@ -255,11 +295,19 @@ def test_shared_stretches_hold_a_unit(shape):
 
 
 def test_substring_clean(spark):
-    a = "This first sentence is said once only here. This shared passage has quite a few words in it. Tail."
-    b = "Another text begins in its own way today. This shared PASSAGE has  quite a few words in it. Short one."
-    out = {r.doc_id: r for r in lines.clean(spark.createDataFrame([(2, b, "x"), (1, a, "y"), (3, None, "z")], "doc_id long, text string, begin string")).collect()}
-    assert out[1].text == a and out[1].removed == [] and out[3].text is None
-    assert out[2].text == "Another text begins in its own way today.  Short one." and [tuple(s) for s in out[2].removed] == [(42, b.index(" Short"))]
+    words = lambda head, n: " ".join(f"{head}{i}" for i in range(n))
+    a = f"This first sentence is said once only here. {words('p', 40)}. Tail."
+    b = f"Another text begins in its own way today. {words('P', 20)}  {' '.join(f'p{i}' for i in range(20, 40))}. Short one."
+    rows = [(2, b, "x"), (1, a, "y"), (3, None, "z"), (None, b, "n"), (None, "Nothing of this was said before.", "n"), (1, a, "y")]
+    got = [tuple(r) for r in lines.clean(spark.createDataFrame(rows, "doc_id long, text string, _row string")).select("doc_id", "text", "_row", "removed").collect()]
+    by = defaultdict(list)
+    for i, t, x, removed in got:
+        by[i].append((t, x, [tuple(s) for s in removed]))
+    assert by[3] == [(None, "z", [])] and ("Nothing of this was said before.", "n", []) in by[None] and len(got) == 6
+    assert (a, "y", []) in by[1] and len(by[1]) == 2  # of rows that repeat the first stays
+    (text, _, removed), = by[2]
+    assert removed and all("p" in b[x:y].lower() for x, y in removed) and text == "".join(b[x:y] for x, y in zip([0, *(y for _, y in removed)], [*(x for x, _ in removed), len(b)], strict=True))
+    assert sum(len(b[x:y].split()) for x, y in removed) >= 25 and text.startswith("Another text begins in its own way today.") and text.endswith("Short one.")
 
 
 @pytest.mark.parametrize("run", [lambda d: quality.apply_rules(d), lambda d: exact_dedup.groups(d), lambda d: exact_dedup.dedup(d), lambda d: simhash.components(d), lambda d: simhash.dedup(d), lambda d: mixing.mix(d), lambda d: lines.repeats(d), lambda d: lines.clean(d)])
