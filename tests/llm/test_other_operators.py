@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -201,6 +202,90 @@ def test_html_copies_without_article_keep_their_text(spark, copies):
     assert len(got) == copies + 3 and all(f"Story {max(0, r.page_id - 100)} long words" in r.text for r in got)
 
 
+def test_html_class_words_beside_others_drop_nothing_alone():
+    page = '<article><div class="post-header"><h1>Title</h1></div><p>Body</p><p class="share-price">12</p><div class="share-buttons">Share</div><div class="user-comments">Me too</div></article>'
+    assert html.main_text(page) == "Title\n\nBody\n\n12"
+
+
+def test_html_entropy_decides_inside_articles(spark):
+    page = lambda i: f"<article><p>Story {i}</p><div class=share-line><p>Tell your friends</p></div><section><p>Always the same end.</p></section></article>"
+    rows = [(i, "http://many.org/", page(i)) for i in range(40)] + [(100 + i, "http://few.org/", page(i)) for i in range(3)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}" for i in range(40))
+    assert all(got[100 + i] == f"Story {i}\n\nTell your friends\n\nAlways the same end." for i in range(3))
+
+
+def test_html_copies_with_other_noise_count_once(spark):
+    page = lambda i: f"<div class=ad>Buy {i}</div><div class=story><p>One story that forty pages have.</p></div><div class=more><p>Short</p></div>"
+    got = html.extract(spark.createDataFrame([(i, "http://a.org/", page(i)) for i in range(40)], "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"One story that forty pages have.\n\nShort"}
+
+
+def plain_tree(pages):
+    """(host, n, presentation, content) of each element, from a tree built by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.nodes, self.text = [[(), [], []]], [], []
+
+        def handle_starttag(self, tag, attrs):
+            name = f"{tag}.{dict(attrs).get('class', '')}"
+            self.stack[-1][1].append(name)
+            self.stack.append([(*self.stack[-1][0], name), [], []])
+
+        def handle_endtag(self, tag):
+            node = self.stack.pop()
+            self.nodes.append(node)
+            if node[2]:
+                self.stack[-1][2].append(tuple(node[2]))
+
+        def handle_data(self, data):
+            self.stack[-1][2].append(data)
+            self.text.append(data)
+
+    seen = defaultdict(set)
+    for host, page in pages:
+        t = Tree()
+        t.feed(page)
+        merged = defaultdict(lambda: ([], []))
+        for path, kids, text in t.nodes:
+            merged[path][0].append(tuple(kids))
+            merged[path][1].append(tuple(text))
+        for path, (kids, text) in merged.items():
+            seen[host, path].add((tuple(t.text), tuple(kids), tuple(text)))
+    entropy = lambda xs: 1.0 if len(xs) < 2 else -sum(k / len(xs) * math.log(k / len(xs)) for k in Counter(xs).values()) / math.log(len(xs))
+    return [(host, len(v), round(entropy([x[1] for x in v]), 9), round(entropy([x[2] for x in v]), 9)) for (host, _), v in seen.items()]
+
+
+def test_html_importance_by_a_plain_tree(spark):
+    import random
+
+    draw = random.Random(2)
+
+    def node(depth):
+        if depth == 3 or draw.random() < 0.3:
+            return f"<p>{draw.choice('abc')}</p>"
+        return f"<div class={draw.choice(['x', 'y'])}>{''.join(node(depth + 1) for _ in range(draw.randrange(1, 4)))}</div>"
+
+    pages = [(f"h{draw.randrange(3)}.org", f"<section>{node(0)}{node(1)}</section>") for _ in range(120)]
+    got = html.importance(spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string")).collect()
+    assert Counter((r.host, r.n_pages, round(abs(r.presentation), 9), round(abs(r.content), 9)) for r in got) == Counter((h, n, abs(a), abs(b)) for h, n, a, b in plain_tree(pages))
+    assert all(r.entropy == pytest.approx((1 + r.n_pages * (0.3 * r.presentation + 0.7 * r.content)) / (1 + r.n_pages)) for r in got)
+
+
+LONG = {"open": "<div>x" * 50_000, "inline": "<div><span>x" * 30_000 + "</b>" * 30_000, "quote": '<a "x' * 100_000, "quotes": '<a "x>' * 100_001, "comments": "<!--" * 100_000, "raw": "<svg>" * 100_000, "barrier": "<i><article>" + "<div>" * 50_000 + "</i>" * 50_000, "less": "<" * 1_000_000}
+
+
+@pytest.mark.parametrize("name", list(LONG))
+def test_html_long_malformed_pages(name):
+    began = time.monotonic()
+    text = html.main_text(LONG[name])
+    assert html.variants(LONG[name]) is not None and time.monotonic() - began < 20
+    assert text.count("x") == LONG[name].count("x") if name in ("open", "inline", "quote") else True
+
+
 def test_html_rows(pages):
     got = html.extract(pages).collect()
     assert Counter((r.page_id, r.url) for r in got) == Counter((r.page_id, r.url) for r in pages.select("page_id", "url").collect())
