@@ -1,9 +1,9 @@
 """WARC archives: index first, then coalesced byte-range reads.
 
 ``write`` makes gzip-member-per-record WARC 1.1 files in a folder and returns the index as a table: file, offset, length,
-URL, digest and record type of every record, written in the same pass. ``read`` takes any selection of index rows, puts
-them in file order, joins ranges that lie close together into one read, and parses the records; payload digests are
-checked on the way.
+URL, digest and record type of every record, written in the same pass. ``read`` takes any selection of index rows, deals
+them out by archive bytes (the number of tasks is set, since the index rows are small whatever they stand for), puts them in file order, joins ranges
+that lie close together into one read, and parses the records; payload digests are checked on the way.
 
 Equal payloads: the record with the smallest ``page_id`` is the response, the others are revisit records (identical payload
 digest profile) that carry the response's headers but no payload. Which is which is a partial minimum by digest and a join,
@@ -39,6 +39,8 @@ RECORD = "page_id long, url string, record_type string, refers_to long, payload_
 FILE_BYTES = 1 << 30
 #: Ranges are read together if at most GAP bytes lie between them and they span at most SPAN bytes.
 GAP, SPAN = 64 << 10, 8 << 20
+#: Records are dealt to tasks by stretches of BIN bytes of a file, so that a task reads about TASK bytes.
+BIN, TASK = 16 << 20, 128 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -128,7 +130,14 @@ def write(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", lea
     return pages.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
-def read(index: DataFrame, folder: str) -> DataFrame:
+def tasks_for(selected: DataFrame, bin_bytes: int, task_bytes: int) -> int:
+    """How many tasks read the selected ranges: ``task_bytes`` for each, but no fewer than there are cores as long as the stretches suffice."""
+    total = selected.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    bins = selected.select("file", (F.col("offset") / bin_bytes).cast("long").alias("bin")).distinct().count()
+    return max(1, -(-total // task_bytes), min(bins, selected.sparkSession.sparkContext.defaultParallelism))
+
+
+def read(index: DataFrame, folder: str, bin_bytes: int = BIN, task_bytes: int = TASK) -> DataFrame:
     """The records of the selected rows of ``index``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,8 +164,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 f.close()
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    ordered = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
-    return ordered.mapInPandas(run, RECORD)
+    selected = index.select("file", "offset", "length")
+    dealt = selected.repartition(tasks_for(selected, bin_bytes, task_bytes), "file", (F.col("offset") / bin_bytes).cast("long"))
+    return dealt.sortWithinPartitions("file", "offset").mapInPandas(run, RECORD)
 
 
 def archive(pages: DataFrame, least_revisit: int = 0) -> DataFrame:

@@ -59,6 +59,17 @@ def test_warc_round_trip(spark, pages):
     assert Counter(r.url for r in some) == Counter(r.url for r in want if r.url and r.url.startswith("http://h1"))
 
 
+def test_warc_reads_in_tasks_by_bytes(spark):
+    draw = np.random.default_rng(0)
+    rows = [(i, f"http://a.org/{i}", draw.bytes(3000).hex()) for i in range(600)]
+    folder = shared_dir(spark, "warc-tasks")
+    index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), folder)
+    total = index.agg(F.sum("length")).first()[0]
+    tasks = warc.read(index, folder, 20_000, total // 24).select("page_id", F.length("payload").alias("n"), F.spark_partition_id().alias("task")).groupBy("task").agg(F.sum("n").alias("n"), F.count("*").alias("records")).collect()
+    assert sum(r.records for r in tasks) == 600 and len(tasks) >= 16 and max(r.n for r in tasks) < 5 * 600 * 6000 / 24
+    assert warc.tasks_for(index, 20_000, total) == min(spark.sparkContext.defaultParallelism, -(-total // 20_000) + 2)
+
+
 def test_warc_record_is_a_gzip_member():
     member, digest = warc.record(7, "http://a.org/", b"<p>x</p>", None, "2024-01-01T00:00:00Z")
     raw = gzip.decompress(member)
