@@ -1,7 +1,8 @@
 """Exact dedup by content-defined chunk recipes (DataFrame functions only).
 
-1. A text is cut after a line end or sentence end once a chunk has ``LEAST`` characters (at ``MOST`` at the latest), so
-   equal stretches give equal chunks wherever they stand. Its recipe is the ordered list of the chunks' digests.
+1. A text is cut after each sentence (without spaces around it; or line; after ``LONG`` characters where none ends) whose hash is 0 modulo ``SENTENCES``. Where a
+   chunk ends depends on that sentence alone, so equal stretches give equal chunks wherever they stand, but for the first. Chunks of
+   more than ``MOST`` characters are cut further from their own beginning. A text's recipe is the ordered list of its chunks' digests.
 2. The chunks are made distinct (digest and content, combined before the shuffle), which moves each distinct chunk
    once a task. A digest with two contents is no identifier; where that happens the content itself takes its place
    in the recipes, so that equal recipes always mean equal texts.
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, staged, whole_text
 
-LEAST, MOST = 800, 6000
-#: A chunk: LEAST characters, then on to the next end of a line or sentence, but no further than MOST.
-CHUNK = rf"(?s).{{{LEAST}}}.{{0,{MOST - LEAST}}}?(?:\n|[.!?](?=\s))|.{{1,{MOST}}}"
+SENTENCES, LONG, MOST = 8, 400, 8000
+SENTENCE = rf"(?s).{{1,{LONG}}}?(?:\n|[.!?](?=\s)|\z)|.{{{LONG}}}"
+PIECE = rf"(?s).{{1,{MOST}}}"
+#: Marks chunk ends while the sentences are put together; a text that has it is cut into pieces of equal length instead.
+MARK = "\x01"
 
 
 def normalised(docs: DataFrame) -> Column:
@@ -34,10 +37,20 @@ def sha256(x: Column) -> Column:
     return F.unhex(F.sha2(x, 256))
 
 
+def chunks(text: Column) -> Column:
+    """The chunks of a text, in order; joined they are the text."""
+    ends = lambda s: F.pmod(F.xxhash64(F.trim(s)), F.lit(SENTENCES)) == 0
+    marked = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.when(ends(s), F.concat(s, F.lit(MARK))).otherwise(s))
+    cut = F.filter(F.split(F.array_join(marked, ""), MARK, -1), lambda c: c != "")
+    pieces = lambda c: F.regexp_extract_all(c, F.lit(PIECE), F.lit(0))
+    short = F.flatten(F.transform(cut, lambda c: F.when(F.length(c) > MOST, pieces(c)).otherwise(F.array(c))))
+    return F.when(F.contains(text, F.lit(MARK)), pieces(text)).otherwise(short)
+
+
 def recipes(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """A row for each document: row (a number), doc_id, text_sha256 and recipe (binary, the ordered identifiers)."""
     text = docs.select(docs["doc_id"], normalised(docs).alias("_text"))
-    cut = text.select("doc_id", "_text", F.regexp_extract_all("_text", F.lit(CHUNK), F.lit(0)).alias("_chunks"))
+    cut = text.select("doc_id", "_text", chunks(F.col("_text")).alias("_chunks"))
     listed = cut.select("doc_id", F.sha2("_text", 256).alias("text_sha256"), F.transform("_chunks", digest).alias("recipe"))
     listed = staged(listed.withColumn("row", F.monotonically_increasing_id()), "recipes")
     contents = cut.select(F.explode("_chunks").alias("chunk")).select(digest(F.col("chunk")).alias("digest"), "chunk").distinct()
@@ -62,14 +75,16 @@ def groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns."""
+    """The documents that stay, with their own columns; of rows that repeat in id and text the first by their JSON."""
     decided = staged(groups(docs), "groups")
     goes = decided.filter("NOT kept")
-    # rows that repeat whole (same id and text) go by number: one of them stays
-    again = goes.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "text_sha256").distinct()
+    # of rows with one id and text all but one go: only those are grouped
+    again = staged(goes.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "repeated")
     goes = goes.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("_row"), docs["doc_id"].alias("doc_id"), F.sha2(normalised(docs), 256).alias("text_sha256"))
-    left = rows.join(goes, rows["doc_id"].eqNullSafe(goes["_id"]) & (rows["text_sha256"] == goes["_sha"]), "left_anti")
-    if not again.isEmpty():
-        left = left.groupBy("doc_id", "text_sha256").agg(F.first("_row").alias("_row"))
-    return left.select("_row.*")
+    same = lambda keys: rows["doc_id"].eqNullSafe(keys["_id"]) & (rows["text_sha256"] == keys["_sha"])
+    if again.isEmpty():
+        return rows.join(goes, same(goes), "left_anti").select("_row.*")
+    others = rows.join(goes.unionByName(again), same(goes), "left_anti").select("_row")
+    one = rows.join(again, same(again), "left_semi").groupBy("doc_id", "text_sha256").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row")
+    return others.unionByName(one).select("_row.*")

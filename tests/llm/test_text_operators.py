@@ -70,6 +70,27 @@ def test_exact_groups(docs, rows, digest):
     assert Counter((r.doc_id, r.text_sha256) for r in got) == Counter((r[0], hashlib.sha256(lowered(r[1]).encode()).hexdigest()) for r in rows)
 
 
+def test_chunks_are_the_text_and_follow_its_content(spark):
+    import random
+
+    draw = random.Random(1)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    sentence = lambda: " ".join(word() for _ in range(draw.randrange(5, 20))) + draw.choice([".", "!", ".\n"])
+    texts = [" ".join(sentence() for _ in range(200)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, sentence() + " " + t) for i, t in enumerate(texts)]
+    rows += [(200, "a\x01b. " * 3000), (201, "same sentence. " * 3000), (202, "x" * 50_000), (203, ""), (204, "\n\n. ! ")]
+    got = {r.doc_id: r.c for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", exact_dedup.chunks(F.col("text")).alias("c")).collect()}
+    assert all("".join(got[i]) == t for i, t in rows) and all(len(c) <= exact_dedup.MOST for x in got.values() for c in x)
+    for i in range(30):
+        assert len(got[i]) > 10 and len(set(got[i]) & set(got[100 + i])) >= len(got[i]) - 1
+
+
+def test_exact_dedup_of_repeated_rows(spark):
+    rows = [(7, "A b", "x"), (7, "a B", "y"), (7, "a B", "y"), (3, "a b", "z"), (None, "a b", "n"), (1, "other", "o"), (None, "alone", "n"), (None, "alone", "m")]
+    kept = [tuple(r) for r in exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, _row string")).collect()]
+    assert sorted(kept, key=str) == sorted([(7, "A b", "x"), (1, "other", "o"), (None, "alone", "m")], key=str)
+
+
 def test_exact_dedup_rows(docs, rows):
     kept = exact_dedup.dedup(docs)
     assert kept.columns == docs.columns
