@@ -1,6 +1,6 @@
 """Exact dedup by content-defined chunk recipes (DataFrame functions only).
 
-1. A text is cut after each sentence (without spaces around it; or line; after ``LONG`` characters where none ends) whose hash is 0 modulo ``SENTENCES``. Where a
+1. A text is cut after each sentence (without white space around it; or line; after ``LONG`` characters where none ends) whose hash is 0 modulo ``SENTENCES``. Where a
    chunk ends depends on that sentence alone, so equal stretches give equal chunks wherever they stand, but for the first. Chunks of
    more than ``MOST`` characters are cut further from their own beginning. A text's recipe is the ordered list of its chunks' digests.
 2. The chunks are made distinct (digest and content, combined before the shuffle), which moves each distinct chunk
@@ -39,7 +39,7 @@ def sha256(x: Column) -> Column:
 
 def chunks(text: Column) -> Column:
     """The chunks of a text, in order; joined they are the text."""
-    ends = lambda s: F.pmod(F.xxhash64(F.trim(s)), F.lit(SENTENCES)) == 0
+    ends = lambda s: F.pmod(F.xxhash64(F.btrim(s, F.lit(" \n"))), F.lit(SENTENCES)) == 0
     marked = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.when(ends(s), F.concat(s, F.lit(MARK))).otherwise(s))
     cut = F.filter(F.split(F.array_join(marked, ""), MARK, -1), lambda c: c != "")
     pieces = lambda c: F.regexp_extract_all(c, F.lit(PIECE), F.lit(0))
