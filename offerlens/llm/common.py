@@ -33,16 +33,24 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the one that ``spark.checkpoint.dir`` names, which driver and executors share.
+    """A new folder below the one that ``spark.checkpoint.dir`` names, which driver and executors share; ``discard`` removes all of a session.
 
-    Only where the session names none (tests on one machine) a temporary folder is used.
+    Only where the session names none and runs on one machine a temporary folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         base = _own[0]
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Removes all tables that this session has staged; results that read from them must be written by then."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "none").rpartition("/")[0])
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

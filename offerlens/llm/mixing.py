@@ -6,7 +6,8 @@ times ``BITS`` bits), until the threshold is exact to ``2**-36`` of the hash ran
 below its source's threshold is taken (once more); a second threshold, for documents short enough, fills what is left. Nothing is sorted but histograms of at most ``2**BITS``
 buckets a source; what is shuffled are partial sums by source and bucket.
 
-Thresholds nest: a larger budget of a source takes the documents of a smaller one and more.
+The first thresholds nest: a larger budget of a source takes by hash what a smaller one takes by hash, and more. The filling doesn't: what is short
+enough depends on what is left of the budget.
 
 Defined results: a null text has size 0; null sources form one source, the last; rows that repeat (same id
 and text) share their hash and are taken together or not at all; a source of size 0 has target 0;

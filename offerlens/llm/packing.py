@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CAPACITY, END_ID, GROUPS, SMALL = 1024, 2, 1024, 128
+#: Counts by task are summed up in ranges of so many tasks first, so that no window holds a row for every task.
+TASKS_IN_RANGE = 32
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, rank long"
 
 
@@ -188,9 +190,11 @@ def plan_small(histogram: dict[int, int], rooms: dict[int, int]) -> tuple[np.nda
 
 def ranked(rows: DataFrame, by: str) -> DataFrame:
     """Turns a task's own rank among rows of equal ``by`` into a rank over all tasks."""
-    counts = rows.groupBy("part", by).agg((F.max("rank") + 1).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select(F.col("part").alias("_part"), F.col(by).alias("_by"), F.coalesce(before, F.lit(0)).alias("_base"))
+    counts = rows.groupBy("part", by).agg((F.max("rank") + 1).alias("n")).withColumn("_range", (F.col("part") / TASKS_IN_RANGE).cast("int"))
+    upto = lambda keys, order: F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = counts.withColumn("_inside", upto([by, "_range"], "part"))
+    ranges = counts.groupBy(by, "_range").agg(F.sum("n").alias("n")).withColumn("_before", upto([by], "_range")).drop("n")
+    base = inside.join(ranges, [by, "_range"]).select(F.col("part").alias("_part"), F.col(by).alias("_by"), (F.col("_inside") + F.col("_before")).alias("_base"))
     joined = rows.join(base, (rows["part"] == base["_part"]) & (rows[by] == base["_by"]))
     return joined.withColumn("rank", F.col("rank") + F.col("_base")).drop("_part", "_by", "_base", "part")
 

@@ -48,15 +48,15 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _repeat_words(windows: str) -> str:
+def _repeat_words(windows: str, place_bits: int = 24) -> str:
     """SQL for the number of words that lie in a window that is found twice or more among ``windows``.
 
-    A text whose windows all differ has none. Else numbers made of 40 bits of a window's hash and its place are
+    A text whose windows all differ has none. Else numbers made of the upper bits of a window's hash and its place are
     sorted, neighbours of equal hash are compared as strings, and the places of equal ones counted. If such
-    neighbours ever differ, or the text is too long for the place's 24 bits, the windows themselves are sorted.
+    neighbours ever differ, or the text is too long for the place's ``place_bits`` bits, the windows themselves are sorted.
     """
     covered = f"aggregate(transform(p, (x, i) -> coalesce(least({WINDOW}, x - get(p, i - 1)), {WINDOW})), 0L, (a, x) -> a + x)"
-    low = (1 << 24) - 1
+    low = (1 << place_bits) - 1
     keys = f"sort_array(transform({windows}, (w, i) -> (xxhash64(w) & {~low}L) | i))"
     same = lambda j: f"coalesce((get(s, i + {j}) & {~low}L) = (x & {~low}L), false)"
     text = lambda j: f"get({windows}, int(get(s, i + {j}) & {low}L))"
@@ -68,7 +68,7 @@ def _repeat_words(windows: str) -> str:
     return f"CASE WHEN size(array_distinct({windows})) = size({windows}) THEN 0L ELSE {_let('n', sure, f'CASE WHEN n < 0 THEN {exact} ELSE n END')} END"
 
 
-def measure(docs: DataFrame, *keep: str) -> DataFrame:
+def measure(docs: DataFrame, *keep: str, place_bits: int = 24) -> DataFrame:
     """The measures of every text, beside the columns ``keep`` of ``docs``."""
     text = whole_text(docs)
     base = docs.select(
@@ -86,7 +86,7 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(_repeat_words("_windows")).alias("n_repeat_words"),
+        F.expr(_repeat_words("_windows", place_bits)).alias("n_repeat_words"),
         F.expr(f"size(filter(_words, w -> w IN ({stop})))").cast("long").alias("n_stop_words"),
         F.length(F.regexp_replace("_text", "[^A-Z]+", "")).cast("long").alias("n_capitals"),
     )

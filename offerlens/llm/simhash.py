@@ -15,14 +15,16 @@ Defined results: a null or wordless text has fingerprint zero and is linked like
 fingerprint and component; a null ``doc_id`` is in its component but never names it, unless all are null; an empty
 table gives an empty result; extra columns are ignored by ``components`` and carried by ``dedup``.
 
-``dedup`` (the pipeline's near-dedup) does not decide on fingerprints: MinHash bands give candidates, and each link is verified by the exact
-Jaccard similarity of the shingle sets.
+``dedup`` (the pipeline's near-dedup) finds pairs of shingle sets of Jaccard similarity 0.8 or more by the same comparison. Such pairs differ in up
+to about 24 of 128 fingerprint bits, and no choice of bits is common to them, so nodes are dealt out by keys of their shingles (minima of hashes)
+instead of fingerprint parts. Within a key, large groups of copies are first joined to one of their number by turns; the rest is compared
+bit-sliced within a radius of ``NEAR_RADIUS`` bits, and each pair found is verified by the exact similarity of its sets.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -116,33 +118,40 @@ def near_at(planes: np.ndarray, shift: int, lanes: int, radius: int) -> np.ndarr
     return found[found < lanes]
 
 
-def forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (places of a class's first member and of each other) among fingerprints of equal key; ``keys`` is sorted."""
+def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of fingerprints of equal key that differ in at most ``radius`` bits, by and by; ``keys`` is sorted."""
     _, first, sizes = np.unique(keys, return_index=True, return_counts=True)
     big = np.argsort(-sizes, kind="stable")
     big = big[sizes[big] > 1]
     if not len(big):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return
     counts = sizes[big]
     place = np.repeat(first[big] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-    group = np.repeat(np.arange(len(big)), counts)
-    lanes = np.repeat(counts, counts)
-    planes, root = planes_of(fps[place]), np.arange(len(place))
+    group, lanes = np.repeat(np.arange(len(big)), counts), np.repeat(counts, counts)
+    planes = planes_of(fps[place])
     for shift in range(1, int(counts[0])):
         upto = int(np.searchsorted(-lanes, -shift, "left"))  # larger keys stand first
         hit = near_at(planes, shift, min(upto, len(place) - shift), radius)
         hit = hit[group[hit] == group[hit + shift]]
-        while len(hit):
-            a, b = root[hit], root[hit + shift]
-            open_ = a != b
-            hit, a, b = hit[open_], a[open_], b[open_]
-            if not len(hit):
+        if len(hit):
+            yield place[hit], place[hit + shift]
+
+
+def forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places of a class's first member and of each other) among fingerprints of equal key; ``keys`` is sorted."""
+    root = np.arange(len(keys))
+    for a, b in near_pairs(keys, fps, radius):
+        while len(a):
+            x, y = root[a], root[b]
+            open_ = x != y
+            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+            if not len(a):
                 break
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
             while not np.array_equal(root, up := root[root]):
                 root = up
     other = np.nonzero(root != np.arange(len(root)))[0]
-    return place[root[other]], place[other]
+    return root[other], other
 
 
 def exact_keys(radius: int, parts: int) -> list[list[int]]:
@@ -165,31 +174,40 @@ def links(nodes: DataFrame, width: int, radius: int, keys: list[list[int]], tile
                 again = np.repeat(np.arange(len(fps)), len(keys))
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(c.column(i).take(pa.array(again)) for i in range(width + 1))], ["key", "id", *cols])
 
-    kinds = ", ".join(f"{c} long" for c in cols)
-    dealt = staged(nodes.select("id", *cols).mapInArrow(deal, f"key long, id long, {kinds}"), "dealt")
+    dealt = staged(nodes.select("id", *cols).mapInArrow(deal, f"key long, id long, {', '.join(f'{c} long' for c in cols)}"), "dealt")
+
+    def linked(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        a, b = forest(rows[:, 0], rows[:, 2:].view(np.uint64), radius)
+        yield rows[a, 1], rows[b, 1]
+
+    return compared(dealt, linked, tile)
+
+
+def compared(dealt: DataFrame, pairs_of: Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]], tile: int = TILE) -> DataFrame:
+    """Distinct (a, b), a < b, of the ids that ``pairs_of`` finds among rows of equal key; ``dealt`` is a table (key, id, more longs)."""
+    cols = dealt.columns[1:]
     # how many tiles a key needs; only keys with more than one are listed
     large = staged(dealt.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > tile).select("key", F.ceil(F.col("m") / tile).cast("int").alias("t")), "large")
     if not large.isEmpty():
         tiled = dealt.join(large, "key", "left").withColumn("t", F.coalesce("t", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("t")).cast("int"))
         pairs = F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("lo"), F.greatest(F.col("own"), o).alias("hi")))
-        dealt = tiled.select("key", "id", *cols, F.explode(pairs).alias("p")).select(F.xxhash64("key", "p.lo", "p.hi").alias("key"), "id", *cols)
+        dealt = tiled.select("key", *cols, F.explode(pairs).alias("p")).select(F.xxhash64("key", "p.lo", "p.hi").alias("key"), *cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((0, width + 2), np.int64)
+        rest = np.empty((0, len(cols) + 1), np.int64)
 
-        def out(rows: np.ndarray) -> pa.RecordBatch:
-            a, b = forest(rows[:, 0], rows[:, 2:].view(np.uint64), radius)
-            a, b = rows[a, 1], rows[b, 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a, b in pairs_of(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
             rest = np.concatenate((rest, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)))
             if len(rest) > 100_000 and rest[0, 0] != rest[-1, 0]:
                 cut = int(np.searchsorted(rest[:, 0], rest[-1, 0], "left"))  # the last key may go on
-                yield out(rest[:cut])
+                yield from out(rest[:cut])
                 rest = rest[cut:]
         if len(rest):
-            yield out(rest)
+            yield from out(rest)
 
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
@@ -227,7 +245,7 @@ def classed(docs: DataFrame, words_each: int, width: int, radius: int, keys: lis
     nodes = staged(nodes.withColumn("id", F.col("fp0") if width == 1 else F.monotonically_increasing_id()), "nodes")
     found = classes(links(nodes, width, radius, keys))
     named = staged(nodes.join(found, nodes["id"] == found["node"], "left").select(*cols, "least", F.coalesce("root", "id").alias("root")), "named")
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = staged(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")  # a table, so that a large component's nodes are split
     return prints.join(named.join(ids, "root").select(*cols, "component_id"), cols).select("doc_id", *cols, "component_id")
 
 
@@ -237,8 +255,10 @@ def components(docs: DataFrame, words_each: int = 3, radius: int = RADIUS, parts
     return of.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-dedup of the pipeline: candidates by MinHash, links by exact Jaccard similarity of shingle sets.
+# Near-dedup of the pipeline: keys by minima of shingle hashes, bit-sliced comparison within a key, links by exact Jaccard similarity.
 SHINGLE, BANDS, ROWS, LEADER_ROUNDS = 5, 24, 4, 4
+#: Of similarity 0.8 a bit differs with probability 0.19 at most (sets of 5 and 4 shingles): 24 of 128 bits, deviation 4.4. Unlike texts differ in 64.
+NEAR_RADIUS = 48
 #: Texts of similarity exactly 0.8 share no band with (1 - 0.8**4)**24 = 3e-6.
 FACTORS = np.random.default_rng(11).integers(0, 2**63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -254,6 +274,16 @@ def shingles(text: str | None, words_each: int = SHINGLE) -> tuple[bytes, np.nda
     return joined, np.unique(np.frombuffer(hashes, ">u8").astype(np.uint64))
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """The 128-bit fingerprint of a set of shingle hashes, as two words."""
+    counts = np.zeros(128, np.int64)
+    for at in range(0, len(hashes), HASHES_AT_ONCE):
+        part = hashes[at : at + HASHES_AT_ONCE]
+        both = np.stack((part, (part ^ part >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)), axis=1)
+        counts += np.unpackbits(both.astype("<u8").view(np.uint8).reshape(len(part), 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
+
+
 def bands(hashes: np.ndarray) -> np.ndarray:
     """A key for each band: ``ROWS`` minima of the hashes, multiplied by odd factors."""
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max)
@@ -282,17 +312,26 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def verified_links(keyed: DataFrame, sets: DataFrame, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
-    """(node, root) of nodes joined by similar pairs that share a key of ``keyed`` (key, id, n: size of its set).
+    """(node, root) of nodes joined by similar pairs that share a key.
 
     In a few rounds each key's nodes are verified against one of them, by turns, so that a large group of near copies is joined by pairs in
-    proportion to its size; then every pair that shares a key and is not yet in one class is verified, so no pair is passed over.
+    proportion to its size; then all nodes that share a key and are not yet in one class are compared bit-sliced, and what is near is verified.
+    ``keyed`` is (key, id, n: size of its set, fp0, fp1).
     """
     spark, sized = keyed.sparkSession, F.least("n", "n2") * 5 >= F.greatest("n", "n2") * 4
     ordered = [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")]
     edges = tried = spark.createDataFrame([], "a long, b long")
     found = spark.createDataFrame([], "node long, root long")
+
+    def candidates(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of near fingerprints that are in different classes and whose sets' sizes allow the similarity; rows are those of ``now``."""
+        _, node, size, root = rows.T[:4]
+        for a, b in near_pairs(rows[:, 0], rows[:, 4:].view(np.uint64), NEAR_RADIUS):
+            fits = (root[a] != root[b]) & (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b]))
+            yield node[a[fits]], node[b[fits]]
+
     for turn in range(leader_rounds + 1):
-        now = staged(keyed.join(found, keyed["id"] == found["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "rooted")
+        now = staged(keyed.join(found, keyed["id"] == found["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"), "fp0", "fp1"), "rooted")
         mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
         now = staged(now.join(mixed, "key"), "mixed")
         if now.isEmpty():
@@ -301,10 +340,7 @@ def verified_links(keyed: DataFrame, sets: DataFrame, leader_rounds: int = LEADE
             led = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "root")).alias("l")).select("key", F.col("l.id").alias("id2"), F.col("l.n").alias("n2"), F.col("l.root").alias("root2"))
             pairs = now.join(led, "key").filter((F.col("root") != F.col("root2")) & sized).select(*ordered)
         else:
-            roots = now.select("key", "root").distinct()
-            apart = roots.join(roots.select("key", F.col("root").alias("root2")), "key").filter("root < root2")
-            other = now.select("key", F.col("root").alias("root2"), F.col("id").alias("id2"), F.col("n").alias("n2"))
-            pairs = now.join(apart, ["key", "root"]).join(other, ["key", "root2"]).filter(sized).select(*ordered)
+            pairs = compared(now, candidates)
         pairs = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tried = tried.unionByName(pairs)
@@ -313,7 +349,7 @@ def verified_links(keyed: DataFrame, sets: DataFrame, leader_rounds: int = LEADE
     return found
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
     """The documents that stay, with their own columns: of each class of near copies the one with the smallest doc_id.
 
     Links are pairs of five-word shingle sets of Jaccard similarity 0.8 or more. Rows that repeat whole (doc_id and text) stay or go
@@ -324,32 +360,34 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, sizes, keys = [], [], []
+            words, sizes, keys, prints = [], [], [], []
             for text in b.column(3).to_pylist():
                 joined, hashes = shingles(text)
                 words.append(xxhash.xxh3_128_digest(joined))
                 sizes.append(len(hashes))
                 keys.append(bands(hashes))
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(words, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["_id", "_t0", "_t1", "words", "n", "keys"])
+                prints.append(sketch(hashes))
+            fps = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(words, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], ["_id", "_t0", "_t1", "words", "n", "keys", "fp0", "fp1"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t)[1].tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["id", "hashes"])
 
-    rows = staged(slim.mapInArrow(run, "_id long, _t0 long, _t1 int, words binary, n long, keys array<long>"), "minhashes")
+    rows = staged(slim.mapInArrow(run, "_id long, _t0 long, _t1 int, words binary, n long, keys array<long>, fp0 long, fp1 long"), "minhashes")
     name = F.struct(F.col("_id").isNull().alias("none"), "_id", "_t0", "_t1")
-    nodes = rows.groupBy("words").agg(F.min(name).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = rows.groupBy("words").agg(F.min(name).alias("least"), *(F.first(c).alias(c) for c in ("n", "keys", "fp0", "fp1")))  # the same for equal words
     nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
-    keyed = staged(nodes.select(F.explode("keys").alias("key"), "id", "n"), "keyed")
+    keyed = staged(nodes.select(F.explode("keys").alias("key"), "id", "n", "fp0", "fp1"), "keyed")
     shared = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo != hi").select("key")
     keyed = staged(keyed.join(shared, "key"), "shared-keys")
     wanted = nodes.join(keyed.select("id").distinct(), "id").select("id", "least._id", "least._t0", "least._t1")
     same = slim["_id"].eqNullSafe(wanted["_id"]) & (slim["_t0"] == wanted["_t0"]) & (slim["_t1"] == wanted["_t1"])
     texts = slim.join(wanted, same).select("id", "text").dropDuplicates(["id"])
     sets = staged(texts.mapInArrow(hashed, "id long, hashes binary"), "shingle-sets")
-    found = verified_links(keyed, sets)
+    found = verified_links(keyed, sets, leader_rounds)
     named = staged(nodes.join(found, nodes["id"] == found["node"], "left").select("words", "least", F.coalesce("root", "id").alias("root")), "named")
-    stays = named.groupBy("root").agg(F.min("least").alias("stays"))
+    stays = staged(named.groupBy("root").agg(F.min("least").alias("stays")), "stays")  # a table, so that a large class's nodes are split
     of = rows.join(named.join(stays, "root").select("words", "stays"), "words")
     goes = of.filter(name != F.col("stays")).select("_id", "_t0", "_t1").distinct()
     text = docs["text"].cast("string")

@@ -9,12 +9,16 @@ a text, or a very long one) is counted there; of any other a row goes out with t
 (at most COMMON of them). Rows are dealt out by pre-token and sorted, so each distinct one is counted once, and the sums for a
 block return as one row a task. Frequent words therefore never meet in one task.
 
+That holds for byte-level BPE files that part words by the usual pattern (``has_borders``). For any other file a whole text is its only pre-token
+and is counted where it is read.
+
 Defined results: a null text counts as empty (0 tokens); null in other columns changes nothing; rows that repeat are
 counted each; a null ``doc_id`` is returned as null; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -52,6 +56,27 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+def has_borders(path: str) -> bool:
+    """Whether the file's own pre-tokens end before every space that follows a character other than white space."""
+    if not path.endswith(".json"):
+        return False
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    pre = spec.get("pre_tokenizer") or {}
+    return not spec.get("normalizer") and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space")
+
+
+def whole_texts(path: str):
+    """Counts each text as one pre-token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counter(path)(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+
+    return run
+
+
 def pre_tokens(text: str) -> list[str]:
     """The pre-tokens of a text; all but the first without the space they begin with. Joined by spaces they are the text."""
     return BORDER.split(text) if ODD.search(text) else text.split(" ")
@@ -211,8 +236,11 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, block_bytes: int = BLOCK_BYTES, common: int = COMMON) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document, for the tokenizer file at ``path``."""
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    kind, over = "doc_id long, n_bytes long, n_tokens long", (F.col("n_tokens") > limit).alias("over_limit")
+    if not has_borders(path):
+        return slim.mapInArrow(whole_texts(path), kind).select("doc_id", "n_bytes", "n_tokens", over)
     parts = slim.mapInArrow(blocks(path, block_bytes, common), PARTS)
     dealt = parts.repartition(F.coalesce("term", F.concat("block", F.lit(" "), "n"))).sortWithinPartitions("term")
     found = dealt.mapInArrow(sums(path), SUMS)
-    whole = found.repartition("block").sortWithinPartitions("block").mapInArrow(merged, "doc_id long, n_bytes long, n_tokens long")
-    return whole.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    whole = found.repartition("block").sortWithinPartitions("block").mapInArrow(merged, kind)
+    return whole.select("doc_id", "n_bytes", "n_tokens", over)

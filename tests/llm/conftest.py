@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+from offerlens.llm.common import discard
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, keep_id string, row string, term string"
 WORDS = "the of and a in to is wave stone river light paper green seven house small quick over under through market winter morning idle".split()
 
@@ -29,6 +31,12 @@ def docs(spark, rows):
     return spark.createDataFrame(rows, DOCS).repartition(3)
 
 
+@pytest.fixture(scope="session", autouse=True)
+def staged_tables_go(spark):
+    yield
+    discard(spark)
+
+
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], DOCS)

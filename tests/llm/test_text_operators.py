@@ -50,6 +50,16 @@ def test_quality_repeats_of_a_long_text(spark):
     assert got.n_repeat_words == measures(text)[4]
 
 
+@pytest.mark.parametrize("place_bits", [60, 3], ids=["clashing hashes", "more windows than places"])
+def test_quality_repeats_by_the_windows_themselves(spark, place_bits):
+    import random
+
+    draw = random.Random(2)
+    texts = [" ".join(draw.choice("abc") for _ in range(n)) for n in (4, 5, 9, 30, 100, 400)] + [" ".join(f"w{i}" for i in range(100)) + " w1 w2 w3 w4 w5 w6"]
+    got = quality.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", place_bits=place_bits).collect()
+    assert {r.doc_id: r.n_repeat_words for r in got} == {i: measures(t)[4] for i, t in enumerate(texts)}
+
+
 def lowered(text):
     return (text or "").translate(LOWER)
 
@@ -187,6 +197,27 @@ def test_near_dedup_follows_the_shingle_rule(spark):
     assert {r.doc_id for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
 
 
+def test_near_dedup_recall_against_all_pairs(spark):
+    """Of all pairs of similarity 0.8 or more in the small documents, each must end with one of the two at most."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = {i: simhash.shingles(t)[1] for i, t in rows}
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    near = [(a, b) for n, b in enumerate(ids) for a in ids[:n] if 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])) and simhash.similar(sets[a], sets[b])]
+    for a, b in near:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    for rounds in (0, simhash.LEADER_ROUNDS):  # the bit-sliced comparison alone, and after the turns
+        kept = {r.doc_id for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string"), rounds).collect()}
+        assert len(near) > 50 and kept == {find(i) for i in ids}
+
+
 def test_near_dedup_links_through_others(spark):
     base = [f"word{i}" for i in range(304)]
     chain = [(i, " ".join(w if not any(k == 20 + 25 * j for j in range(3 * i)) else f"new{k}" for k, w in enumerate(base))) for i in range(4)]
