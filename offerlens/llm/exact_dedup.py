@@ -53,7 +53,9 @@ def recipes(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Dat
     cut = text.select("doc_id", "_text", chunks(F.col("_text")).alias("_chunks"))
     listed = cut.select("doc_id", F.sha2("_text", 256).alias("text_sha256"), F.transform("_chunks", digest).alias("recipe"))
     listed = staged(listed.withColumn("row", F.monotonically_increasing_id()), "recipes")
-    contents = cut.select(F.explode("_chunks").alias("chunk")).select(digest(F.col("chunk")).alias("digest"), "chunk").distinct()
+    # explode() would filter by the number of chunks first, and cut every text once more for that
+    listed_chunks = cut.select(F.explode_outer("_chunks").alias("chunk")).filter("chunk IS NOT NULL")
+    contents = listed_chunks.select(digest(F.col("chunk")).alias("digest"), "chunk").distinct()
     clashes = staged(contents.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "clashes")
     if clashes.isEmpty():
         return listed
