@@ -57,7 +57,11 @@ class Engine:
     def record(self, listings: DataFrame) -> None:
         """Appends listings as sightings of now."""
         now = time.time_ns()
-        rows = listings.select(F.col("id").alias("product_id"), "source", F.lit(datetime.fromtimestamp(now / 1e9, UTC)).cast("timestamp").alias("recorded_at"), (F.lit(now) + F.monotonically_increasing_id() % 1000).alias("seq"), "name", "url", "image_url", "price_euro", "in_stock", "ean", "sku", "brand")
+        order = [c for c in ("arrival", "rank", "query_id") if c in listings.columns]
+        # sorted, so that numbers rise with arrival: a task's number, then the row's within it
+        listings = listings.orderBy(*order).withColumn("_place", F.monotonically_increasing_id())
+        place = F.shiftleft(F.shiftright("_place", 33), 24) + (F.col("_place") % (1 << 33))
+        rows = listings.select(F.col("id").alias("product_id"), "source", F.lit(datetime.fromtimestamp(now / 1e9, UTC)).cast("timestamp").alias("recorded_at"), (F.lit(now) + place).alias("seq"), "name", "url", "image_url", "price_euro", "in_stock", "ean", "sku", "brand")
         rows.write.mode("append").partitionBy("source").parquet(f"{self.folder}/sightings")
 
     def search(self, payloads: DataFrame, limit: int = 10, source: str | None = None, filters: Filters = Filters()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -71,7 +75,7 @@ class Engine:
         """Product groups over all sources' replies; filters come before the grouping."""
         listings, _, _ = self.search(payloads, limit, None, filters)
         if enrich:
-            listings = parsers.enrich(listings, parsers.html_products(payloads)).drop("enriched")
+            listings = parsers.enrich(listings, parsers.product_listings(payloads)).drop("enriched")
         return M.groups(signature(listings), threshold, multi_only)
 
     def get_product(self, product_id: str, source: str) -> DataFrame:
@@ -118,10 +122,12 @@ class Engine:
         """Records the tracked products' pages; those without one are errors. Alerts that are reached are in the reply."""
         before = self.history.count()
         tracked = A.tracked(self.actions).select(*H.KEY)
-        pages = parsers.html_products(payloads)
+        pages = parsers.product_listings(payloads)
         found = pages.join(tracked, (pages["id"] == tracked["product_id"]) & (pages["source"] == tracked["source"]), "left_semi")
         missing = tracked.join(pages.select(F.col("id").alias("product_id"), "source"), H.KEY, "left_anti")
-        errors = [{"product_id": r.product_id, "source": r.source, "error": f"{r.product_id} no longer listed"} for r in missing.collect()]
+        failed = parsers.errors(payloads.filter("kind = 'product'")).groupBy(F.col("query_id").alias("product_id"), "source").agg(F.min("error").alias("error"))
+        said = missing.join(failed, H.KEY, "left").select(*H.KEY, F.coalesce("error", F.concat("product_id", F.lit(" no longer listed"))).alias("error"))
+        errors = [r.asDict() for r in said.collect()]
         updated = found.count()
         self.record(found)
         reached = [json.loads(x) for x in self.alerts().filter("triggered").toJSON().collect()]

@@ -24,9 +24,13 @@ EAN, SKU, MODEL, NAME = range(4)
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
-    """A table in the shared folder that ``spark.checkpoint.dir`` names (a temporary one where it is unset)."""
+    """A table in the shared folder that ``spark.checkpoint.dir`` names (a temporary one where it is unset, on one machine only)."""
     spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -272,10 +272,66 @@ def enrich_missing(spark, sf_dir):
     from ..sources.parsers import enrich
 
     t = titles(spark, sf_dir)
-    pages = t.filter("arrival % 4 != 3").select("source", "id", F.concat(F.lit("e"), "id").alias("ean"), F.when(F.col("arrival") % 8 == 0, F.concat(F.lit("s"), "id")).alias("sku"), F.lit("brand").alias("brand"))
+    pages = t.filter("arrival % 4 != 3").select("source", "id", F.when(F.col("arrival") % 5 != 0, F.concat(F.lit("e"), "id")).alias("ean"), F.when(F.col("arrival") % 8 == 0, F.concat(F.lit("s"), "id")).alias("sku"), F.lit("brand").alias("brand"))
     return enrich(t, pages).select("query_id", "arrival", "ean", "sku", "brand", "enriched")
 
 
+def _replies(parts, source, kind, body):
+    keyed = parts.select(F.lit(source).alias("source"), F.lit(kind).alias("kind"), F.col("p_partkey").cast("string").alias("request_key"), F.when(F.col("p_partkey") % 11 == 0, 404).otherwise(200).alias("status"), F.lit("").alias("final_url"), F.create_map().cast("map<string,string>").alias("headers"), body.alias("body"))
+    return keyed
+
+
+_LISTED = ("id", "name", "price_euro", "url", "image_url", "in_stock", "ean", "sku", "brand")
+
+
+@query
+def verkkokauppa_product_replies(spark, sf_dir):
+    from ..sources.parsers import verkkokauppa_products
+
+    key, lang = F.col("p_partkey"), lambda c: F.struct(F.when(key % 3 != 0, c).alias("fi"), F.concat(F.lit("en "), c).alias("en"))
+    item = F.struct(
+        key.alias("pid"), lang(F.col("p_name")).alias("name"), F.struct(F.when(key % 3 != 0, F.concat(F.lit("/p/"), key)).alias("fi"), F.concat(F.lit("/en/"), key).alias("en")).alias("href"), F.struct(F.when(key % 7 != 0, F.col("p_retailprice")).alias("current")).alias("price"), F.array(F.lit(" "), F.concat(F.lit("e"), key)).alias("eans"),
+        F.array(F.concat(F.lit("m"), key), F.lit("x")).alias("mpns"), F.struct(F.col("p_brand").alias("name")).alias("brand"), F.struct(F.lit("small").alias("45"), F.concat(F.lit("large"), key).alias("800"), F.lit("none").alias("big")).alias("images"),
+    )
+    replies = _replies(spark.read.parquet(f"{sf_dir}/part.parquet"), "verkkokauppa", "product", F.when(key % 13 == 0, "[]").otherwise(F.to_json(F.array(item))))
+    return verkkokauppa_products(replies).select(*_LISTED)
+
+
+def _power_items(key):
+    named = F.struct(
+        key.alias("productId"), F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("title"), F.when(key % 3 != 0, F.concat(F.lit("/x/p-"), key, F.lit("/"))).alias("url"), F.col("p_retailprice").alias("price"), F.col("p_brand").alias("manufacturerName"),
+        F.when(key % 2 == 0, F.concat(F.lit("u"), key)).alias("eanGtin12"), F.concat(F.lit("b"), key).alias("barcode"), F.col("p_type").alias("productManufactorIdentity"), F.when(key % 5 == 0, "OutOfStock").otherwise("InStock").alias("webStockMeta"),
+        F.struct(F.lit("/img").alias("basePath"), F.array(F.struct(F.lit("s.jpg").alias("filename"), F.lit(100).alias("width")), F.struct(F.lit("l.jpg").alias("filename"), F.lit(600).alias("width"))).alias("variants")).alias("productImage"),
+    )
+    return F.array(named.withField("title", F.lit(" ")).withField("productId", key + 1_000_000), named)
+
+
+@query
+def power_product_replies(spark, sf_dir):
+    from ..sources.parsers import power_products
+
+    key = F.col("p_partkey")
+    return power_products(_replies(spark.read.parquet(f"{sf_dir}/part.parquet"), "power", "product", F.when(key % 13 == 0, "no JSON").otherwise(F.to_json(_power_items(key))))).select(*_LISTED)
+
+
+@query
+def power_search_replies(spark, sf_dir):
+    from ..sources.parsers import power_search
+
+    key = F.col("p_partkey")
+    return power_search(_replies(spark.read.parquet(f"{sf_dir}/part.parquet"), "power", "search", F.to_json(F.struct(_power_items(key).alias("products"))))).select("query_id", "rank", *_LISTED)
+
+
+@query
+def jimms_search_replies(spark, sf_dir):
+    from ..sources.parsers import jimms_search
+
+    key = F.col("p_partkey")
+    item = F.struct(key.alias("ProductID"), F.col("p_type").alias("Code"), F.lit("Acme").alias("VendorName"), F.concat(F.lit("Acme "), "p_name").alias("Name"), F.col("p_retailprice").alias("PriceTax"), F.when(key % 3 != 0, F.concat(F.lit("Product/"), key)).alias("Uri"), key.alias("ImageID"), F.lit("https://i/").alias("ImageBaseSrc"))
+    reply = F.struct((key % 7 == 0).alias("IsError"), F.lit("down").alias("ErrorMessage"), F.array(item).alias("Products"))
+    return jimms_search(_replies(spark.read.parquet(f"{sf_dir}/part.parquet"), "jimms", "search", F.to_json(reply))).select("id", "name", "price_euro", "url", "image_url", "sku", "brand")
+
+
 @query
 def backoff_schedule(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("attempt"), F.when(F.col("n_nationkey") % 5 == 4, F.col("n_nationkey") * 3).alias("retry_after"), (F.col("n_regionkey") / 4.0).alias("jitter"))

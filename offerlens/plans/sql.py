@@ -74,6 +74,9 @@ scores AS (SELECT query_id, a, b, CASE WHEN ea = eb THEN 1::DOUBLE WHEN ea <> eb
 _NUMBER = r"""CASE WHEN regexp_matches(k, '[0-9]') THEN try_cast(CASE WHEN regexp_extract(k, '([.,])[0-9]*$', 1) <> '' AND ((contains(k, '.') AND contains(k, ',')) OR length(regexp_extract(k, '[.,]([0-9]*)$', 1)) <> 3)
   THEN concat(regexp_replace(regexp_replace(k, '[.,][0-9]*$', ''), '[.,]', '', 'g'), '.', coalesce(nullif(regexp_extract(k, '[.,]([0-9]*)$', 1), ''), '0')) ELSE regexp_replace(k, '[.,]', '', 'g') END AS DOUBLE) END"""
 
+_POWER = """p_partkey::VARCHAR AS id, trim(p_name) AS name, p_retailprice AS price_euro, 'https://www.power.fi' || CASE WHEN p_partkey % 3 <> 0 THEN '/x/p-' ELSE '/p-' END || p_partkey || '/' AS url,
+  'https://media.power-cdn.net/img/l.jpg' AS image_url, p_partkey % 5 <> 0 AS in_stock, CASE WHEN p_partkey % 2 = 0 THEN 'u' ELSE 'b' END || p_partkey AS ean, p_type AS sku, p_brand AS brand"""
+
 SQL = {
     "latest_price": f"{_OFFERS}{_LATEST} SELECT * FROM latest",
     "price_spread_by_product": f"{_OFFERS}{_LATEST} SELECT product_id, min(price_euro) AS cheapest, max(price_euro) AS highest, count(DISTINCT source) AS retailer_count, greatest(max(price_euro) - min(price_euro), 0) AS savings FROM latest GROUP BY 1 HAVING count(DISTINCT source) > 1",
@@ -124,7 +127,15 @@ held AS (SELECT *, {_GTIN} AS g FROM bodies) SELECT id, any_value(ean) AS ean, m
     "fan_out_union": f"{_TITLES} SELECT source, count(*) AS n, sum(arrival)::BIGINT AS arrivals FROM titles GROUP BY 1",
     "per_source_limit": f"{_TITLES} SELECT query_id, source, arrival FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY arrival) AS r FROM titles) WHERE r <= 2",
     "enrich_missing": f"""{_TITLES_EAN}, due AS (SELECT *, ean IS NULL AND row_number() OVER (PARTITION BY query_id, ean IS NULL ORDER BY arrival) <= 12 AS d, arrival % 4 <> 3 AS page FROM listings)
-SELECT query_id, arrival, coalesce(ean, CASE WHEN d AND page THEN 'e' || id END) AS ean, coalesce(sku, CASE WHEN d AND page AND arrival % 8 = 0 THEN 's' || id END) AS sku, coalesce(brand, CASE WHEN d AND page THEN 'brand' END) AS brand, d AND page AS enriched FROM due""",
+SELECT query_id, arrival, coalesce(ean, CASE WHEN d AND page AND arrival % 5 <> 0 THEN 'e' || id END) AS ean, coalesce(sku, CASE WHEN d AND page AND arrival % 8 = 0 THEN 's' || id END) AS sku,
+  coalesce(brand, CASE WHEN d AND page AND (arrival % 5 <> 0 OR arrival % 8 = 0) THEN 'brand' END) AS brand, d AND page AND (arrival % 5 <> 0 OR arrival % 8 = 0) AS enriched FROM due""",
+    "verkkokauppa_product_replies": """SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE 'en ' || p_name END AS name, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice ELSE 0 END AS price_euro,
+  'https://www.verkkokauppa.com' || CASE WHEN p_partkey % 3 <> 0 THEN '/p/' || p_partkey ELSE '/en/' || p_partkey END AS url, 'large' || p_partkey AS image_url, NULL::BOOLEAN AS in_stock, 'e' || p_partkey AS ean, 'm' || p_partkey AS sku, p_brand AS brand
+FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 <> 0""",
+    "power_product_replies": f"SELECT {_POWER} FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 <> 0",
+    "power_search_replies": f"SELECT p_partkey::VARCHAR AS query_id, 1::INTEGER AS rank, {_POWER} FROM part",
+    "jimms_search_replies": """SELECT p_partkey::VARCHAR AS id, 'Acme ' || trim(p_name) AS name, p_retailprice AS price_euro,
+  'https://www.jimms.fi/fi/' || CASE WHEN p_partkey % 3 <> 0 THEN 'Product/' ELSE 'Product/Show/' END || p_partkey AS url, 'https://i/' || p_partkey || '-ig400gg.jpg' AS image_url, p_type AS sku, 'Acme' AS brand FROM part WHERE p_partkey % 7 <> 0""",
     "backoff_schedule": "SELECT n_nationkey AS attempt, CASE WHEN n_nationkey % 5 = 4 THEN least(n_nationkey * 3, 20)::DOUBLE ELSE least(pow(2::DOUBLE, least(greatest(n_nationkey - 1, 0), 16)), 20::DOUBLE) * (0.5::DOUBLE + 0.5::DOUBLE * (n_regionkey / 4.0)::DOUBLE) END AS seconds FROM nation",
     "delays": "SELECT s_suppkey, least(greatest(s_acctbal, 0::DOUBLE), 3600::DOUBLE) AS seconds FROM supplier",
     "events_json_props": "SELECT json_extract_string(props, '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1",

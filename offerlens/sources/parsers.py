@@ -56,7 +56,7 @@ def proshop_cards(top: Node) -> Iterator[dict]:
         if href is None or not name or price is None:
             continue
         number = (_attr(card.first('input[name="productId"]'), "value") or "").strip() or None
-        classes = " ".join(n.get("class") or "" for n in card.all("span[class], i[class], div[class]") if "site-icon-stock" in (n.get("class") or ""))
+        classes = next((c for n in card.all("span[class], i[class], div[class]") if "site-icon-stock" in (c := n.get("class") or "")), "")  # the first icon
         flag = "true" if "site-icon-stock-in" in classes else "false" if "site-icon-stock-comming" in classes or "site-icon-stock-out" in classes else None
         stock = card.first(".site-stock-text")
         yield {"id": number, "name": name, "price": price.text(), "url": href, "image": _attr(card.first("img"), "src", "data-src"), "stock": stock.text() if stock is not None else None, "stock_flag": flag}
@@ -79,6 +79,8 @@ def product_page(source: str, top: Node) -> dict | None:
     """The raw fields of a product page: JSON-LD first, then what the retailer's own markup has."""
     ld = jsonld.find(top) if source != "jimms" else None
     found = {"name": None} if ld is None else {"name": ld["name"], "price": ld["price"], "url": ld["url"], "image": ld["image"], "availability": ld["availability"], "ean": ld["gtin"], "sku": ld["mpn"], "brand": ld["brand"]}
+    if ld is not None and source in ("proshop", "gigantti"):
+        found["id"] = ld["sku"]
     if source == "datatronic":
         price = top.first(".current-price .price, .product-price .price, .product-price")
         stock = top.first(".product-availability, .stock, #availability_value, .availability")
@@ -96,20 +98,20 @@ def product_page(source: str, top: Node) -> dict | None:
             "image": _microdata(top, "image", "content", "src"), "ean": _microdata(top, "gtin13", "content") or _microdata(top, "gtin", "content"), "sku": _microdata(top, "mpn", "content"), "brand": _microdata(top, "brand", "content"),
         }
     elif source == "proshop" and ld is not None:
-        found["image"] = found["image"] or _attr(top.first('meta[property="og:image"]'), "content")
+        found["image"] = _attr(top.first('meta[property="og:image"]'), "content")  # that of the JSON-LD has no host
     return found if found.get("name") else None
 
 
-def _read(payloads: DataFrame, rows_of: Callable[[str, str, str], Iterator[dict]]) -> DataFrame:
+def _read(payloads: DataFrame, rows_of: Callable[..., Iterator[dict]], with_url: bool = False) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for query, source, body in zip(batch["request_key"], batch["source"], batch["body"], strict=True):
-                for rank, row in enumerate(rows_of(source, query, body or "")):
+            for query, source, body, url in zip(batch["request_key"], batch["source"], batch["body"], batch["final_url"], strict=True):
+                for rank, row in enumerate(rows_of(source, query, body or "", *([url or None] if with_url else []))):
                     out.append((query, source, rank, *(row.get(c) for c in RAW)))
             yield pd.DataFrame(out, columns=["query_id", "source", "rank", *RAW]).astype(object)
 
-    return payloads.select("request_key", "source", "body").mapInPandas(run, RAW_SCHEMA)
+    return payloads.select("request_key", "source", "body", "final_url").mapInPandas(run, RAW_SCHEMA)
 
 
 def _valued(raw: DataFrame, price_needed: bool) -> DataFrame:
@@ -130,31 +132,47 @@ def _valued(raw: DataFrame, price_needed: bool) -> DataFrame:
 
 
 def html_search(payloads: DataFrame) -> DataFrame:
-    """Listings of search replies in HTML."""
-    return _valued(_read(payloads.filter(F.col("source").isin(*CARDS) & (F.col("kind") == "search")), lambda source, _, body: CARDS[source](parse(body))), True)
+    """Listings of search and category replies in HTML."""
+    return _valued(_read(payloads.filter(F.col("source").isin(*CARDS) & F.col("kind").isin(*LISTS)), lambda source, _, body: CARDS[source](parse(body))), True)
 
 
 def html_products(payloads: DataFrame) -> DataFrame:
-    """Listings of product pages in HTML; ``request_key`` is the product's id. An unknown price is 0."""
+    """Listings of product pages in HTML; ``request_key`` is the product's id unless the page states another. An unknown price is 0.
 
-    def rows(source: str, key: str, body: str) -> Iterator[dict]:
+    Datatronic's and Proshop's pages are listed under the URL that the request ended at.
+    """
+
+    def rows(source: str, key: str, body: str, final: str | None) -> Iterator[dict]:
         page = product_page(source, parse(body))
         if page is not None:
-            fallback = {"multitronic": f"/fi/products/{key}", "jimms": f"/fi/Product/Show/{key}"}.get(source, f"/{key}")
-            yield page | {"id": key, "url": page.get("url") or fallback}
+            number = page.get("id") or key
+            fallback = {"multitronic": f"/fi/products/{key}", "jimms": f"/fi/Product/Show/{key}", "gigantti": f"/product/{number}"}.get(source, f"/{key}")
+            canonical = final if source in ("datatronic", "proshop") else None
+            yield page | {"id": number, "url": canonical or page.get("url") or fallback}
+
+    pages = payloads.filter((F.col("kind") == "product") & F.col("source").isin("datatronic", "multitronic", "proshop", "gigantti", "jimms") & _delivered())
+    return _valued(_read(pages, rows, True), False)
+
 
-    pages = payloads.filter((F.col("kind") == "product") & F.col("source").isin("datatronic", "multitronic", "proshop", "gigantti", "jimms") & ~S.bot_challenge(F.col("status"), F.col("headers")))
-    return _valued(_read(pages, rows), False)
+def _delivered() -> Column:
+    return ~S.bot_challenge(F.col("status"), F.col("headers")) & (F.coalesce("status", F.lit(200)) < 400)
 
 
-def _json(payloads: DataFrame, source: str, kind: str, schema: str) -> DataFrame:
-    return payloads.filter((F.col("source") == source) & (F.col("kind") == kind)).select("request_key", F.from_json("body", schema).alias("b"))
+def _json(payloads: DataFrame, source: str, kinds: str | tuple[str, ...], schema: str) -> DataFrame:
+    kinds = (kinds,) if isinstance(kinds, str) else kinds
+    return payloads.filter((F.col("source") == source) & F.col("kind").isin(*kinds)).select("request_key", F.from_json("body", schema).alias("b"))
 
 
 def _filled(text: Column) -> Column:
     return F.when(F.trim(text) != "", text)
 
 
+#: Kinds of replies that list products.
+LISTS = ("search", "category")
+VERKKOKAUPPA_PRODUCT = (
+    "array<struct<pid:string,name:struct<fi:string,en:string>,href:struct<fi:string,en:string>,price:struct<current:double>,eans:array<string>,mpns:array<string>,"
+    "brand:struct<name:string>,images:string>>"
+)
 VERKKOKAUPPA = (
     "data array<struct<id:string,attributes:struct<name:string,href:string,price:struct<current:double>,images:array<struct<orig:string>>,articles:array<struct<eans:array<string>>>>,"
     "relationships:struct<brand:struct<data:struct<id:string>>>>>, included array<struct<type:string,id:string,attributes:struct<name:string>>>"
@@ -170,13 +188,14 @@ JIMMS = (
 
 
 def verkkokauppa_search(payloads: DataFrame) -> DataFrame:
-    """Search replies; the brand comes from the reply's own side table (the last of a repeated id), stock from ``availability`` replies."""
+    """Search replies; the brand comes from the reply's own side table (the last one named of a repeated id), stock from ``availability`` replies."""
     b = _json(payloads, "verkkokauppa", "search", VERKKOKAUPPA)
     items = b.select("request_key", "b.included", F.posexplode("b.data").alias("rank", "x"))
-    brand = F.get(F.reverse(F.filter("included", lambda i: (i["type"] == "brands") & (i["id"] == F.col("x.relationships.brand.data.id")))), F.lit(0))["attributes"]["name"]
+    brand = F.get(F.reverse(F.filter("included", lambda i: (i["type"] == "brands") & (i["id"] == F.col("x.relationships.brand.data.id")) & i["attributes"]["name"].isNotNull())), F.lit(0))["attributes"]["name"]
     eans = F.flatten(F.transform(F.coalesce("x.attributes.articles", F.array()), lambda a: F.coalesce(a["eans"], F.array())))
-    schemas = _json(payloads, "verkkokauppa", "availability", "array<struct<pid:bigint,status:struct<schema:string>>>").select(F.explode("b").alias("a"))
-    stock = schemas.groupBy(F.col("a.pid").cast("string").alias("pid")).agg(F.last(F.lower("a.status.schema") == "instock").alias("in_stock"))
+    schemas = _json(payloads, "verkkokauppa", "availability", "array<struct<pid:bigint,status:struct<schema:string>>>").select("request_key", F.posexplode("b").alias("at", "a"))
+    last = F.max_by(F.lower("a.status.schema") == "instock", F.struct("request_key", "at"))
+    stock = schemas.groupBy(F.col("a.pid").cast("string").alias("pid")).agg(last.alias("in_stock"))
     origin, name = ORIGIN["verkkokauppa"], F.trim("x.attributes.name")
     rows = items.filter(F.col("x.id").isNotNull() & (name != "")).select(
         F.col("request_key").alias("query_id"), F.lit("verkkokauppa").alias("source"), "rank", F.col("x.id").alias("id"), name.alias("name"),
@@ -188,9 +207,33 @@ def verkkokauppa_search(payloads: DataFrame) -> DataFrame:
     return rows.join(stock, rows["id"] == stock["pid"], "left").drop("pid")
 
 
-def power_search(payloads: DataFrame) -> DataFrame:
+def _first_filled(texts: Column) -> Column:
+    return F.get(F.filter(texts, lambda t: F.trim(t) != ""), F.lit(0))
+
+
+def largest_image(images: Column) -> Column:
+    """Images as JSON text: of an object by widths the widest, of a list the first, else the text itself."""
+    widths = F.filter(F.map_entries(F.from_json(images, "map<string,string>")), lambda e: e["key"].try_cast("int").isNotNull() & e["value"].isNotNull())
+    widest = F.array_max(F.transform(widths, lambda e: F.struct(e["key"].cast("int").alias("w"), e["value"].alias("v"))))["v"]
+    kind = F.substring(F.ltrim(images), 1, 1)
+    return F.when(kind == "{", widest).when(kind == "[", F.get(F.from_json(images, "array<string>"), F.lit(0))).otherwise(images)
+
+
+def verkkokauppa_products(payloads: DataFrame) -> DataFrame:
+    """Product replies: the first element, its Finnish name and link before the English ones. Stock is not in them."""
+    x, origin = F.col("x"), ORIGIN["verkkokauppa"]
+    items = _json(payloads.filter(_delivered()), "verkkokauppa", "product", VERKKOKAUPPA_PRODUCT).select("request_key", F.get("b", F.lit(0)).alias("x"))
+    name, href = (F.coalesce(x[c]["fi"], x[c]["en"]) for c in ("name", "href"))
+    return items.filter(x["pid"].isNotNull() & ~x["pid"].rlike(r"^[\[{]|^(true|false)$") & name.isNotNull()).select(
+        F.col("request_key").alias("query_id"), F.lit("verkkokauppa").alias("source"), F.lit(0).alias("rank"), x["pid"].alias("id"), name.alias("name"),
+        F.coalesce(x["price"]["current"], F.lit(0.0)).alias("price_euro"), S.absolute_url(F.lit(origin), F.coalesce(href, F.concat(F.lit("/fi/product/"), x["pid"]))).alias("url"),
+        largest_image(x["images"]).alias("image_url"), F.lit(None).cast("boolean").alias("in_stock"), _first_filled(x["eans"]).alias("ean"), _first_filled(x["mpns"]).alias("sku"), x["brand"]["name"].alias("brand"),
+    )
+
+
+def _power_listing(items: DataFrame) -> DataFrame:
+    """(request_key, rank, x: an element of a reply) as listings."""
     x, origin = F.col("x"), ORIGIN["power"]
-    items = _json(payloads, "power", "search", f"products array<{POWER_ROW}>").select("request_key", F.posexplode("b.products").alias("rank", "x"))
     images = F.filter(x["productImage"]["variants"], lambda v: v["filename"].isNotNull())
     widest = F.array_max(F.transform(images, lambda v, i: F.struct(F.coalesce(v["width"], F.lit(0)).alias("w"), i.alias("i"), v["filename"].alias("f"))))["f"]
     return items.filter(x["productId"].isNotNull() & (F.trim(x["title"]) != "")).select(
@@ -201,6 +244,22 @@ def power_search(payloads: DataFrame) -> DataFrame:
     )
 
 
+def power_search(payloads: DataFrame) -> DataFrame:
+    return _power_listing(_json(payloads, "power", LISTS, f"products array<{POWER_ROW}>").select("request_key", F.posexplode("b.products").alias("rank", "x")))
+
+
+def power_products(payloads: DataFrame) -> DataFrame:
+    """Product replies: the first element that has an id and a title."""
+    named = lambda x: x["productId"].isNotNull() & (F.trim(x["title"]) != "")
+    replies = _json(payloads.filter(_delivered()), "power", "product", f"array<{POWER_ROW}>")
+    return _power_listing(replies.select("request_key", F.lit(0).alias("rank"), F.get(F.filter("b", named), F.lit(0)).alias("x")))
+
+
+def product_listings(payloads: DataFrame) -> DataFrame:
+    """Listings of all sources' product replies; what was not found (404, 410) or failed has none."""
+    return html_products(payloads).unionByName(verkkokauppa_products(payloads)).unionByName(power_products(payloads))
+
+
 def jimms_search(payloads: DataFrame) -> DataFrame:
     """Replies that state an error give no rows here but a row in ``errors``."""
     x, origin = F.col("x"), ORIGIN["jimms"]
@@ -229,6 +288,7 @@ def errors(payloads: DataFrame) -> DataFrame:
     error = (
         F.when((F.col("kind") == "search") & (F.col("source") == "gigantti"), "search is not supported")
         .when(S.bot_challenge(F.col("status"), F.col("headers")), "blocked by a bot challenge")
+        .when((F.col("kind") == "product") & F.col("status").isin(404, 410), F.lit(None))  # not found is an answer
         .when(F.col("status") >= 400, F.concat(F.lit("HTTP status "), "status"))
         .when((F.col("source") == "jimms") & (F.col("kind") == "search") & schema["IsError"], F.coalesce(schema["ErrorMessage"], F.lit("error")))
         .when(F.col("source").isin("verkkokauppa", "power", "jimms") & (F.col("kind") == "search") & F.try_parse_json("body").isNull(), "reply is no JSON")
@@ -240,12 +300,13 @@ ENRICH_BUDGET = 12
 
 
 def enrich(listings: DataFrame, pages: DataFrame, budget: int = ENRICH_BUDGET) -> DataFrame:
-    """Fills null ean, sku and brand of each query's first ``budget`` listings without EAN from their product pages."""
+    """Fills null ean, sku and brand of each query's first ``budget`` listings without EAN from their product pages; pages with neither ean nor sku are passed over."""
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("query_id", F.col("ean").isNull()).orderBy("arrival"))
     facts = pages.select("source", F.col("id"), *[F.col(c).alias(f"_{c}") for c in ("ean", "sku", "brand")])
     chosen = listings.withColumn("_due", F.col("ean").isNull() & (rank <= budget))
     joined = chosen.join(facts, ["source", "id"], "left")
-    filled = {c: F.coalesce(F.col(c), F.when(F.col("_due"), F.col(f"_{c}"))) for c in ("ean", "sku", "brand")}
-    return joined.withColumn("enriched", F.col("_due") & (F.col("_ean").isNotNull() | F.col("_sku").isNotNull())).withColumns(filled).drop("_due", "_ean", "_sku", "_brand")
+    useful = F.col("_due") & (F.col("_ean").isNotNull() | F.col("_sku").isNotNull())
+    filled = {c: F.coalesce(F.col(c), F.when(useful, F.col(f"_{c}"))) for c in ("ean", "sku", "brand")}
+    return joined.withColumn("enriched", useful).withColumns(filled).drop("_due", "_ean", "_sku", "_brand")

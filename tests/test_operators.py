@@ -164,6 +164,90 @@ def test_product_pages(spark):
     assert (page["name"], page["price"], page["stock"], page["ean"]) == ("Disk", "99,90", "Ei varastossa", "1") and parsers.product_page("proshop", parse(html)) is None
 
 
+def product_replies(spark, *rows):
+    """(source, id, status, final URL, body) of product lookups."""
+    return spark.createDataFrame([(s, "product", i, c, u, {}, b) for s, i, c, u, b in rows], "source string, kind string, request_key string, status int, final_url string, headers map<string,string>, body string")
+
+
+def ld(**fields):
+    return '<script type="application/ld+json">' + json.dumps({"@type": "Product", **fields}) + "</script>"
+
+
+VERKKOKAUPPA_ITEM = {"pid": 853450, "name": {"fi": "Prosessori", "en": "Processor"}, "href": {"fi": "/fi/product/853450/p"}, "price": {"current": 365.99}, "eans": [" ", "0730143314930"], "mpns": ["100-1"], "brand": {"id": "171", "name": "AMD"}, "images": {"45": "s", "800": "l", "x": "n"}}
+
+
+def test_json_product_replies(spark):
+    item = VERKKOKAUPPA_ITEM
+    rows = [
+        ("verkkokauppa", "a", 200, None, json.dumps([item, item | {"pid": 1}])), ("verkkokauppa", "b", 200, None, json.dumps([{"pid": "7", "name": {"en": "Only English"}, "images": ["first", "second"]}])),
+        ("verkkokauppa", "c", 200, None, json.dumps([{"pid": 8, "name": {"fi": "Text"}, "images": "one"}])), ("verkkokauppa", "d", 200, None, "[]"), ("verkkokauppa", "e", 200, None, "garbage"), ("verkkokauppa", "f", 404, None, json.dumps([item])),
+        ("verkkokauppa", "g", 200, None, json.dumps([{"name": {"fi": "No id"}}])), ("power", "h", 200, None, json.dumps([{"productId": 3, "title": " "}, {"productId": 4280074, "title": "Thing", "url": "/x/p-4280074/", "price": 10.0, "webStockMeta": "InStock"}])),
+        ("power", "i", 200, None, "[]"), ("power", "j", 200, None, "nonsense"),
+    ]
+    got = {r.query_id: r for r in parsers.product_listings(product_replies(spark, *rows)).collect()}
+    assert set(got) == {"a", "b", "c", "h"}
+    a, b, h = got["a"], got["b"], got["h"]
+    assert (a.id, a.name, a.price_euro, a.url, a.image_url, a.in_stock, a.ean, a.sku, a.brand) == ("853450", "Prosessori", 365.99, "https://www.verkkokauppa.com/fi/product/853450/p", "l", None, "0730143314930", "100-1", "AMD")
+    assert (b.id, b.name, b.price_euro, b.url, b.image_url, got["c"].image_url) == ("7", "Only English", 0.0, "https://www.verkkokauppa.com/fi/product/7", "first", "one")
+    assert (h.id, h.price_euro, h.in_stock, h.url) == ("4280074", 10.0, True, "https://www.power.fi/x/p-4280074/")
+
+
+def test_html_product_replies(spark):
+    rows = [
+        ("proshop", "1", 200, "https://www.proshop.fi/end", ld(name="P", sku="99", image="https:/Images/a.png") + '<meta property="og:image" content="/Images/b.png">'), ("proshop", "2", 200, None, ld(name="Q", image="https:/Images/a.png")),
+        ("gigantti", "3", 200, "https://x/y", ld(name="G")), ("gigantti", "4", 200, None, ld(name="H", sku="5", offers={"url": "https://www.gigantti.fi/own"})), ("datatronic", "6", 200, "https://www.datatronic.fi/end", "<h1>D</h1>"),
+        ("datatronic", "7", 410, None, "<h1>Gone</h1>"), ("jimms", "8", 500, None, "<h1>Down</h1>"),
+    ]
+    replies = product_replies(spark, *rows)
+    got = {r.query_id: (r.id, r.url, r.image_url) for r in parsers.product_listings(replies).collect()}
+    assert got == {
+        "1": ("99", "https://www.proshop.fi/end", "https://www.proshop.fi/Images/b.png"), "2": ("2", "https://www.proshop.fi/2", None), "3": ("3", "https://www.gigantti.fi/product/3", None),
+        "4": ("5", "https://www.gigantti.fi/own", None), "6": ("6", "https://www.datatronic.fi/end", None),
+    }
+    assert [(r.query_id, r.error) for r in parsers.errors(replies).collect()] == [("8", "HTTP status 500")]
+
+
+def test_refresh_of_every_source(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}")
+    bodies = {"datatronic": "<h1>D</h1>", "verkkokauppa": json.dumps([VERKKOKAUPPA_ITEM | {"pid": 1}]), "power": json.dumps([{"productId": 1, "title": "T", "price": 2.0}]), "jimms": "<h1>J</h1>", "multitronic": ld(name="M"), "proshop": ld(name="P"), "gigantti": ld(name="G")}
+    for source in bodies:
+        engine.track("1", source)
+    replies = [(s, "1", 404 if s == "jimms" else 503 if s == "proshop" else 200, None, b) for s, b in bodies.items()]
+    got = engine.refresh(product_replies(spark, *replies))
+    assert got["updated"] == 5 and {(e["source"], e["error"]) for e in got["errors"]} == {("jimms", "1 no longer listed"), ("proshop", "HTTP status 503")}
+
+
+def test_sightings_are_numbered_by_arrival(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}")
+    rows = listings(spark, [(f"n{i}", float(i + 1), "a") for i in range(3000)]).withColumn("image_url", F.lit(None).cast("string")).repartition(7)
+    engine.record(rows)
+    seen_ = engine.sightings.orderBy("seq").collect()
+    assert len({r.seq for r in seen_}) == 3000 and [r.price_euro for r in seen_] == [float(i + 1) for i in range(3000)]
+
+
+def test_brand_and_stock_of_repeated_ids(spark):
+    data = {"data": [{"id": "5", "attributes": {"name": "Disk"}, "relationships": {"brand": {"data": {"id": "b"}}}}], "included": [{"type": "brands", "id": "b", "attributes": {"name": "X"}}, {"type": "brands", "id": "b", "attributes": {"name": "WD"}}, {"type": "brands", "id": "b", "attributes": {}}]}
+    stock = [{"pid": 5, "status": {"schema": "OUTOFSTOCK"}}, {"pid": 5, "status": {"schema": "INSTOCK"}}]
+    rows = [("verkkokauppa", "search", "q", json.dumps(data)), ("verkkokauppa", "availability", "5", json.dumps(stock))]
+    frame = spark.createDataFrame([(s, k, q, 200, None, {}, b) for s, k, q, b in rows], "source string, kind string, request_key string, status int, final_url string, headers map<string,string>, body string")
+    (r,) = parsers.verkkokauppa_search(frame).collect()
+    assert (r.brand, r.in_stock) == ("WD", True)
+
+
+def test_first_stock_icon_counts():
+    from offerlens.sources.markup import parse
+
+    card = '<li class="site-productlist-item"><a class="site-product-link" href="/1"></a><h2 product-display-name>N</h2><span class="site-currency-lg">1 €</span><i class="site-icon-stock-out"></i><i class="site-icon-stock-in"></i></li>'
+    assert [c["stock_flag"] for c in parsers.proshop_cards(parse(card))] == ["false"]
+
+
+def test_pages_without_identity_enrich_nothing(spark):
+    rows = listings(spark, [("n0", 1.0, "a"), ("n1", 1.0, "a")])
+    pages = spark.createDataFrame([("a", "0", None, None, "B"), ("a", "1", None, "s", "B")], "source string, id string, ean string, sku string, brand string")
+    got = {r.arrival: (r.brand, r.sku, r.enriched) for r in parsers.enrich(rows, pages).collect()}
+    assert got == {0: (None, None, False), 1: ("B", "s", True)}
+
+
 def test_engine(spark, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}")
     ask = lambda name, **a: json.loads(engine.handle(json.dumps({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": a}}), payloads(spark)))["result"]
