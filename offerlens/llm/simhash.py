@@ -38,7 +38,7 @@ from .common import LOWER, UPPER, staged
 SEED, RADIUS, PARTS, TILE = 42, 2, 4, 8192
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-HASHES_AT_ONCE = 1 << 16
+HASHES_AT_ONCE, WORDS_AT_ONCE = 1 << 16, 1 << 14
 
 
 def fingerprint(text: str | None, words_each: int = 3, width: int = 1) -> np.ndarray:
@@ -85,24 +85,25 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1, bitorder="little").view("<u8").reshape(64 * width, words)
 
 
-def near_at(planes: np.ndarray, shift: int, lanes: int, radius: int) -> np.ndarray:
-    """Places i < lanes at which fingerprints i and i + shift differ in at most ``radius`` bits.
+def near_at(planes: np.ndarray, shifts: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places i and shifts s, i < the lanes of s, at which fingerprints i and i + s differ in at most ``radius`` bits.
 
-    The distances are bitwise counters of k planes that start at 2**k - 1 - radius: a carry out of the last means too far.
+    All shifts go at once, a word each for 64 places. The distances are bitwise counters of k planes that start at
+    2**k - 1 - radius: a carry out of the last means too far.
     """
-    skip, bits = divmod(shift, 64)
-    k, full = radius.bit_length(), np.uint64(0xFFFFFFFFFFFFFFFF)
-    at = np.arange(-(-lanes // 64))
+    words = -(-lanes // 64)
+    at = np.arange(words.sum()) - np.repeat(np.cumsum(words) - words, words)
+    by = np.repeat(np.arange(len(shifts)), words)
+    skip, bits = (shifts // 64)[by], (shifts % 64)[by].astype(np.uint64)
+    k, full, one = radius.bit_length(), np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(1)
     start = (1 << k) - 1 - radius
     counters = [np.full(len(at), full if start >> i & 1 else np.uint64(0)) for i in range(k)]
     far = np.zeros(len(at), np.uint64)
     last = planes.shape[1] - 1
     for first in range(0, len(planes), 8):
+        low, high, back = np.minimum(at + skip, last), np.minimum(at + skip + 1, last), np.uint64(63) - bits
         for p in planes[first : first + 8]:
-            carry = p[np.minimum(at + skip, last)]
-            if bits:
-                carry = (carry >> np.uint64(bits)) | (p[np.minimum(at + skip + 1, last)] << np.uint64(64 - bits))
-            carry = carry ^ p[at]
+            carry = ((p[low] >> bits) | (p[high] << one << back)) ^ p[at]
             for c in counters:
                 more = c & carry
                 c ^= carry
@@ -110,12 +111,13 @@ def near_at(planes: np.ndarray, shift: int, lanes: int, radius: int) -> np.ndarr
             far |= carry
         alive = far != full
         if not alive.all():  # abandon words in which every distance exceeds the radius
-            at, far, counters = at[alive], far[alive], [c[alive] for c in counters]
+            at, by, skip, bits, far, counters = at[alive], by[alive], skip[alive], bits[alive], far[alive], [c[alive] for c in counters]
             if not len(at):
-                return np.empty(0, np.int64)
+                return np.empty(0, np.int64), np.empty(0, np.int64)
     word, bit = np.nonzero(np.unpackbits((~far).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-    found = at[word] * 64 + bit
-    return found[found < lanes]
+    found, by = at[word] * 64 + bit, by[word]
+    inside = found < lanes[by]
+    return found[inside], shifts[by[inside]]
 
 
 def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -129,12 +131,14 @@ def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple
     place = np.repeat(first[big] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
     group, lanes = np.repeat(np.arange(len(big)), counts), np.repeat(counts, counts)
     planes = planes_of(fps[place])
-    for shift in range(1, int(counts[0])):
-        upto = int(np.searchsorted(-lanes, -shift, "left"))  # larger keys stand first
-        hit = near_at(planes, shift, min(upto, len(place) - shift), radius)
-        hit = hit[group[hit] == group[hit + shift]]
-        if len(hit):
-            yield place[hit], place[hit + shift]
+    shifts = np.arange(1, int(counts[0]))
+    upto = np.minimum(np.searchsorted(-lanes, -shifts, "left"), len(place) - shifts)  # larger keys stand first
+    turn = np.cumsum(-(-upto // 64)) // WORDS_AT_ONCE
+    for some in np.split(np.arange(len(shifts)), np.nonzero(np.diff(turn))[0] + 1):
+        hit, shift = near_at(planes, shifts[some], upto[some], radius)
+        same = group[hit] == group[hit + shift]
+        if same.any():
+            yield place[hit[same]], place[(hit + shift)[same]]
 
 
 def forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,32 +216,31 @@ def compared(dealt: DataFrame, pairs_of: Callable[[np.ndarray], Iterator[tuple[n
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether every larger node of ``edges`` (a, b) has one edge and is no smaller node: then a is the root of b."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(0).alias("larger")), F.struct(F.col("b").alias("x"), F.lit(1).alias("larger")))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.min("larger").alias("lo"), F.max("larger").alias("hi"), F.sum("larger").alias("n")).filter("lo != hi OR n > 1").isEmpty()
+
+
 def classes(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the smallest node that can be reached.
+    """(node, root) for every node but the roots of ``edges`` (a, b), a < b and distinct: root is the smallest node that can be reached.
 
     Large-star: every node hands its larger neighbours to the smallest one it sees; small-star: its smaller neighbours and itself.
     Both are a partial minimum and a join on the node, so a node with many neighbours is no large group.
     """
-    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     edges = staged(edges, "edges")
-    before = state(edges)
-    for _ in range(most_rounds if before[0] else 0):
+    for _ in range(most_rounds):
+        if settled(edges):
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").filter("b > a AND b != m").select(F.col("m").alias("a"), "b").distinct()
+        large = both.join(least, "a").filter("b > a AND b != m").select(F.col("m").alias("a"), "b")
         # small-star on (larger, smaller): every smaller neighbour and the node itself point to the smallest
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(least, "b")
         small = joined.filter("a != m").select(F.col("m").alias("x"), F.col("a").alias("y")).unionByName(least.select(F.col("m").alias("x"), F.col("b").alias("y")))
-        following = staged(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b").distinct(), "edges")
-        edges, now = following, state(following)
-        if now == before:
-            break
-        before = now
-    else:
-        if before[0]:
-            raise RuntimeError("components did not settle")
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+        edges = staged(small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a != b").distinct(), "edges")
+    raise RuntimeError("components did not settle")
 
 
 def classed(docs: DataFrame, words_each: int, width: int, radius: int, keys: list[list[int]]) -> DataFrame:
@@ -259,7 +262,7 @@ def components(docs: DataFrame, words_each: int = 3, radius: int = RADIUS, parts
 
 
 # Near-dedup of the pipeline: keys by minima of shingle hashes, bit-sliced comparison within a key, links by exact Jaccard similarity.
-SHINGLE, BANDS, ROWS, LEADER_ROUNDS = 5, 24, 4, 2
+SHINGLE, BANDS, ROWS, LEADER_ROUNDS = 5, 24, 4, 1
 #: Of similarity 0.8 a bit differs with probability 0.19 at most (sets of 5 and 4 shingles): 24 of 128 bits, deviation 4.4. Unlike texts differ in 64.
 NEAR_RADIUS = 48
 #: Texts of similarity exactly 0.8 share no band with (1 - 0.8**4)**24 = 3e-6.
@@ -317,14 +320,14 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def verified_links(keyed: DataFrame, sets: DataFrame, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
     """(node, root) of nodes joined by similar pairs that share a key.
 
-    In a few rounds each key's nodes are verified against one of them, by turns, so that a large group of near copies is joined by pairs in
+    First each key's nodes are verified against one of them, in ``leader_rounds`` turns, so that a large group of near copies is joined by pairs in
     proportion to its size; then all nodes that share a key and are not yet in one class are compared bit-sliced, and what is near is verified.
     ``keyed`` is (key, id, n: size of its set, fp0, fp1).
     """
-    spark, sized = keyed.sparkSession, F.least("n", "n2") * 5 >= F.greatest("n", "n2") * 4
+    sized = F.least("n", "n2") * 5 >= F.greatest("n", "n2") * 4
     ordered = [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")]
-    edges = tried = spark.createDataFrame([], "a long, b long")
-    found = spark.createDataFrame([], "node long, root long")
+    found: DataFrame | None = None
+    tried: DataFrame | None = None
 
     def candidates(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of near fingerprints that are in different classes and whose sets' sizes allow the similarity; rows are those of ``now``."""
@@ -334,22 +337,25 @@ def verified_links(keyed: DataFrame, sets: DataFrame, leader_rounds: int = LEADE
             yield node[a[fits]], node[b[fits]]
 
     for turn in range(leader_rounds + 1):
-        now = staged(keyed.join(found, keyed["id"] == found["node"], "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"), "fp0", "fp1"), "rooted")
-        mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-        now = staged(now.join(mixed, "key"), "mixed")
+        now = keyed.withColumn("root", F.col("id")) if found is None else staged(keyed.join(found, keyed["id"] == found["node"], "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+        now = now.select("key", "id", "n", "root", "fp0", "fp1")
+        if found is not None:
+            mixed = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+            now = staged(now.join(mixed, "key"), "mixed")
         if now.isEmpty():
             break
-        if turn < leader_rounds:
-            led = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "root")).alias("l")).select("key", F.col("l.id").alias("id2"), F.col("l.n").alias("n2"), F.col("l.root").alias("root2"))
-            pairs = now.join(led, "key").filter((F.col("root") != F.col("root2")) & sized).select(*ordered)
+        if turn < leader_rounds:  # the keys of a large group are led by different nodes
+            led = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id", "n", "root")).alias("l")).select("key", F.col("l.id").alias("id2"), F.col("l.n").alias("n2"), F.col("l.root").alias("root2"))
+            pairs = now.join(led, "key").filter((F.col("root") != F.col("root2")) & sized).select(*ordered).distinct()
         else:
             pairs = compared(now, candidates)
-        pairs = staged(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
-            tried = tried.unionByName(pairs)
-            edges = staged(edges.unionByName(verified(pairs, sets)), "verified")
-            found = staged(classes(edges), "found")
-    return found
+            tried = pairs if tried is None else tried.unionByName(pairs)
+            edges = verified(pairs, sets)
+            # the classes so far stand for the links that made them
+            found = classes(edges if found is None else edges.unionByName(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+    return keyed.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0) if found is None else found
 
 
 def dedup(docs: DataFrame, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:

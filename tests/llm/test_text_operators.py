@@ -154,9 +154,28 @@ def test_bit_sliced_distances(seed, n, width, radius):
             for b in draw.integers(0, 64 * width, draw.integers(0, radius + 2)):
                 fps[i, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
     planes = simhash.planes_of(fps)
-    for shift in {1, 2, n // 2, n - 1} - {0}:
-        far = [bin(int.from_bytes((fps[i] ^ fps[i + shift]).tobytes(), "little")).count("1") for i in range(n - shift)]
-        assert sorted(simhash.near_at(planes, shift, n - shift, radius)) == [i for i, x in enumerate(far) if x <= radius]
+    near = lambda a, b: bin(int.from_bytes((fps[a] ^ fps[b]).tobytes(), "little")).count("1") <= radius
+    shifts = np.array(sorted({1, 2, n // 2, n - 1} - {0, n}))
+    found, by = simhash.near_at(planes, shifts, n - shifts, radius)
+    assert sorted(zip(found.tolist(), by.tolist(), strict=True)) == sorted((i, s) for s in shifts.tolist() for i in range(n - s) if near(i, i + s))
+    keys = np.sort(draw.integers(0, 4, n))
+    want = {(a, b) for b in range(n) for a in range(b) if keys[a] == keys[b] and near(a, b)}
+    for at_once in (1, 8, simhash.WORDS_AT_ONCE):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(simhash, "WORDS_AT_ONCE", at_once)
+            pairs = [(a, b) for x, y in simhash.near_pairs(keys, fps, radius) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+        assert len(pairs) == len(want) and {(min(p), max(p)) for p in pairs} == want
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 2)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(1, 30)] + [(5, 90), (7, 91), (90, 91)], [(i, 100) for i in range(30)] + [(200, 201), (200, 202)]])
+def test_classes_of_chains_stars_and_hubs(spark, edges):
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = simhash.classes(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == {x: r for x, r in root.items() if x != r}
+    assert len(got) == len({r.node for r in got})
 
 
 def test_tiles_and_keys_lose_no_link(spark):
