@@ -143,8 +143,13 @@ def near_pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple
 
 def forest(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (places of a class's first member and of each other) among fingerprints of equal key; ``keys`` is sorted."""
-    root = np.arange(len(keys))
-    for a, b in near_pairs(keys, fps, radius):
+    return spanned(len(keys), near_pairs(keys, fps, radius))
+
+
+def spanned(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of places 0 to n - 1 joined by ``pairs``: each class's first member and each other."""
+    root = np.arange(n)
+    for a, b in pairs:
         while len(a):
             x, y = root[a], root[b]
             open_ = x != y
@@ -317,25 +322,84 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
 
 
+def similar_places(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Which of the pairs of places (a, b) are similar; ``sets`` are those of the places, as distinct numbers counted from 0."""
+    fits = np.zeros(len(a), bool)
+    if not len(a):
+        return fits
+    order = np.argsort(a, kind="stable")
+    starts = np.concatenate(([0], np.nonzero(np.diff(a[order]))[0] + 1, [len(a)]))
+    marked = np.zeros(1 + max((int(s.max()) for s in sets), default=0), np.int64)
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        at = order[lo:hi]
+        own = sets[a[at[0]]]
+        marked[own] = 1
+        for part in np.array_split(at, -(-len(at) // 1024)):
+            others = [sets[i] for i in b[part].tolist()]
+            sizes = np.array([len(o) for o in others])
+            both = np.add.reduceat(marked[np.concatenate(others)], np.cumsum(sizes) - sizes)
+            fits[part] = 5 * both >= 4 * (len(own) + sizes - both)
+        marked[own] = 0
+    return fits
+
+
+def linked_within(now: DataFrame, sets: DataFrame, tile: int = TILE, tile_bytes: int = 1 << 25) -> DataFrame:
+    """Distinct links (a, b) that join all similar pairs of equal key: bit-sliced comparison, then exact verification in the same task.
+
+    No pair leaves a task but those of a spanning forest. ``now`` is a table (key, id, n, root, fp0, fp1); a key with more than ``tile``
+    nodes or ``tile_bytes`` of sets is dealt out in tiles, each compared with itself and each other.
+    """
+    need = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") * 8 / tile_bytes)).cast("int")
+    large = staged(now.groupBy("key").agg(need.alias("t")).filter("t > 1"), "large")
+    dealt = now
+    if not large.isEmpty():
+        tiled = now.join(large, "key", "left").withColumn("t", F.coalesce("t", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("t")).cast("int"))
+        both = F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("lo"), F.greatest(F.col("own"), o).alias("hi")))
+        dealt = tiled.select(*now.columns, F.explode(both).alias("p")).withColumn("key", F.xxhash64("key", "p.lo", "p.hi")).drop("p")
+
+    def out(rows: np.ndarray, held: list[bytes]) -> pa.RecordBatch:
+        _, node, size, root = rows.T[:4]
+        numbers = np.unique(np.frombuffer(b"".join(held), np.uint64), return_inverse=True)[1]
+        own = np.split(numbers, np.cumsum(size)[:-1])
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for a, b in near_pairs(rows[:, 0], rows[:, 4:].view(np.uint64), NEAR_RADIUS):
+                fits = (root[a] != root[b]) & (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b]))
+                a, b = a[fits], b[fits]
+                fits = similar_places(a, b, own)
+                yield a[fits], b[fits]
+
+        a, b = spanned(len(rows), pairs())
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, held, weight = np.empty((0, 6), np.int64), [], 0
+        for batch in batches:
+            for some in (batch.slice(at, 1024) for at in range(0, len(batch), 1024)):
+                rest = np.concatenate((rest, np.stack([c.to_numpy(zero_copy_only=False) for c in some.columns[:6]], axis=1)))
+                held += some.column(6).to_pylist()
+                weight += some.column(6).nbytes
+                if (len(rest) > 100_000 or weight > tile_bytes) and rest[0, 0] != rest[-1, 0]:
+                    cut = int(np.searchsorted(rest[:, 0], rest[-1, 0], "left"))  # the last key may go on
+                    yield out(rest[:cut], held[:cut])
+                    rest, held = rest[cut:], held[cut:]
+                    weight = sum(map(len, held))
+        if len(rest):
+            yield out(rest, held)
+
+    return dealt.join(sets, "id").select(*now.columns, "hashes").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
 def verified_links(keyed: DataFrame, sets: DataFrame, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
     """(node, root) of nodes joined by similar pairs that share a key.
 
     First each key's nodes are verified against one of them, in ``leader_rounds`` turns, so that a large group of near copies is joined by pairs in
-    proportion to its size; then all nodes that share a key and are not yet in one class are compared bit-sliced, and what is near is verified.
-    ``keyed`` is (key, id, n: size of its set, fp0, fp1).
+    proportion to its size; then all nodes that share a key and are not yet in one class are compared bit-sliced, and what is near is verified
+    where it is found. ``keyed`` is (key, id, n: size of its set, fp0, fp1).
     """
     sized = F.least("n", "n2") * 5 >= F.greatest("n", "n2") * 4
     ordered = [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")]
     found: DataFrame | None = None
-    tried: DataFrame | None = None
-
-    def candidates(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of near fingerprints that are in different classes and whose sets' sizes allow the similarity; rows are those of ``now``."""
-        _, node, size, root = rows.T[:4]
-        for a, b in near_pairs(rows[:, 0], rows[:, 4:].view(np.uint64), NEAR_RADIUS):
-            fits = (root[a] != root[b]) & (5 * np.minimum(size[a], size[b]) >= 4 * np.maximum(size[a], size[b]))
-            yield node[a[fits]], node[b[fits]]
-
     for turn in range(leader_rounds + 1):
         now = keyed.withColumn("root", F.col("id")) if found is None else staged(keyed.join(found, keyed["id"] == found["node"], "left").withColumn("root", F.coalesce("root", "id")), "rooted")
         now = now.select("key", "id", "n", "root", "fp0", "fp1")
@@ -346,15 +410,11 @@ def verified_links(keyed: DataFrame, sets: DataFrame, leader_rounds: int = LEADE
             break
         if turn < leader_rounds:  # the keys of a large group are led by different nodes
             led = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id", "n", "root")).alias("l")).select("key", F.col("l.id").alias("id2"), F.col("l.n").alias("n2"), F.col("l.root").alias("root2"))
-            pairs = now.join(led, "key").filter((F.col("root") != F.col("root2")) & sized).select(*ordered).distinct()
+            edges = verified(now.join(led, "key").filter((F.col("root") != F.col("root2")) & sized).select(*ordered).distinct(), sets)
         else:
-            pairs = compared(now, candidates)
-        pairs = staged(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            edges = verified(pairs, sets)
-            # the classes so far stand for the links that made them
-            found = classes(edges if found is None else edges.unionByName(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+            edges = linked_within(now, sets)
+        # the classes so far stand for the links that made them
+        found = classes(edges if found is None else edges.unionByName(found.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     return keyed.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0) if found is None else found
 
 

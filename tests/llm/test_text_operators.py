@@ -191,6 +191,25 @@ def test_tiles_and_keys_lose_no_link(spark):
         assert near <= same and len(set(root.values())) == 6
 
 
+def test_links_within_a_key_are_verified_in_tiles(spark):
+    draw = np.random.default_rng(5)
+    base = np.unique(draw.integers(0, 2**63, 60).astype(np.uint64))
+    sets = [np.unique(np.concatenate((base[draw.random(len(base)) < draw.choice([0.7, 0.9, 1.0])], draw.integers(0, 2**63, 2).astype(np.uint64)))) for _ in range(40)]
+    assert simhash.similar_places(np.empty(0, np.int64), np.empty(0, np.int64), sets).tolist() == []
+    prints = [simhash.sketch(x).view(np.int64).tolist() for x in sets]
+    now = spark.createDataFrame([(i % 2, i, len(x), i, *p) for i, (x, p) in enumerate(zip(sets, prints, strict=True))], "key long, id long, n long, root long, fp0 long, fp1 long")
+    held = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "id long, hashes binary")
+    root = list(range(len(sets)))
+    for _ in root:
+        for b in range(len(sets)):
+            for a in range(b % 2, b, 2):
+                if simhash.similar(sets[a], sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    for tile, size in ((8192, 1 << 25), (6, 1 << 25), (8192, 2048)):
+        found = {r.node: r.root for r in simhash.classes(simhash.linked_within(now, held, tile, size)).collect()}
+        assert [found.get(i, i) for i in range(len(sets))] == root and len(set(root)) < len(root)
+
+
 def test_near_dedup_keeps_one_of_each_class(spark, docs):
     words = [f"word{i}" for i in range(300)]
     near = [(i, " ".join(w if k != 7 * i else "changed" for k, w in enumerate(words)), "x") for i in range(12)] + [(50, " ".join(f"other{i}" for i in range(300)), "x")]
