@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html, lines, lm, mixing, packing, quality, simhash, tokens, warc
+from . import exact_dedup, html, lines, lm, mixing, oracles, packing, pivots, prefixes, quality, ranked, simhash, tokens, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,13 +63,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_quality, op5_exact_dedup, op6_substring_dedup, op7_lm_scoring, op8_token_counts, op9_html_extract, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_simhash, op4_quality, op5_exact_dedup, op6_substring_dedup, op7_lm_scoring, op8_token_counts, op9_html_extract, op10_packing, op11_pivots, op12_prefix_trie, op13_ranked_search, pipeline)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -114,4 +126,7 @@ SELECT page_id, payload_bytes,
 WITH n AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
 FROM n WINDOW g AS (PARTITION BY text_sha256)""",
+    "op11_pivots": oracles.VECTORS,
+    "op12_prefix_trie": oracles.TRIE,
+    "op13_ranked_search": oracles.RANKED,
 }
