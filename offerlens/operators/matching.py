@@ -8,32 +8,25 @@ grouping runs for each component alone, on scores that are computed already.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .identity import SIGNATURE
+from ..folders import shared_dir
 from ..functions.scalars import basis_label
+from .identity import SIGNATURE
 
 THRESHOLD = 0.55
 EAN, SKU, MODEL, NAME = range(4)
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
-    """A table in the shared folder that ``spark.checkpoint.dir`` names (a temporary one where it is unset, on one machine only)."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A table in the shared folder, read back."""
+    path = shared_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _overlap(a: Column, b: Column) -> Column:

@@ -133,9 +133,9 @@ SELECT query_id, arrival, coalesce(ean, CASE WHEN d AND page AND arrival % 5 <>
   'https://www.verkkokauppa.com' || CASE WHEN p_partkey % 3 <> 0 THEN '/p/' || p_partkey ELSE '/en/' || p_partkey END AS url, 'large' || p_partkey AS image_url, NULL::BOOLEAN AS in_stock, 'e' || p_partkey AS ean, 'm' || p_partkey AS sku, p_brand AS brand
 FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 <> 0""",
     "power_product_replies": f"SELECT {_POWER} FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 <> 0",
-    "power_search_replies": f"SELECT p_partkey::VARCHAR AS query_id, 1::INTEGER AS rank, {_POWER} FROM part",
+    "power_search_replies": f"SELECT p_partkey::VARCHAR AS query_id, 1::INTEGER AS rank, {_POWER} FROM part WHERE p_partkey % 11 <> 0",
     "jimms_search_replies": """SELECT p_partkey::VARCHAR AS id, 'Acme ' || trim(p_name) AS name, p_retailprice AS price_euro,
-  'https://www.jimms.fi/fi/' || CASE WHEN p_partkey % 3 <> 0 THEN 'Product/' ELSE 'Product/Show/' END || p_partkey AS url, 'https://i/' || p_partkey || '-ig400gg.jpg' AS image_url, p_type AS sku, 'Acme' AS brand FROM part WHERE p_partkey % 7 <> 0""",
+  'https://www.jimms.fi/fi/' || CASE WHEN p_partkey % 3 <> 0 THEN 'Product/' ELSE 'Product/Show/' END || p_partkey AS url, 'https://i/' || p_partkey || '-ig400gg.jpg' AS image_url, p_type AS sku, 'Acme' AS brand FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0""",
     "backoff_schedule": "SELECT n_nationkey AS attempt, CASE WHEN n_nationkey % 5 = 4 THEN least(n_nationkey * 3, 20)::DOUBLE ELSE least(pow(2::DOUBLE, least(greatest(n_nationkey - 1, 0), 16)), 20::DOUBLE) * (0.5::DOUBLE + 0.5::DOUBLE * (n_regionkey / 4.0)::DOUBLE) END AS seconds FROM nation",
     "delays": "SELECT s_suppkey, least(greatest(s_acctbal, 0::DOUBLE), 3600::DOUBLE) AS seconds FROM supplier",
     "events_json_props": "SELECT json_extract_string(props, '$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY 1",

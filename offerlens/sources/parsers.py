@@ -6,7 +6,7 @@ as raw text: prices, stock phrases and URLs become values in native expressions
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import jsonld
+from .captures import Folder
 from .markup import Node, parse
 from .registry import ORIGIN
 
@@ -131,12 +132,12 @@ def _valued(raw: DataFrame, price_needed: bool) -> DataFrame:
     return rows.filter("price_euro IS NOT NULL") if price_needed else rows.withColumn("price_euro", F.coalesce("price_euro", F.lit(0.0)))
 
 
-def html_search(payloads: DataFrame) -> DataFrame:
+def html_search(payloads: DataFrame | Folder) -> DataFrame:
     """Listings of search and category replies in HTML."""
-    return _valued(_read(payloads.filter(F.col("source").isin(*CARDS) & F.col("kind").isin(*LISTS)), lambda source, _, body: CARDS[source](parse(body))), True)
+    return _valued(_read(_of(payloads, CARDS, LISTS).filter(_delivered()), lambda source, _, body: CARDS[source](parse(body))), True)
 
 
-def html_products(payloads: DataFrame) -> DataFrame:
+def html_products(payloads: DataFrame | Folder) -> DataFrame:
     """Listings of product pages in HTML; ``request_key`` is the product's id unless the page states another. An unknown price is 0.
 
     Datatronic's and Proshop's pages are listed under the URL that the request ended at.
@@ -150,17 +151,42 @@ def html_products(payloads: DataFrame) -> DataFrame:
             canonical = final if source in ("datatronic", "proshop") else None
             yield page | {"id": number, "url": canonical or page.get("url") or fallback}
 
-    pages = payloads.filter((F.col("kind") == "product") & F.col("source").isin("datatronic", "multitronic", "proshop", "gigantti", "jimms") & _delivered())
+    pages = _of(payloads, ("datatronic", "multitronic", "proshop", "gigantti", "jimms"), ("product",)).filter(_delivered())
     return _valued(_read(pages, rows, True), False)
 
 
+def _of(payloads: DataFrame | Folder, sources: Iterable[str] | None, kinds: Iterable[str] | None) -> DataFrame:
+    """Payloads of some sources and kinds (None: all), of a frame or a folder of captures."""
+    if isinstance(payloads, Folder):
+        return payloads.only(sources, kinds)
+    for name, values in (("source", sources), ("kind", kinds)):
+        payloads = payloads if values is None else payloads.filter(F.col(name).isin(*values))
+    return payloads
+
+
 def _delivered() -> Column:
     return ~S.bot_challenge(F.col("status"), F.col("headers")) & (F.coalesce("status", F.lit(200)) < 400)
 
 
-def _json(payloads: DataFrame, source: str, kinds: str | tuple[str, ...], schema: str) -> DataFrame:
+def _json(payloads: DataFrame | Folder, source: str, kinds: str | tuple[str, ...], schema: str) -> DataFrame:
     kinds = (kinds,) if isinstance(kinds, str) else kinds
-    return payloads.filter((F.col("source") == source) & F.col("kind").isin(*kinds)).select("request_key", F.from_json("body", schema).alias("b"))
+    return _of(payloads, (source,), kinds).filter(_delivered()).select("request_key", F.from_json("body", schema).alias("b"))
+
+
+def _shaped(source: str) -> Column:
+    """The body of a reply that lists products; null if it's no JSON, of another shape, or lacks what its retailer always states."""
+    b = F.from_json("body", f"{SHAPES[source]}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    sound = b["_bad"].isNull()
+    if source == "verkkokauppa":
+        lacks = lambda items, *names: F.exists(F.coalesce(items, F.array()), lambda x: F.greatest(*(x[n].isNull() for n in names)))
+        sound &= ~lacks(b["data"], "id", "attributes") & ~lacks(b["included"], "type", "id", "attributes")
+    return F.when(sound, b)
+
+
+def _listed(payloads: DataFrame | Folder, source: str) -> DataFrame:
+    """(request_key, b) of the search and category replies that arrived and are sound."""
+    replies = _of(payloads, (source,), LISTS).filter(_delivered())
+    return replies.select("request_key", _shaped(source).alias("b")).filter("b IS NOT NULL")
 
 
 def _filled(text: Column) -> Column:
@@ -185,11 +211,12 @@ JIMMS = (
     "IsError boolean, ErrorMessage string, Products array<struct<ProductID:bigint,Code:string,VendorName:string,Name:string,PriceTax:double,Uri:string,"
     "ImageID:bigint,ImageBaseSrc:string,ItemAvailability:int>>"
 )
+SHAPES = {"verkkokauppa": VERKKOKAUPPA, "power": f"products array<{POWER_ROW}>", "jimms": JIMMS}
 
 
-def verkkokauppa_search(payloads: DataFrame) -> DataFrame:
+def verkkokauppa_search(payloads: DataFrame | Folder) -> DataFrame:
     """Search replies; the brand comes from the reply's own side table (the last one named of a repeated id), stock from ``availability`` replies."""
-    b = _json(payloads, "verkkokauppa", "search", VERKKOKAUPPA)
+    b = _listed(payloads, "verkkokauppa")
     items = b.select("request_key", "b.included", F.posexplode("b.data").alias("rank", "x"))
     brand = F.get(F.reverse(F.filter("included", lambda i: (i["type"] == "brands") & (i["id"] == F.col("x.relationships.brand.data.id")) & i["attributes"]["name"].isNotNull())), F.lit(0))["attributes"]["name"]
     eans = F.flatten(F.transform(F.coalesce("x.attributes.articles", F.array()), lambda a: F.coalesce(a["eans"], F.array())))
@@ -219,10 +246,10 @@ def largest_image(images: Column) -> Column:
     return F.when(kind == "{", widest).when(kind == "[", F.get(F.from_json(images, "array<string>"), F.lit(0))).otherwise(images)
 
 
-def verkkokauppa_products(payloads: DataFrame) -> DataFrame:
+def verkkokauppa_products(payloads: DataFrame | Folder) -> DataFrame:
     """Product replies: the first element, its Finnish name and link before the English ones. Stock is not in them."""
     x, origin = F.col("x"), ORIGIN["verkkokauppa"]
-    items = _json(payloads.filter(_delivered()), "verkkokauppa", "product", VERKKOKAUPPA_PRODUCT).select("request_key", F.get("b", F.lit(0)).alias("x"))
+    items = _json(payloads, "verkkokauppa", "product", VERKKOKAUPPA_PRODUCT).select("request_key", F.get("b", F.lit(0)).alias("x"))
     name, href = (F.coalesce(x[c]["fi"], x[c]["en"]) for c in ("name", "href"))
     return items.filter(x["pid"].isNotNull() & ~x["pid"].rlike(r"^[\[{]|^(true|false)$") & name.isNotNull()).select(
         F.col("request_key").alias("query_id"), F.lit("verkkokauppa").alias("source"), F.lit(0).alias("rank"), x["pid"].alias("id"), name.alias("name"),
@@ -239,40 +266,42 @@ def _power_listing(items: DataFrame) -> DataFrame:
     return items.filter(x["productId"].isNotNull() & (F.trim(x["title"]) != "")).select(
         F.col("request_key").alias("query_id"), F.lit("power").alias("source"), "rank", x["productId"].cast("string").alias("id"), F.trim(x["title"]).alias("name"),
         F.coalesce(x["price"], F.lit(0.0)).alias("price_euro"), S.absolute_url(F.lit(origin), F.coalesce(x["url"], F.concat(F.lit("/p-"), x["productId"], F.lit("/")))).alias("url"),
-        S.absolute_url(F.lit("https://media.power-cdn.net"), F.concat(F.coalesce(x["productImage"]["basePath"], F.lit("")), F.lit("/"), widest)).alias("image_url"),
-        (F.lower(x["webStockMeta"]) == "instock").alias("in_stock"), _filled(F.coalesce(x["eanGtin12"], x["barcode"])).alias("ean"), x["productManufactorIdentity"].alias("sku"), x["manufacturerName"].alias("brand"),
+        S.absolute_url(F.lit("https://media.power-cdn.net"), F.concat(F.regexp_replace(x["productImage"]["basePath"], "/+$", ""), F.lit("/"), widest)).alias("image_url"),
+        (F.lower(x["webStockMeta"]) == "instock").alias("in_stock"), _filled(F.coalesce(x["eanGtin12"], x["barcode"])).alias("ean"), _filled(x["productManufactorIdentity"]).alias("sku"), _filled(x["manufacturerName"]).alias("brand"),
     )
 
 
-def power_search(payloads: DataFrame) -> DataFrame:
-    return _power_listing(_json(payloads, "power", LISTS, f"products array<{POWER_ROW}>").select("request_key", F.posexplode("b.products").alias("rank", "x")))
+def power_search(payloads: DataFrame | Folder) -> DataFrame:
+    return _power_listing(_listed(payloads, "power").select("request_key", F.posexplode("b.products").alias("rank", "x")))
 
 
-def power_products(payloads: DataFrame) -> DataFrame:
+def power_products(payloads: DataFrame | Folder) -> DataFrame:
     """Product replies: the first element that has an id and a title."""
     named = lambda x: x["productId"].isNotNull() & (F.trim(x["title"]) != "")
-    replies = _json(payloads.filter(_delivered()), "power", "product", f"array<{POWER_ROW}>")
+    replies = _json(payloads, "power", "product", f"array<{POWER_ROW}>")
     return _power_listing(replies.select("request_key", F.lit(0).alias("rank"), F.get(F.filter("b", named), F.lit(0)).alias("x")))
 
 
-def product_listings(payloads: DataFrame) -> DataFrame:
+def product_listings(payloads: DataFrame | Folder) -> DataFrame:
     """Listings of all sources' product replies; what was not found (404, 410) or failed has none."""
     return html_products(payloads).unionByName(verkkokauppa_products(payloads)).unionByName(power_products(payloads))
 
 
-def jimms_search(payloads: DataFrame) -> DataFrame:
+def jimms_search(payloads: DataFrame | Folder) -> DataFrame:
     """Replies that state an error give no rows here but a row in ``errors``."""
     x, origin = F.col("x"), ORIGIN["jimms"]
-    items = _json(payloads, "jimms", "search", JIMMS).filter("NOT coalesce(b.IsError, false)").select("request_key", F.posexplode("b.Products").alias("rank", "x"))
-    url = F.coalesce(F.concat(F.lit("/fi/"), x["Uri"]), F.concat(F.lit("/fi/Product/Show/"), x["ProductID"]))
+    items = _listed(payloads, "jimms").filter("NOT coalesce(b.IsError, false)").select("request_key", F.posexplode("b.Products").alias("rank", "x"))
+    vendor = F.nullif(F.trim(x["VendorName"]), F.lit(""))
+    url = F.coalesce(F.concat(F.lit("/fi/"), F.regexp_replace(F.trim(_filled(x["Uri"])), "^/+", "")), F.concat(F.lit("/fi/Product/Show/"), x["ProductID"]))
+    image = S.absolute_url(F.lit(origin), F.concat(_filled(x["ImageBaseSrc"]), x["ImageID"], F.lit("-ig400gg.jpg")))
     return items.filter(x["ProductID"].isNotNull() & (F.trim(x["Name"]) != "")).select(
-        F.col("request_key").alias("query_id"), F.lit("jimms").alias("source"), "rank", x["ProductID"].cast("string").alias("id"), S.with_vendor(x["VendorName"], F.trim(x["Name"])).alias("name"),
-        F.coalesce(x["PriceTax"], F.lit(0.0)).alias("price_euro"), F.concat(F.lit(origin), url).alias("url"), F.concat(x["ImageBaseSrc"], x["ImageID"], F.lit("-ig400gg.jpg")).alias("image_url"),
-        S.availability_code(x["ItemAvailability"]).alias("in_stock"), F.lit(None).cast("string").alias("ean"), x["Code"].alias("sku"), x["VendorName"].alias("brand"),
+        F.col("request_key").alias("query_id"), F.lit("jimms").alias("source"), "rank", x["ProductID"].cast("string").alias("id"), S.with_vendor(vendor, F.trim(x["Name"])).alias("name"),
+        F.coalesce(x["PriceTax"], F.lit(0.0)).alias("price_euro"), F.concat(F.lit(origin), url).alias("url"), image.alias("image_url"),
+        S.availability_code(x["ItemAvailability"]).alias("in_stock"), F.lit(None).cast("string").alias("ean"), _filled(x["Code"]).alias("sku"), vendor.alias("brand"),
     )
 
 
-def search_listings(payloads: DataFrame, limit: int = 10) -> DataFrame:
+def search_listings(payloads: DataFrame | Folder, limit: int = 10) -> DataFrame:
     """All sources' search replies as one table, the first ``limit`` of each reply; ``arrival`` is the source's rank, then the reply's order."""
     from ..operators.history import first_by_source
 
@@ -282,18 +311,30 @@ def search_listings(payloads: DataFrame, limit: int = 10) -> DataFrame:
     return first_by_source(ranked, limit)
 
 
-def errors(payloads: DataFrame) -> DataFrame:
-    """(query_id, source, error): replies that failed, are no JSON of their kind, state an error, or are of a source without search."""
-    schema = F.from_json("body", "IsError boolean, ErrorMessage string")
+def errors(payloads: DataFrame | Folder) -> DataFrame:
+    """(query_id, source, error, retryable): replies that failed or couldn't be read, are not of their kind's shape, state an error, or are of a source without search.
+
+    A reply has either listings or an error, and one source's errors leave the others' listings alone. Replies on stock only never fail: stock is unknown then.
+    """
+    payloads = _of(payloads, None, None)
+    stated = F.from_json("body", "IsError boolean, ErrorMessage string")
+    lists, gone = F.col("kind").isin(*LISTS), F.col("status").isin(404, 410) & ((F.col("source") != "gigantti") | (F.col("status") == 404))
+    error = F.when(F.col("error").isNotNull(), F.col("error")) if "error" in payloads.columns else F.when(F.lit(False), "")
     error = (
-        F.when((F.col("kind") == "search") & (F.col("source") == "gigantti"), "search is not supported")
+        error.when(F.col("kind") == "availability", F.lit(None))
+        .when((F.col("kind") == "search") & (F.col("source") == "gigantti"), "search is not supported")
         .when(S.bot_challenge(F.col("status"), F.col("headers")), "blocked by a bot challenge")
-        .when((F.col("kind") == "product") & F.col("status").isin(404, 410), F.lit(None))  # not found is an answer
+        .when((F.col("kind") == "product") & gone, F.lit(None))  # not found is an answer
         .when(F.col("status") >= 400, F.concat(F.lit("HTTP status "), "status"))
-        .when((F.col("source") == "jimms") & (F.col("kind") == "search") & schema["IsError"], F.coalesce(schema["ErrorMessage"], F.lit("error")))
-        .when(F.col("source").isin("verkkokauppa", "power", "jimms") & (F.col("kind") == "search") & F.try_parse_json("body").isNull(), "reply is no JSON")
     )
-    return payloads.select(F.col("request_key").alias("query_id"), "source", S.first_line(error).alias("error")).filter("error IS NOT NULL")
+    for source in SHAPES:
+        of = lists & (F.col("source") == source)
+        error = error.when(of & F.try_parse_json("body").isNull(), "reply is no JSON")
+        if source == "jimms":
+            error = error.when(of & stated["IsError"], F.coalesce(stated["ErrorMessage"], F.lit("error")))
+        error = error.when(of & _shaped(source).isNull(), "reply has another shape")
+    said = payloads.select(F.col("request_key").alias("query_id"), "source", S.first_line(error).alias("error"), F.coalesce(S.retryable(F.col("status")), F.lit(False)).alias("retryable"))
+    return said.filter("error IS NOT NULL")
 
 
 ENRICH_BUDGET = 12
