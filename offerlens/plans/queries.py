@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..folders import shared_dir
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import alerts as A
@@ -14,6 +15,7 @@ from ..operators import history as H
 from ..operators import matching as M
 from ..operators.filters import Filters, apply_filters, dropped_count
 from ..operators.identity import signature
+from ..operators.ledger import Ledger
 from ..sources import registry
 from .tables import view
 
@@ -72,6 +74,20 @@ def change_only_history(spark, sf_dir):
     return H.changes(view(spark, sf_dir, "sightings"), 50.0).select("product_id", "source", "seq", "price_euro", "in_stock")
 
 
+@query
+def incremental_history(spark, sf_dir):
+    """The change-only history, folded in four batches by time into a ledger, with a compaction between."""
+    rows = view(spark, sf_dir, "sightings")
+    ledger = Ledger(spark, shared_dir(spark, "ledger"), buckets=8, tolerance=50.0)
+    ends = rows.agg(F.percentile(F.unix_micros(F.col("recorded_at").cast("timestamp")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("p")).first().p
+    turn = sum((F.unix_micros(F.col("recorded_at").cast("timestamp")) > e).cast("int") for e in ends or []) if ends else F.lit(0)
+    for n in range(4):
+        ledger.fold(rows.filter(turn == n), n)
+        if n == 1:
+            ledger.compact()
+    return ledger.points.select("product_id", "source", "seq", "price_euro", "in_stock")
+
+
 @query
 def product_upsert(spark, sf_dir):
     return H.products(view(spark, sf_dir, "sightings"))

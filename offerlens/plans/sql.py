@@ -85,6 +85,9 @@ SQL = {
     "price_history_of_product": f"{_OFFERS} SELECT * FROM offers WHERE product_id = '7' AND source = 'src3' ORDER BY recorded_at DESC, seq DESC LIMIT 30",
     "change_only_history": f"""{_SIGHTINGS}, folded AS (SELECT product_id, source, list_reduce(list_prepend([NULL::STRUCT(t TIMESTAMP, q BIGINT, p DOUBLE, s BOOLEAN)], list_transform(list({{t: recorded_at, q: seq, p: price_euro, s: in_stock}} ORDER BY recorded_at, seq), lambda x: [x])),
   lambda acc, x: CASE WHEN acc[-1] IS NULL OR abs(x[1].p - acc[-1].p) >= 50.0 OR x[1].s IS DISTINCT FROM acc[-1].s THEN list_concat(acc, x) ELSE acc END) AS kept FROM sightings WHERE price_euro > 0 GROUP BY 1, 2)
+SELECT product_id, source, k.q AS seq, k.p AS price_euro, k.s AS in_stock FROM (SELECT product_id, source, unnest(kept) AS k FROM folded) WHERE k IS NOT NULL""",
+    "incremental_history": f"""{_SIGHTINGS}, folded AS (SELECT product_id, source, list_reduce(list_prepend([NULL::STRUCT(t TIMESTAMP, q BIGINT, p DOUBLE, s BOOLEAN)], list_transform(list({{t: recorded_at, q: seq, p: price_euro, s: in_stock}} ORDER BY recorded_at, seq), lambda x: [x])),
+  lambda acc, x: CASE WHEN acc[-1] IS NULL OR abs(x[1].p - acc[-1].p) >= 50.0 OR x[1].s IS DISTINCT FROM acc[-1].s THEN list_concat(acc, x) ELSE acc END) AS kept FROM sightings WHERE price_euro > 0 GROUP BY 1, 2)
 SELECT product_id, source, k.q AS seq, k.p AS price_euro, k.s AS in_stock FROM (SELECT product_id, source, unnest(kept) AS k FROM folded) WHERE k IS NOT NULL""",
     "product_upsert": f"{_SIGHTINGS}{_PRODUCTS} SELECT * FROM products",
     "store_search": f"{_SIGHTINGS}{_PRODUCTS} SELECT product_id, source, name FROM products WHERE name ILIKE '%ame 1%' ORDER BY last_seen DESC, product_id, source LIMIT 50",

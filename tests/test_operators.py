@@ -3,6 +3,7 @@
 import json
 import random
 from collections import defaultdict
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ def pair(spark, a, b, ean_a=None, ean_b=None):
 
 
 E1, E2 = "0730143314350", "5032037150354"
+START = datetime(2024, 1, 1)
 
 
 def test_pair_verdicts(spark):
@@ -214,7 +216,7 @@ def test_refresh_of_every_source(spark, tmp_path):
         engine.track("1", source)
     replies = [(s, "1", 404 if s == "jimms" else 503 if s == "proshop" else 200, None, b) for s, b in bodies.items()]
     got = engine.refresh(product_replies(spark, *replies))
-    assert got["updated"] == 5 and {(e["source"], e["error"]) for e in got["errors"]} == {("jimms", "1 no longer listed"), ("proshop", "HTTP status 503")}
+    assert got["updated"] == 5 and {(e["source"], e["error"]) for e in got["errors"].collect()} == {("jimms", "1 no longer listed"), ("proshop", "HTTP status 503")}
 
 
 def test_sightings_are_numbered_by_arrival(spark, tmp_path):
@@ -251,17 +253,80 @@ def test_pages_without_identity_enrich_nothing(spark):
 def test_engine(spark, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}")
     ask = lambda name, **a: json.loads(engine.handle(json.dumps({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": a}}), payloads(spark)))["result"]
-    assert len(json.loads(ask("search")["content"][0]["text"])["products"]) == 4
-    assert json.loads(ask("get_product", product_id="31", source="multitronic.fi")["content"][0]["text"])["price_euro"] == 359.9
-    assert ask("get_product", product_id="none", source="jimms")["isError"] and ask("get_product", product_id="1", source="amazon")["isError"] and ask("set_alert", product_id="31", source="multitronic", below=0)["isError"]
-    assert not ask("set_alert", product_id="31", source="multitronic", below=200)["isError"]
-    assert json.loads(ask("alerts")["content"][0]["text"])[0]["triggered"] is False
-    refreshed = json.loads(ask("refresh")["content"][0]["text"])
-    assert (refreshed["updated"], refreshed["changed"], refreshed["errors"], len(refreshed["alerts_triggered"])) == (1, 1, [], 1)
-    assert engine.untrack("31", "multitronic") and not engine.untrack("31", "multitronic")
-    assert engine.stats()["products"] == 4 and engine.price_history("31", "multitronic").count() == 2
-    assert json.loads(engine.handle("oops"))["error"]["code"] == -32700 and json.loads(engine.handle('{"id":2,"method":"x"}'))["error"]["code"] == -32601
-    assert engine.handle('{"method":"ping"}') is None and json.loads(engine.handle('{"id":3,"method":"initialize"}'))["result"]["protocolVersion"] == "2024-11-05"
+    says = lambda name, **a: json.loads(ask(name, **a)["content"][0]["text"])
+    found = says("search", query="q", max_price=100)
+    assert [r["source"] for r in found["results"]] == ["verkkokauppa", "power", "jimms"] and (found["query"], found["total_hits"], found["filtered_out"], found["errors"]) == ("q", 3, 1, [{"source": "gigantti", "error": "search is not supported"}])
+    compared = says("compare", query="q", enrich=True)
+    assert (len(compared["groups"]), compared["group_count"], compared["enriched"], compared["filtered_out"]) == (4, 4, 1, 0)
+    assert says("get_product", id="31", source="multitronic.fi")["price_euro"] == 124.9 and says("get_product", id="https://www.power.fi/x/p-9/", source="power")["name"] == "Phone"
+    assert ask("get_product", id="none", source="jimms")["isError"] and ask("get_product", id="1", source="amazon")["isError"] and ask("set_alert", product_id="31", source="multitronic", below=0)["isError"]
+    assert says("set_alert", product_id="9", source="power", below=6) == {"alert_set": True, "product_id": "9", "source": "power", "target_price": 6}
+    assert [a["triggered"] for a in says("list_alerts")] == [True] and [t["name"] for t in says("list_tracked")] == ["Phone"]
+    says("track", product_id="31", source="multitronic")
+    refreshed = says("refresh")
+    assert (refreshed["updated"], refreshed["changed"], refreshed["total"], len(refreshed["alerts_triggered"])) == (1, 0, 2, 1) and [e["error"] for e in refreshed["errors"]] == ["9 no longer listed"]
+    history = says("price_history", product_id="31", source="multitronic")
+    assert history["product"]["name"] == "TV" and [h["price_euro"] for h in history["history"]] == [124.9, 359.9]
+    assert says("untrack", product_id="31", source="multitronic")["untracked"] and not says("untrack", product_id="31", source="multitronic")["untracked"]
+    assert says("clear_alert", product_id="9", source="power")["alert_cleared"] and says("stats")["products"] == 4 and len(says("sources")) == 7
+
+
+def test_facade_answers_any_line(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}")
+    for line in ("oops", "[]", "1", "null", '{"params":[]}', '{"id":1,"method":"tools/call","params":[1]}', '{"id":1,"method":5}', '{"id":1,"method":"tools/call","params":{"name":[]}}', "[" * 100_000):
+        reply = json.loads(engine.handle(line))
+        assert reply["error"]["code"] == -32700 and "id" not in reply, line
+    assert json.loads(engine.handle('{"id":2,"method":"x"}'))["error"]["code"] == -32601 and engine.handle('{"method":"ping"}') is None
+    assert json.loads(engine.handle('{"id":3,"method":"initialize"}'))["result"].keys() == {"protocolVersion", "capabilities", "serverInfo"}
+    listed = json.loads(engine.handle('{"id":4,"method":"tools/list"}'))["result"]["tools"]
+    assert len(listed) == 13 and all(t["description"] and t["inputSchema"]["type"] == "object" for t in listed)
+    assert {t["name"]: t["inputSchema"].get("required") for t in listed}["get_product"] == ["id", "source"]
+    for name, arguments in [("search", {}), ("search", {"query": " "}), ("compare", None), ("nothing", {}), ("", {}), ("set_alert", {"product_id": "1", "source": "power", "below": "x"}), ("set_alert", {"product_id": "1", "source": "power", "below": True}), ("track", {"product_id": 7, "source": "power"}), ("get_product", {"id": "http://x", "source": "jimms"})]:
+        reply = json.loads(engine.handle(json.dumps({"id": 5, "method": "tools/call", "params": {"name": name, "arguments": arguments}})))
+        assert reply["result"]["isError"] and reply["result"]["content"][0]["text"], name
+    odd = json.loads(engine.handle(json.dumps({"id": 6, "method": "tools/call", "params": {"name": "search", "arguments": {"query": "q", "limit": "x", "min_price": "cheap"}}})))
+    assert not odd["result"]["isError"] and json.loads(odd["result"]["content"][0]["text"])["results"] == []
+
+
+def test_search_parses_once(spark, tmp_path, monkeypatch):
+    """Record, rows and counters come from one pass over the replies; a refresh folds its own batch only."""
+    from offerlens.operators import ledger
+
+    engine, calls = Engine(spark, f"file://{tmp_path}"), []
+    parse = parsers.search_listings
+    monkeypatch.setattr(parsers, "search_listings", lambda *a: calls.append(a) or parse(*a))
+    seen_ = spark.sparkContext.accumulator(0)
+    read = parsers._read
+    monkeypatch.setattr(parsers, "_read", lambda replies, rows_of, with_url=False: read(replies, lambda *a: (seen_.add(1), rows_of(*a))[1], with_url))
+    found = engine.search(payloads(spark))
+    assert found.rows.count() == 4 and found.counts == {"total_hits": 4, "filtered_out": 0} and engine.sightings.count() == 4
+    assert len(calls) == 1 and seen_.value == 1  # one HTML reply
+    folded, fold = [], ledger.Ledger.folding
+    monkeypatch.setattr(ledger.Ledger, "folding", lambda self, rows: folded.append(sorted(r.seq for r in rows.collect())) or fold(self, rows))
+    engine.track("31", "multitronic")
+    assert engine.refresh(payloads(spark))["changed"] == 1 and [len(f) for f in folded] == [1]
+
+
+def test_a_folder_of_the_first_layout_is_read_on(spark, tmp_path):
+    """Sightings without batches and without newer columns: read, folded once, and written on."""
+    old = spark.createDataFrame([("1", "power", START, 1, "N", "u", None, 5.0, True, "e", "b"), ("1", "power", START, 2, "N", "u", None, 5.0, True, None, None), ("1", "power", START, 3, "N", "u", None, 6.0, True, None, None)], "product_id string, source string, recorded_at timestamp, seq long, name string, url string, image_url string, price_euro double, in_stock boolean, ean string, brand string")
+    old.write.partitionBy("source").parquet(f"{tmp_path}/sightings")
+    engine = Engine(spark, f"file://{tmp_path}")
+    assert [(r.ean, r.sku, r.brand) for r in engine.products.collect()] == [("e", None, "b")] and engine.history.count() == 2
+    rows = listings(spark, [("N", 6.0, "power")]).withColumns({"id": F.lit("1"), "sku": F.lit("s"), "image_url": F.lit(None).cast("string")})
+    assert engine.record(rows).count() == 0 and engine.record(rows.withColumn("price_euro", F.lit(7.0))).count() == 1
+    assert [(r.ean, r.sku) for r in engine.products.collect()] == [("e", "s")] and engine.sightings.count() == 5 and engine.history.count() == 3
+
+
+def test_a_stream_is_recorded(spark, tmp_path):
+    from offerlens.api import SIGHTINGS
+
+    engine = Engine(spark, f"file://{tmp_path}/e")
+    engine.record(listings(spark, [("N", 5.0, "power")]).withColumn("image_url", F.lit(None).cast("string")))
+    for n, price in enumerate([5.0, 8.0, 8.0]):
+        spark.createDataFrame([("0", "power", datetime(2100, 1, 1), 2**62 + n, "N", "u", None, price, True, None, None, None)], SIGHTINGS).write.mode("append").parquet(f"{tmp_path}/in")
+        engine.follow(spark.readStream.schema(SIGHTINGS).parquet(f"{tmp_path}/in"), f"{tmp_path}/log").awaitTermination()
+    assert engine.sightings.count() == 4 and sorted(r.price_euro for r in engine.history.collect()) == [5.0, 8.0]
 
 
 def test_enrichment(spark):
