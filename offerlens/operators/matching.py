@@ -1,16 +1,22 @@
 """Entity resolution: which listings of different retailers are one product.
 
-Pairs are scored only where they can pass: a pair without equal EAN or SKU and without a shared model token scores at most 0.40,
-so for thresholds above that candidates come from an equi-join on these keys (for thresholds of 0.10 to 0.40 name tokens
-are keys too). Passing pairs split the listings into components; clusters never reach over one, so the order-sensitive
-grouping runs for each component alone, on scores that are computed already.
+Pairs are scored only where they can pass. Above 0.40 a pair needs an equal EAN or SKU, or a shared model token; for thresholds of 0.10 to 0.40 name tokens are
+keys too, by a prefix filter: the smaller set offers only as many of its rarest tokens as the threshold can't do without. What forbids a pair is part of
+its key: qualifiers must be equal, and where both state an EAN, a capacity or a size these too. A pair is kept at its first key only, so
+nothing is made distinct; keys that many listings share are dealt out by salt.
+
+Grouping follows the order of arrival. A listing is assigned by its links to earlier ones (a cluster is open to it if it has as many links into it as the
+cluster has members), in one walk over sorted links that holds a few numbers a listing; queries of many links are walked component by component. The rule
+then merges clusters all of whose listings are linked. No such two can be left, so nothing is done for it: the first member of the later one found, when
+it came, a member of the earlier one that it has no link to (or it would have joined a cluster), and members stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,32 +68,91 @@ def verdict(a: str = "a", b: str = "b") -> Column:
     )
 
 
-def block_keys(threshold: float = THRESHOLD) -> Column:
-    """Keys of which every pair that reaches ``threshold`` shares one."""
-    keys = [
-        F.when(F.col("ean_key").isNotNull(), F.array(F.concat(F.lit("e:"), "ean_key"))).otherwise(F.array().cast("array<string>")),
-        F.when(F.col("sku_key").isNotNull(), F.array(F.concat(F.lit("s:"), "sku_key"))).otherwise(F.array().cast("array<string>")),
-        F.transform("model_tokens", lambda t: F.concat(F.lit("m:"), t)),
-    ]
-    if threshold <= 0.40:
-        keys.append(F.transform("name_tokens", lambda t: F.concat(F.lit("n:"), t)))
-    if threshold <= 0.10:
-        keys = [F.array(F.lit("all"))]
-    return F.concat(*keys)
+#: A key of more listings than this is dealt out in parts.
+HOT = 2048
+SEP = "\u0001"
+
+
+def _slots(value: Column, left: bool) -> Column:
+    """Names of which two sides share exactly one if a value is equal or unknown on either side, and none if both state another."""
+    text = value.cast("string")
+    return F.when(value.isNotNull(), F.array(F.concat(F.lit("v"), text), F.lit("x" if left else "n"))).otherwise(F.array(F.lit("n")) if left else F.array(F.lit("x"), F.lit("n")))
+
+
+def _apart_slots(stated: Column, left: bool) -> Column:
+    """The same, where two sides that both state a value never meet."""
+    return F.when(stated, F.array(F.lit("x" if left else "n"))).otherwise(F.array(F.lit("n")) if left else F.array(F.lit("x"), F.lit("n")))
+
+
+def _crossed(*parts: Column) -> Column:
+    """All choices of one text of each array, joined."""
+    return reduce(lambda a, b: F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.concat(x, F.lit(SEP), y)))), parts)
+
+
+def block_keys(threshold: float, left: bool, small: bool | None = None) -> Column:
+    """Keys of one side. ``small`` sides of name keys offer their prefix, others all tokens; None: keys without names."""
+    no_ean = _apart_slots(F.col("ean_key").isNotNull(), left)
+    sound = [F.array(F.array_join("qualifiers", ",")), no_ean, _slots(F.col("capacity_gb"), left), _slots(F.col("screen_inches"), left)]
+    if small is not None:
+        tokens = F.transform("prefix" if small else "name_tokens", lambda t: F.concat(F.lit("n"), t))
+        return _crossed(tokens, *sound, _apart_slots(F.size("model_tokens") > 0, left))
+    none = F.array().cast("array<string>")
+    exact = F.when(F.col("ean_key").isNotNull(), F.array(F.concat(F.lit("e"), "ean_key"))).otherwise(none)
+    skus = F.when(F.col("sku_key").isNotNull(), _crossed(F.array(F.concat(F.lit("s"), "sku_key")), no_ean)).otherwise(none)
+    models = _crossed(F.array(F.lit("q")) if threshold <= 0.10 else F.transform("model_tokens", lambda t: F.concat(F.lit("m"), t)), *sound)
+    return F.concat(exact, skus, models)
+
+
+def _with_prefix(signed: DataFrame, threshold: float) -> DataFrame:
+    """Adds ``prefix``: the rarest name tokens, as many as the smaller set of a pair that reaches the threshold by its name can't all lack."""
+    need = F.greatest(F.ceil(F.lit((threshold - 0.10) / 0.30 - 1e-9) * F.size("name_tokens")), F.lit(1))
+    tokens = signed.select("query_id", "arrival", F.explode("name_tokens").alias("t"), (F.size("name_tokens") - need + 1).cast("int").alias("n"))
+    counts = tokens.groupBy("query_id", "t").agg(F.count("*").alias("f"))
+    ranked = tokens.join(counts, ["query_id", "t"]).groupBy("query_id", "arrival").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "t"))).alias("r"))
+    prefix = ranked.select("query_id", "arrival", F.slice("r.t", F.lit(1), F.col("n")).alias("prefix"))
+    return signed.join(prefix, ["query_id", "arrival"], "left").withColumn("prefix", F.coalesce("prefix", F.array().cast("array<string>")))
+
+
+def _met(left: DataFrame, right: DataFrame, hot: int) -> DataFrame:
+    """Rows (query_id, key, x: listing) of both sides, joined; the listings of a key with over ``hot`` rows meet in parts."""
+    counts = left.groupBy("query_id", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("query_id", "key", F.ceil(F.col("n") / hot).cast("int").alias("parts"))
+    parted = lambda side: side.join(counts, ["query_id", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    a = parted(left).withColumn("part", F.pmod(F.xxhash64("x.arrival"), F.col("parts")).cast("int")).select("query_id", "key", "part", F.col("x").alias("sa"))
+    b = parted(right).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("query_id", "key", "part", F.col("x").alias("sb"))
+    return a.join(b, ["query_id", "key", "part"])
+
 
+def _candidate_pairs(signed: DataFrame, threshold: float, hot: int) -> DataFrame:
+    """(query_id, sa, sb): each pair of listings that a key brings together and nothing in the keys forbids, once."""
+    columns = ["arrival", *SIGNATURE]
+    side = lambda d, keys, *more: d.select("query_id", F.explode(keys).alias("key"), F.struct(*columns, *more).alias("x"))
+    met = _met(side(signed, block_keys(threshold, True)), side(signed, block_keys(threshold, False)), hot).filter("sa.arrival < sb.arrival")
+    kind, token = F.substring("key", 1, 1), F.substring_index(F.substring("key", 2, 1 << 30), SEP, 1)
+    same_sku = F.coalesce(F.col("sa.sku_key") == F.col("sb.sku_key"), F.lit(False))
+    first = F.array_min(F.array_intersect("sa.model_tokens", "sb.model_tokens")) == token
+    pairs = met.filter(kind.isin("e", "s") | (~same_sku & ((kind == "q") | first))).select("query_id", "sa", "sb")
+    if 0.10 < threshold <= 0.40:
+        ranked = _with_prefix(signed, threshold)
+        met = _met(side(ranked, block_keys(threshold, True, True), "prefix"), side(ranked, block_keys(threshold, False, False)), hot)
+        size_a, size_b = F.size("sa.name_tokens"), F.size("sb.name_tokens")
+        smaller = (size_a < size_b) | ((size_a == size_b) & (F.col("sa.arrival") < F.col("sb.arrival")))
+        first = F.get(F.filter("sa.prefix", lambda t: F.array_contains("sb.name_tokens", t)), F.lit(0)) == token
+        plain = lambda n: F.struct(*(F.col(f"{n}.{c}").alias(c) for c in columns))
+        found = met.filter(smaller & first & ~same_sku).select("query_id", plain("sa").alias("p"), plain("sb").alias("q"))
+        ordered = F.col("p.arrival") < F.col("q.arrival")
+        pairs = pairs.unionByName(found.select("query_id", F.when(ordered, F.col("p")).otherwise(F.col("q")).alias("sa"), F.when(ordered, F.col("q")).otherwise(F.col("p")).alias("sb")))
+    return pairs
 
-def candidates(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(query_id, a, b): arrivals a < b of listings that share a key."""
-    keyed = signed.select("query_id", "arrival", F.explode(block_keys(threshold)).alias("key"))
-    left, right = keyed.withColumnRenamed("arrival", "a"), keyed.withColumnRenamed("arrival", "b")
-    return left.join(right, ["query_id", "key"]).filter("a < b").select("query_id", "a", "b").distinct()
 
+def candidates(signed: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+    """(query_id, a, b): arrivals a < b of listings that may reach the threshold."""
+    return _candidate_pairs(signed, threshold, hot).select("query_id", F.col("sa.arrival").alias("a"), F.col("sb.arrival").alias("b"))
 
-def scored_pairs(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+
+def scored_pairs(signed: DataFrame, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """(query_id, a, b, score, basis) of all compatible candidate pairs."""
-    side = lambda n: signed.select("query_id", F.col("arrival").alias(n), F.struct(*SIGNATURE).alias(f"s{n}"))
-    joined = candidates(signed, threshold).join(side("a"), ["query_id", "a"]).join(side("b"), ["query_id", "b"])
-    return joined.withColumn("v", verdict("sa", "sb")).filter("v IS NOT NULL").select("query_id", "a", "b", "v.score", "v.basis")
+    judged = _candidate_pairs(signed, threshold, hot).withColumn("v", verdict("sa", "sb")).filter("v IS NOT NULL")
+    return judged.select("query_id", F.col("sa.arrival").alias("a"), F.col("sb.arrival").alias("b"), "v.score", "v.basis")
 
 
 def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -109,61 +174,83 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     return labels.select("query_id", F.col("a").alias("arrival"), F.col("l").alias("component"))
 
 
-def _cluster(arrivals: list[int], scores: dict[tuple[int, int], tuple[float, int]]) -> Iterator[tuple[list[int], float, int]]:
-    """The order-sensitive grouping of one component: (members, confidence, basis) of each cluster."""
-    of = lambda i, j: scores.get((i, j) if i < j else (j, i))
-    clusters: list[list] = []
-    for x in sorted(arrivals):
-        best = None
-        for c in clusters:
-            links = [of(x, m) for m in c[0]]
-            if all(links):
-                mean = sum(s for s, _ in links) / len(links)
-                if best is None or mean > best[0]:
-                    best = (mean, min(b for _, b in links), c)
-        if best is None:
-            clusters.append([[x], 1.0, NAME])
-        else:
-            mean, basis, c = best
-            c[0].append(x)
-            c[1], c[2] = min(c[1], mean), min(c[2], basis)
-    merged = True
-    while merged:
-        merged = False
-        for i in range(len(clusters)):
-            for j in range(i + 1, len(clusters)):
-                links = [of(a, b) for a in clusters[i][0] for b in clusters[j][0]]
-                if all(links):
-                    first, second = clusters[i], clusters.pop(j)
-                    first[0] += second[0]
-                    first[1] = min(first[1], second[1], *(s for s, _ in links))
-                    first[2] = min(first[2], second[2], *(b for _, b in links))
-                    merged = True
-                    break
-            if merged:
-                break
-    yield from map(tuple, clusters)
-
-
-def clusters(signed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Every listing's cluster: query_id, arrival, head (its first listing), place in it, confidence, basis."""
-    pairs = _written(scored_pairs(signed, threshold).filter(F.col("score") >= threshold), "scored")
-    of = components(pairs)
-    tagged = pairs.join(of, (pairs["query_id"] == of["query_id"]) & (pairs["a"] == of["arrival"])).select(pairs["query_id"], "component", "a", "b", "score", "basis")
+#: Queries of more links than this are assigned component by component.
+LINKS_AT_ONCE = 1_000_000
+
+
+def assigned(links: DataFrame) -> DataFrame:
+    """First-fit assignment of listings with links (query_id, unit, a, b, score, basis): query_id, arrival, head, place, confidence and basis of its cluster."""
+    made = "query_id string, arrival long, head long, place int, confidence double, basis int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit: tuple | None = None
+        head: dict[int, int] = {}  # a listing's cluster, named by its first member
+        state: dict[int, list] = {}  # of a cluster: size, confidence, basis
+        place: dict[int, int] = {}
+        now: int | None = None
+        open_: dict[int, list] = {}  # of the present listing: links, sum of scores and least basis by cluster
+
+        def settle() -> None:
+            best = None
+            for h, (n, total, basis) in open_.items():
+                if n == state[h][0] and (best is None or (total / n, -h) > best[:2]):
+                    best = (total / n, -h, basis, h)
+            if best is None:
+                alone(now)
+            else:
+                mean, _, basis, h = best
+                head[now], place[now] = h, state[h][0]
+                state[h] = [state[h][0] + 1, min(state[h][1], mean), min(state[h][2], basis)]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        scores = {(a, b): (s, k) for a, b, s, k in zip(rows["a"], rows["b"], rows["score"], rows["basis"], strict=True)}
-        found = _cluster(sorted({*rows["a"], *rows["b"]}), scores)
-        out = [(rows["query_id"].iloc[0], m, min(members), place, confidence, basis) for members, confidence, basis in found for place, m in enumerate(members)]
-        return pd.DataFrame(out, columns=["query_id", "arrival", "head", "place", "confidence", "basis"])
+        def alone(x: int) -> None:
+            head[x], place[x], state[x] = x, 0, [1, 1.0, NAME]
 
-    grouped = tagged.groupBy("query_id", "component").applyInPandas(run, "query_id string, arrival long, head long, place int, confidence double, basis int")
-    alone = signed.join(of, ["query_id", "arrival"], "left_anti").select("query_id", "arrival", F.col("arrival").alias("head"), F.lit(0).alias("place"), F.lit(1.0).alias("confidence"), F.lit(NAME).alias("basis"))
-    return grouped.unionByName(alone)
+        def out() -> pa.RecordBatch:
+            settle()
+            cols = [[unit[0]] * len(head), list(head), list(head.values()), [place[x] for x in head], [state[h][1] for h in head.values()], [state[h][2] for h in head.values()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32()), strict=True)], [x.split()[0] for x in made.split(", ")])
+
+        for batch in batches:
+            for q, u, a, b, score, basis in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (q, u) != unit:
+                    if unit is not None:
+                        yield out()
+                    unit, now = (q, u), None
+                    head, state, place = {}, {}, {}
+                if b != now:
+                    if now is not None:
+                        settle()
+                    now, open_ = b, {}
+                if a not in head:
+                    alone(a)
+                link = open_.setdefault(head[a], [0, 0.0, NAME])
+                link[0] += 1
+                link[1] += score
+                link[2] = min(link[2], basis)
+        if unit is not None:
+            yield out()
+
+    ordered = links.select("query_id", "unit", "a", "b", "score", "basis").repartition("query_id", "unit").sortWithinPartitions("query_id", "unit", "b", "a")
+    return ordered.mapInArrow(run, made)
+
+
+def clusters(signed: DataFrame, threshold: float = THRESHOLD, links_at_once: int = LINKS_AT_ONCE) -> DataFrame:
+    """Every listing's cluster: query_id, arrival, head (its first listing), place in it, confidence, basis."""
+    pairs = _written(scored_pairs(signed, threshold).filter(F.col("score") >= threshold), "scored")
+    units = pairs.withColumn("unit", F.lit(0).cast("long"))
+    large = _written(pairs.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") > links_at_once).select("query_id"), "large")
+    if not large.isEmpty():
+        some = pairs.join(large, "query_id", "left_semi")
+        of = components(some).select("query_id", F.col("arrival").alias("a"), F.col("component").alias("unit"))
+        units = units.join(large, "query_id", "left_anti").unionByName(some.join(of, ["query_id", "a"]).select(*units.columns))
+    found = _written(assigned(units), "assigned")
+    alone = signed.join(found, ["query_id", "arrival"], "left_anti").select("query_id", "arrival", F.col("arrival").alias("head"), F.lit(0).alias("place"), F.lit(1.0).alias("confidence"), F.lit(NAME).alias("basis"))
+    return found.unionByName(alone)
 
 
 def groups(signed: DataFrame, threshold: float = THRESHOLD, multi_only: bool = False) -> DataFrame:
     """Product groups with their offers by price; most retailers first, then cheapest, then first seen."""
+    signed = _written(signed, "signed")
     rows = signed.join(clusters(signed, threshold), ["query_id", "arrival"])
     richness = F.col("screen_inches").isNotNull().cast("int") + F.col("capacity_gb").isNotNull().cast("int") + F.col("brand_key").isNotNull().cast("int")
     attributes = F.struct(F.col("brand_key").alias("brand"), "screen_inches", "capacity_gb", "qualifiers", "kind")

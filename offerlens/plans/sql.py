@@ -61,6 +61,8 @@ _PRODUCTS = """, products AS (SELECT product_id, source, arg_max_null(name, row(
   min(recorded_at) AS first_seen, max(recorded_at) AS last_seen FROM sightings GROUP BY 1, 2)"""
 _BOTH = "FROM signed a JOIN signed b ON a.query_id = b.query_id AND a.arrival < b.arrival"
 _SHARED = "(a.ean_key = b.ean_key OR a.sku_key = b.sku_key OR len(list_intersect(a.model_tokens, b.model_tokens)) > 0)"
+#: What the keys rule out: an equal EAN comes first, two EANs next, then an equal SKU, then conflicts.
+_ALLOWED = "CASE WHEN a.ean_key = b.ean_key THEN true WHEN a.ean_key != b.ean_key THEN false WHEN a.sku_key = b.sku_key THEN true ELSE a.qualifiers = b.qualifiers AND coalesce(a.capacity_gb = b.capacity_gb, true) AND coalesce(a.screen_inches = b.screen_inches, true) END"
 _SCORES = f"""{_SIGNED}, pairs AS (SELECT a.query_id, a.arrival AS a, b.arrival AS b, a.ean_key AS ea, b.ean_key AS eb, a.sku_key AS sa, b.sku_key AS sb,
   (a.qualifiers <> b.qualifiers OR coalesce(a.capacity_gb <> b.capacity_gb, false) OR coalesce(a.screen_inches <> b.screen_inches, false)
     OR (len(a.spec_tokens) > 0 AND len(b.spec_tokens) > 0 AND len(list_intersect(a.spec_tokens, b.spec_tokens)) = 0)
@@ -71,6 +73,39 @@ _SCORES = f"""{_SIGNED}, pairs AS (SELECT a.query_id, a.arrival AS a, b.arrival
   CASE WHEN a.brand_key IS NULL OR b.brand_key IS NULL THEN 0.5::DOUBLE WHEN a.brand_key = b.brand_key THEN 1::DOUBLE ELSE 0::DOUBLE END AS brand {_BOTH} AND {_SHARED}),
 scores AS (SELECT query_id, a, b, CASE WHEN ea = eb THEN 1::DOUBLE WHEN ea <> eb THEN NULL WHEN sa = sb THEN 0.97::DOUBLE WHEN vetoed THEN NULL ELSE 0.60::DOUBLE * model + 0.30::DOUBLE * name + 0.10::DOUBLE * brand END AS score,
   CASE WHEN ea = eb THEN 'ean' WHEN sa = sb THEN 'sku' WHEN model > 0 THEN 'model' ELSE 'name' END AS basis FROM pairs)"""
+
+def _grouped(condition: str) -> str:
+    """Grouping by a plain walk: listings one by one in order of arrival, then cluster pairs one by one in order."""
+    return f"""{_SCORES.replace("WITH ", "WITH RECURSIVE ", 1)}, chosen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY arrival) AS pos FROM signed WHERE {condition}),
+links AS MATERIALIZED (SELECT s.query_id, a.pos AS a, b.pos AS b, score, list_position(['ean', 'sku', 'model', 'name'], basis) - 1 AS k FROM scores s
+  JOIN chosen a ON a.query_id = s.query_id AND a.arrival = s.a JOIN chosen b ON b.query_id = s.query_id AND b.arrival = s.b WHERE score >= 0.55),
+near AS (SELECT query_id, b AS pos, list({{h: a, s: score, k: k}} ORDER BY a) AS l FROM links GROUP BY 1, 2),
+steps AS MATERIALIZED (SELECT query_id, pos, coalesce(l, []) AS l FROM chosen LEFT JOIN near USING (query_id, pos)),
+walk AS (SELECT DISTINCT query_id, 0::BIGINT AS pos, []::BIGINT[] AS heads, []::DOUBLE[] AS means, []::BIGINT[] AS ks FROM chosen
+  UNION ALL SELECT query_id, pos, list_append(heads, coalesce(c.h, pos)), list_append(means, coalesce(-c.m, 1)), list_append(ks, coalesce(c.k, 3)) FROM (
+    SELECT w.query_id, s.pos, heads, means, ks, list_sort(list_filter(list_transform(list_distinct(list_transform(l, lambda e: heads[e.h])), lambda h: {{
+      m: -list_sum(list_transform(list_filter(l, lambda e: heads[e.h] = h), lambda e: e.s)) / len(list_filter(heads, lambda x: x = h)), h: h,
+      k: list_min(list_transform(list_filter(l, lambda e: heads[e.h] = h), lambda e: e.k)), fits: len(list_filter(l, lambda e: heads[e.h] = h)) = len(list_filter(heads, lambda x: x = h))}}), lambda c: c.fits))[1] AS c
+    FROM walk w JOIN steps s ON s.query_id = w.query_id AND s.pos = w.pos + 1)),
+ended AS (SELECT query_id, arg_max(heads, pos) AS heads, arg_max(means, pos) AS means, arg_max(ks, pos) AS ks FROM walk GROUP BY 1),
+assign AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id, h ORDER BY pos) AS place FROM (SELECT query_id, unnest(heads) AS h, unnest(means) AS mean, unnest(ks) AS k, unnest(range(1, len(heads) + 1)) AS pos FROM ended)),
+c AS (SELECT query_id, h, count(*) AS size, least(min(mean), 1) AS confidence, min(k) AS k FROM assign GROUP BY 1, 2),
+across AS (SELECT l.query_id, least(x.h, y.h) AS i, greatest(x.h, y.h) AS j, count(*) AS n, min(score) AS w, min(l.k) AS k FROM links l JOIN assign x ON x.query_id = l.query_id AND x.pos = l.a
+  JOIN assign y ON y.query_id = l.query_id AND y.pos = l.b WHERE x.h != y.h GROUP BY ALL),
+g AS MATERIALIZED (SELECT across.* FROM across JOIN c x ON x.query_id = across.query_id AND x.h = i JOIN c y ON y.query_id = across.query_id AND y.h = j WHERE n = x.size * y.size),
+merge AS (SELECT query_id, 1 AS step, list({{i: i, j: j}} ORDER BY i, j) AS e, []::STRUCT(i BIGINT, j BIGINT)[] AS own FROM g GROUP BY 1
+  UNION ALL SELECT query_id, step + 1, e, CASE WHEN len(list_filter(own, lambda m: m.j = e[step].i OR m.j = e[step].j)) = 0
+    AND len(list_filter(own, lambda m: m.i = e[step].i AND NOT list_contains(e, {{i: least(m.j, e[step].j), j: greatest(m.j, e[step].j)}}))) = 0 THEN list_append(own, e[step]) ELSE own END FROM merge WHERE step <= len(e)),
+went AS (SELECT query_id, m.i AS root, m.j AS h, turn FROM (SELECT query_id, unnest(own) AS m, unnest(range(1, len(own) + 1)) AS turn FROM (SELECT query_id, arg_max(own, step) AS own FROM merge GROUP BY 1))),
+r AS (SELECT c.*, coalesce(root, c.h) AS root, coalesce(turn, 0) AS turn FROM c LEFT JOIN went USING (query_id, h)),
+whole AS (SELECT query_id, root, min(confidence) AS confidence, min(k) AS k FROM (SELECT query_id, root, confidence, k FROM r
+  UNION ALL SELECT g.query_id, x.root, w, g.k FROM g JOIN r x ON x.query_id = g.query_id AND x.h = g.i JOIN r y ON y.query_id = g.query_id AND y.h = g.j AND y.root = x.root) GROUP BY 1, 2),
+placed AS (SELECT ch.*, r.root, row_number() OVER (PARTITION BY ch.query_id, r.root ORDER BY turn, place) AS place FROM chosen ch JOIN assign s USING (query_id, pos) JOIN r ON r.query_id = ch.query_id AND r.h = s.h),
+grouped AS (SELECT p.query_id, min(CASE WHEN pos = p.root THEN arrival END) AS head, arg_min(name, row(strlen(name), place)) AS name, count(DISTINCT source) AS retailer_count, count(*) AS offer_count, min(price_euro) AS cheapest, max(price_euro) AS highest,
+  greatest(max(price_euro) - min(price_euro), 0) AS savings, any_value(confidence) AS confidence, ['ean', 'sku', 'model', 'name'][any_value(k) + 1] AS basis, string_agg(id, ',' ORDER BY price_euro, place) AS members
+  FROM placed p JOIN whole USING (query_id, root) GROUP BY p.query_id, p.root)"""
+
+
 _NUMBER = r"""CASE WHEN regexp_matches(k, '[0-9]') THEN try_cast(CASE WHEN regexp_extract(k, '([.,])[0-9]*$', 1) <> '' AND ((contains(k, '.') AND contains(k, ',')) OR length(regexp_extract(k, '[.,]([0-9]*)$', 1)) <> 3)
   THEN concat(regexp_replace(regexp_replace(k, '[.,][0-9]*$', ''), '[.,]', '', 'g'), '.', coalesce(nullif(regexp_extract(k, '[.,]([0-9]*)$', 1), ''), '0')) ELSE regexp_replace(k, '[.,]', '', 'g') END AS DOUBLE) END"""
 
@@ -117,8 +152,10 @@ gtins AS (SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS gd FROM raws),
 bodies AS (SELECT *, CASE length(gd) WHEN 8 THEN gd WHEN 12 THEN concat('0', gd) WHEN 13 THEN gd WHEN 14 THEN substr(gd, 2) END AS gb FROM gtins),
 held AS (SELECT *, {_GTIN} AS g FROM bodies) SELECT id, any_value(ean) AS ean, max(CASE WHEN k = 'a' THEN g END) AS gtin, max(CASE WHEN k = 'b' THEN g END) AS gtin_other FROM held GROUP BY id""",
     "url_encode": f"{_TITLES} SELECT id, replace(url_encode(name), '%20', '+') AS encoded FROM titles",
-    "blocking_candidates": f"{_SIGNED} SELECT a.query_id, a.arrival AS a, b.arrival AS b {_BOTH} AND {_SHARED}",
+    "blocking_candidates": f"{_SIGNED} SELECT a.query_id, a.arrival AS a, b.arrival AS b {_BOTH} AND {_SHARED} AND {_ALLOWED}",
     "pair_scores": f"{_SCORES} SELECT * FROM scores WHERE score IS NOT NULL",
+    "match_groups": f"{_grouped('true')} SELECT * FROM grouped",
+    "match_groups_multi": f"""{_grouped("kind = 'device'")} SELECT query_id, head, retailer_count, cheapest FROM grouped WHERE retailer_count > 1""",
     "parse_price": f"{_PRICES} SELECT seq, {_NUMBER} AS price_euro FROM (SELECT seq, regexp_replace(raw_price, '[^0-9.,]', '', 'g') AS k FROM prices)",
     "parse_stock": f"{_PRICES} SELECT seq, CASE WHEN trim(s) = '' THEN NULL WHEN regexp_matches(s, '{'|'.join(S.OUT_OF_STOCK)}') THEN false WHEN regexp_matches(s, '{'|'.join(S.IN_STOCK)}') THEN true END AS in_stock FROM (SELECT seq, lower(raw_stock) AS s FROM prices)",
     "absolute_url": f"{_PRICES} SELECT seq, CASE WHEN h LIKE 'http%' THEN h WHEN h LIKE '//%' THEN 'https:' || h WHEN h LIKE '/%' THEN 'https://x.fi' || h ELSE 'https://x.fi/' || h END AS url FROM (SELECT seq, trim(href) AS h FROM prices)",
