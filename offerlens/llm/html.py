@@ -14,9 +14,11 @@ and what has an importance below ``LOW`` is removed from each page with all belo
   on a small host little is removed, and in an article only what many pages repeat.
 * The weight comes from the presentation: entropy can't tell content from a menu or advert that reads differently on every page.
   Tags, roles and class names that stand for navigation, adverts, forms, comments and so on weigh ``NOISE``, which is
-  removed always; a class name that has such a word beside others (``share-price``) weighs ``DOUBTFUL``, so entropy decides; all else 1.
-* If a page has an ``article`` or ``main`` with text that stays, its other branches weigh ``NOISE``. A branch with nearly all of a
-  page's text outside noise is never removed from it.
+  removed always, inline too; a class name that has such a word beside others (``share-price``) weighs ``DOUBTFUL``, so entropy decides; all else 1.
+* Within ``article`` and ``main`` words that name content too (``BOTH_WAYS``) only make a branch doubtful. A doubtful branch goes if half of its text is links.
+* If a page has an ``article`` or ``main`` with text that stays, text outside goes, unless that is more than ``OUTSIDE`` times as long (then the articles
+  are teasers, or the page's story stands beside them). A branch with nearly all of a page's text outside noise is never removed from it.
+* Text of inline elements of noise (an advert in a ``span``, a link to share) is left out of the block around it.
 
 The counts are partial sums by (host, element, variant), so a host with a third of all pages is no large group. The table of
 elements of low entropy is broadcast only if it proves to be small; else it is joined to the pages' elements by shuffle.
@@ -41,17 +43,19 @@ from pyspark.sql import functions as F
 from .common import staged
 
 LOW, PRESENTATION, NEARLY_ALL = 0.2, 0.3, 0.9
-NOISE, DOUBTFUL = 0.1, 0.5
+NOISE, DOUBTFUL, OUTSIDE = 0.1, 0.5, 1.0
 PRIOR, PRIOR_MAIN = 1, 4
 BROADCAST_ROWS = 200_000
 
 COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-MARKUP = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([^>]*+)>)|[!?][^>]*+>)")
+MARKUP = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|)|[\"'])*+)>|([^>]*+)>)|[!?][^>]*+>)")
+#: For the rest of a page after a tag whose quotes swallow all further ``>``: values hold no ``<``, so a scan ends at the next tag.
+BROKEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*)(?:((?:[^<>\"'=]++|=\s*+(?:\"[^\"<]*+\"|'[^'<]*+'|)|[\"'])*+)>|([^>]*+)>)|[!?][^>]*+>)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 TOKEN = re.compile(r"[a-z]+")
 # Elements of HTML by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp template svg math object select button".split())
+RAW = frozenset("script style textarea title noscript iframe xmp template svg select button".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 NOISE_TAGS = frozenset("nav footer aside form menu dialog head".split())
 MAIN_TAGS = frozenset("article main".split())
@@ -61,6 +65,8 @@ NOISE_WORDS = frozenset(
     "topbar toolbar cookie cookies consent notice notification popup modal newsletter subscribe signup login search share sharing social related "
     "recommended comment comments reply replies respond disqus discussion pagination pager copyright legal disclaimer widget skip hidden".split()
 )
+#: Of these, words that name content too: within articles a branch so called is doubtful, and goes without question only if most of its text is links.
+BOTH_WAYS = frozenset("search related recommended discussion copyright legal disclaimer reply replies menu side widget skip notification".split())
 #: Noise outside articles only, where they are the site's own.
 SITE_WORDS = frozenset("header masthead".split())
 #: Words that say nothing beside a noise word in a class name.
@@ -88,32 +94,42 @@ def label(tag: str, attributes: str, in_main: bool) -> tuple[str, float]:
                     parts = TOKEN.findall(one)
                     words += parts
                     if tag not in ("body", "html") and not noise.isdisjoint(parts):
-                        weight = min(weight, NOISE if all(x in noise or x in FILLING for x in parts) else DOUBTFUL)
+                        sure = all(x in noise or x in FILLING for x in parts) and not (in_main and all(x in BOTH_WAYS or x in FILLING for x in parts))
+                        weight = min(weight, NOISE if sure else DOUBTFUL)
         name = f"{tag}.{'.'.join(sorted(words))}"
     return name, weight
 
 
 class Element:
-    """``kids`` and ``text`` are running hashes of the child tags and of the text below."""
+    """``kids`` and ``text`` are running hashes of the child tags and of the text below; ``mute``: an inline element of noise, or within one."""
 
-    __slots__ = ("tag", "path", "parent", "weight", "noise", "main", "kids", "text", "held")
+    __slots__ = ("tag", "path", "parent", "weight", "noise", "main", "mute", "kids", "text", "held", "linked")
 
     def __init__(self, tag: str, path: int, parent: Element | None, weight: float, main: bool):
         self.tag, self.path, self.parent, self.weight, self.main = tag, path, parent, weight, main
         self.noise = parent is not None and parent.noise or weight < LOW
-        self.kids = self.text = self.held = 0
+        self.mute = tag not in BLOCK and parent is not None and (parent.mute or weight < LOW)
+        self.kids = self.text = self.held = self.linked = 0
 
 
 def walk(html: str) -> tuple[list[Element], list[tuple[str, Element]]]:
-    """The elements of a page in the order they begin, and its blocks of text with the element they stand in."""
+    """The elements of a page in the order they begin, and its blocks of text with the element they stand in; text of inline noise is in none."""
     top = Element("", 0, None, 1.0, False)
-    stack, elements, blocks, parts = [top], [], [], []
+    stack, elements, blocks, parts, linked, markup = [top], [], [], [], [0], MARKUP
     open_at: defaultdict[str, list[int]] = defaultdict(list)  # places on the stack by tag; "#" those of blocks, "|" those of barriers
 
+    def add(text: str) -> None:
+        if not stack[-1].mute:
+            parts.append(text)
+            if open_at["a"]:
+                linked[0] += len(text)
+
     def flush() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
+            stack[-1].linked += min(linked[0], len(text))
+            linked[0] = 0
             if text:
                 blocks.append((text, stack[-1]))
                 stack[-1].text = key(f"{stack[-1].text:x}{text}")
@@ -135,9 +151,9 @@ def walk(html: str) -> tuple[list[Element], list[tuple[str, Element]]]:
         return max((open_at[t][-1] for t in tags if open_at[t]), default=0)
 
     at, last_end, unended = 0, html.rfind(">"), set()
-    while (m := MARKUP.search(html, at, last_end + 1)) is not None or (m := COMMENT.search(html, at)) is not None:
+    while (m := markup.search(html, at, last_end + 1)) is not None or (m := COMMENT.search(html, at)) is not None:
         if m.start() > at:
-            parts.append(html[at : m.start()])
+            add(html[at : m.start()])
         at = m.end()
         if m.re is COMMENT:
             continue
@@ -146,13 +162,15 @@ def walk(html: str) -> tuple[list[Element], list[tuple[str, Element]]]:
                 at = COMMENT.match(html, m.start()).end()
             continue
         tag, attributes = m[2].lower(), m[3] if m[3] is not None else m[4]
+        if m[3] is None:
+            markup = BROKEN
         if m[1]:
             i = last(tag)
             if i and (tag in BARRIERS or tag == "html" or i > last("|")):
                 close(i)
             continue
         if tag == "br" or tag in ("td", "th"):
-            parts.append(" ")
+            add(" ")
         if tag in VOID:
             if tag == "hr":
                 flush()
@@ -194,7 +212,7 @@ def walk(html: str) -> tuple[list[Element], list[tuple[str, Element]]]:
             open_at["|"].append(len(stack))
         stack.append(e)
     if at < len(html):
-        parts.append(html[at:])
+        add(html[at:])
     flush()
     close(1)
     return elements, blocks
@@ -223,14 +241,17 @@ def main_text(html: str, entropy: dict[int, float] | None = None) -> str:
     held: defaultdict[int, int] = defaultdict(int)
     for e in reversed(elements):
         e.parent.held += e.held
+        e.parent.linked += e.linked
         held[e.path] += e.held
     gone = set()
     for e in elements:
-        if e.noise or e.parent in gone or e.weight * entropy.get(e.path, 1.0) < LOW and held[e.path] < NEARLY_ALL * whole:
+        links = e.weight < 1 and e.tag in BLOCK and 2 * e.linked >= e.held > 0
+        if e.noise or e.parent in gone or (links or e.weight * entropy.get(e.path, 1.0) < LOW) and held[e.path] < NEARLY_ALL * whole:
             gone.add(e)
-    kept = [(text, e.main) for text, e in blocks if e not in gone]
-    if any(main for _, main in kept):
-        kept = [x for x in kept if x[1]]
+    kept = [(text, e) for text, e in blocks if e not in gone]
+    inside, outside = (sum(len(text) for text, e in kept if e.main is main) for main in (True, False))
+    if inside and outside <= OUTSIDE * inside:
+        kept = [x for x in kept if x[1].main]
     return "\n\n".join(text for text, _ in kept)
 
 
@@ -265,9 +286,12 @@ def extract(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame
     """page_id, url, text and n_chars of every page."""
     low = staged(importance(pages).filter(F.col("entropy") < LOW / DOUBTFUL).select("host", "element", "entropy"), "low-elements")
     slim = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"), host_of(pages).alias("host"))
-    listed = F.collect_list(F.struct("element", "entropy")).alias("low")  # no more than a host's or page's elements
+    listed = F.collect_list(F.struct("element", "entropy")).alias("low")  # no more than a page's elements
+    table: dict[str, dict[int, float]] = {}
     if low.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        given = slim.join(F.broadcast(low.groupBy("host").agg(listed)), "host", "left").select("page_id", "url", "html", "low")
+        for r in low.toLocalIterator():
+            table.setdefault(r.host, {})[r.element] = r.entropy
+        given = slim.select("page_id", "url", "html", F.lit(None).cast("array<struct<element:bigint,entropy:double>>").alias("low"), "host")
     else:
         rows = staged(slim.withColumn("row", F.monotonically_increasing_id()), "page-rows")
 
@@ -277,11 +301,13 @@ def extract(pages: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 3, [pa.int64(), pa.string(), pa.int64()], strict=True)], ["row", "host", "element"])
 
         of_page = rows.select("row", "host", "html").mapInArrow(elements, "row long, host string, element long").join(low, ["host", "element"])
-        given = rows.join(of_page.groupBy("row").agg(listed), "row", "left").select("page_id", "url", "html", "low")
+        given = rows.join(of_page.groupBy("row").agg(listed), "row", "left").select("page_id", "url", "html", "low", "host")
+    hosts = pages.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(html or "", {x["element"]: x["entropy"] for x in low or ()}) for html, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            known = hosts.value
+            texts = [main_text(html or "", known.get(host) or {x["element"]: x["entropy"] for x in low or ()}) for html, low, host in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return given.mapInArrow(run, "page_id long, url string, text string, n_chars long")

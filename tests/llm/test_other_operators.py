@@ -199,6 +199,30 @@ def test_html_main_text():
     assert html.main_text("<p>x" * 3000).count("x") == 3000 and html.main_text("<div>" * 3000 + "deep").endswith("deep")
 
 
+STORY = "The story of a river that nobody crossed for a hundred years, told by those who lived beside it. " * 4
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class=story><p>{STORY}</p></div><div class=teasers><article><h3>Teaser</h3></article></div>", f"{STORY.strip()}\n\nTeaser"), (f"<main><p>Intro.</p></main><div class=story>{STORY}</div>", f"Intro.\n\n{STORY.strip()}"),
+        (f"<article><p>{STORY}</p></article><div>Site name</div>", STORY.strip()), ("<article><p>E is <math><mi>m</mi>c</math> and <object>text</object></p></article>", "E is mc and text"),
+        ('<article><p>A</p><section class="search"><p>How search works, at length.</p></section><section id="discussion"><h2>Discussion</h2><p>We find that.</p></section><p class="related">Related work is rare.</p><div class="disclaimer">It may rain.</div></article>', "A\n\nHow search works, at length.\n\nDiscussion\n\nWe find that.\n\nRelated work is rare.\n\nIt may rain."),
+        (f'<article><p>{STORY}</p><div class="related"><a href=1>One more</a> <a href=2>Another</a></div></article>', STORY.strip()), ('<article><p>A</p><span class="advert">Buy now</span><p>B <a class="share">Share</a>more</p></article>', "A\n\nB more"),
+        ('<span class="cookie-notice">We use <b>cookies</b></span><p>A</p>', "A"), ('<p title="a > b">A <a href=x"y>z</a> b="> c</p>', 'A z b="> c'), ("<a title='>' x=\">\" y>in</a>", "in"),
+    ],
+)
+def test_html_keeps_content_and_leaves_inline_noise(page, text):
+    assert html.main_text(page) == text
+
+
+def test_html_quotes_in_linear_time():
+    for page in ('<a "> y" z ', '<a b="> y" z ', "<a b='> y\" z ", '<p b="x>y'):
+        began = time.monotonic()
+        html.main_text(page * (1_000_000 // len(page)))
+        assert time.monotonic() - began < 20, page
+
+
 def test_html_style_tree_removes_what_repeats(spark):
     page = lambda i: f"<html><body><div class=box><p>Always the same words.</p></div><div class=story><p>Story {i} {'x' * i}</p></div></body></html>"
     pages = spark.createDataFrame([(i, f"https://u@Same.org:8{i}/{i}", page(i)) for i in range(12)] + [(99, "https://other.org/", page(3))], "page_id long, url string, html string")
