@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..folders import shared_dir
-from ..sources import captures, parsers
+from ..sources import captures, jsonld_native, parsers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,6 +102,21 @@ def captured_errors(spark, sf_dir):
     return parsers.errors(captures.Folder(spark, write_captures(spark, sf_dir)))
 
 
+@query
+def jsonld_product(spark, sf_dir):
+    """Scripts of five shapes: one product, a graph beside a broken script, an array with an aggregate offer, no product, and two products."""
+    shapes = (
+        '<p><script type="application/ld+json">{"@type":"Product","name":" <name> ","sku":"<k>","gtin":"g<k>","brand":"<brand>","image":["a<k>"],"url":"/own","offers":{"price":<euros>,"availability":"InStock"}}</script>',
+        '<script type="application/ld+json">{oops</script><script id=x type=application/ld+json >{"@graph":[{"@type":"Organization","name":"shop"},{"@type":["Thing","PRODUCT"],"name":"<name>","mpn":<k>,"offers":[{"price":"1"},{"price":"<euros>","priceSpecification":[{"valueAddedTaxIncluded":true}],"url":"/o<k>"}]}]}</script>',
+        "<SCRIPT TYPE='application/ld+json'>[{\"@type\":\"WebPage\"},[{\"@type\":\"product\",\"name\":\"<name>\",\"brand\":{\"name\":\"<brand>\"},\"image\":{\"contentUrl\":\"c\"},\"offers\":{\"@type\":\"AggregateOffer\",\"lowPrice\":1,\"offers\":[7,{\"price\":<euros>.5},{\"price\":2}]}}]]</script>",
+        '<script type="application/ld+json">{"@type":"Thing","name":"<name>"}</script><script>{"@type":"Product","name":"no"}</script>',
+        '<script type="application/ld+json">[{"@type":"Product","name":"<name>","gtin8":"8<k>","gtin12":true},{"@type":"Product","name":"second"}]</script>',
+    )
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    pages = parts.select("p_partkey", F.element_at(F.array(*map(_filled, shapes)), (KEY % 5).cast("int") + 1).alias("html"))
+    return jsonld_native.products(pages, "p_partkey", "html")
+
+
 _PART = "p_partkey::VARCHAR AS query_id, '{0}' AS source, p_partkey::VARCHAR AS id, trim(p_name) AS name"
 _ROW = "SELECT " + _PART + ", {1} AS price_euro, {2} AS url, {3} AS image_url, {4} AS in_stock, {5} AS ean, {6} AS sku, {7} AS brand"
 _EUROS, _STOCK = "floor(p_retailprice)::DOUBLE", "CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END"
@@ -136,3 +151,7 @@ e AS (SELECT query_id, source, CASE WHEN k % 11 = 0 THEN 'HTTP status 503' WHEN
   UNION ALL SELECT p_partkey::VARCHAR, ['{"', '".join(PAGED)}'][p_partkey % 5 + 1], CASE WHEN p_partkey % 11 = 0 AND p_partkey % 9 <> 0 THEN 'HTTP status 500' END, true FROM part
   UNION ALL SELECT NULL, source, 'broken line: Expecting value: line 2 column 1 (char 17)', false FROM s WHERE k % 19 = 0)
 SELECT query_id, source, error, retryable FROM e WHERE error IS NOT NULL"""
+_FLOOR = "floor(p_retailprice)::BIGINT"
+SQL["jsonld_product"] = f"""SELECT p_partkey, trim(p_name) AS name, CASE m WHEN 0 THEN p_partkey::VARCHAR END AS sku, CASE m WHEN 1 THEN p_partkey::VARCHAR END AS mpn, CASE m WHEN 0 THEN 'g' || p_partkey WHEN 4 THEN '8' || p_partkey END AS gtin,
+  CASE WHEN m IN (0, 2) THEN p_brand END AS brand, CASE m WHEN 0 THEN 'a' || p_partkey WHEN 2 THEN 'c' END AS image, CASE m WHEN 0 THEN '/own' WHEN 1 THEN '/o' || p_partkey END AS url,
+  CASE WHEN m IN (0, 1) THEN {_FLOOR}::VARCHAR WHEN m = 2 THEN {_FLOOR} || '.5' END AS price, CASE m WHEN 0 THEN 'InStock' END AS availability FROM (SELECT *, p_partkey % 5 AS m FROM part) WHERE m != 3"""
