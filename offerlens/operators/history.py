@@ -53,9 +53,10 @@ def products(sightings: DataFrame) -> DataFrame:
     return sightings.groupBy(*KEY).agg(*last, *learned, F.min("recorded_at").alias("first_seen"), F.max("recorded_at").alias("last_seen"))
 
 
-def history_of(history: DataFrame, product_id: str, source: str, limit: int = 30) -> DataFrame:
-    """One product's points, newest first."""
-    return history.filter((F.col("product_id") == product_id) & (F.col("source") == source)).orderBy(F.desc("recorded_at"), F.desc("seq")).limit(limit)
+def history_of(history: DataFrame, product_id: str, source: str, limit: int = 30, oldest_first: bool = False) -> DataFrame:
+    """One product's newest points, newest first; or the same points in the order in which they came."""
+    found = history.filter((F.col("product_id") == product_id) & (F.col("source") == source)).orderBy(F.desc("recorded_at"), F.desc("seq")).limit(limit)
+    return found.orderBy("recorded_at", "seq") if oldest_first else found
 
 
 def newest(history: DataFrame, limit: int) -> DataFrame:
@@ -71,10 +72,13 @@ def spread(points: DataFrame, multi_only: bool = True) -> DataFrame:
     return per.filter("retailer_count > 1") if multi_only else per
 
 
-def first_by_source(listings: DataFrame, limit: int, page_cap: int = 100) -> DataFrame:
-    """The first rows of each source's reply (none for a limit of 0)."""
+def first_by_source(listings: DataFrame, limit: int, page_cap: int = 100, caps: dict[str, int] | None = None) -> DataFrame:
+    """The first rows of each source's reply (none for a limit of 0), no more than its page holds: ``caps`` by source, else ``page_cap``."""
     rank = F.row_number().over(Window.partitionBy("query_id", "source").orderBy("arrival"))
-    return listings.withColumn("_rank", rank).filter(F.col("_rank") <= min(limit, page_cap)).drop("_rank")
+    most = F.lit(min(limit, page_cap))
+    for source, cap in (caps or {}).items():
+        most = F.when(F.col("source") == source, min(limit, cap)).otherwise(most)
+    return listings.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
 
 
 def stats(products_: DataFrame, history: DataFrame, tracked: DataFrame) -> DataFrame:

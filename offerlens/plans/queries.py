@@ -13,6 +13,7 @@ from ..functions import text as T
 from ..operators import alerts as A
 from ..operators import history as H
 from ..operators import matching as M
+from ..operators import trigrams
 from ..operators.filters import Filters, apply_filters, dropped_count
 from ..operators.identity import signature
 from ..operators.ledger import Ledger
@@ -69,6 +70,29 @@ def price_history_of_product(spark, sf_dir):
     return H.history_of(view(spark, sf_dir, "offers"), "7", "src3").select("product_id", "source", "price_euro", "in_stock", "recorded_at", "seq")
 
 
+@query
+def price_history_oldest_first(spark, sf_dir):
+    """The newest 30 points of the product and source with the most, in the order in which they came; ``turn`` is that order."""
+    points = H.changes(view(spark, sf_dir, "sightings"), 50.0)
+    most = points.groupBy(*H.KEY).count().orderBy(F.desc("count"), *H.KEY).first()
+    found = H.history_of(points, most.product_id, most.source, 30, oldest_first=True) if most else points.limit(0)
+    return found.select(*H.KEY, "seq", "price_euro").withColumn("turn", F.row_number().over(Window.orderBy("seq")))
+
+
+@query
+def store_search_postings(spark, sf_dir):
+    """Patterns over the store by postings of trigrams: literal parts, wildcards, an id, and one too short to be looked up."""
+    products = H.products(view(spark, sf_dir, "sightings"))
+    path = shared_dir(spark, "postings")
+    trigrams.write(products, path, 32)
+    rows = spark.read.parquet(path)
+    found = [trigrams.search(products, rows, q, limit=40, buckets=32).select(F.lit(q).alias("query"), "product_id", "source", "name") for q in ("AME 1", "na_e%12", "7", "e 3", "none such")]
+    together = found[0]
+    for f in found[1:]:
+        together = together.unionByName(f)
+    return together
+
+
 @query
 def change_only_history(spark, sf_dir):
     return H.changes(view(spark, sf_dir, "sightings"), 50.0).select("product_id", "source", "seq", "price_euro", "in_stock")

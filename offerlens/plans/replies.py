@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..folders import shared_dir
+from ..functions import catalogue
 from ..sources import captures, jsonld_native, parsers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,6 +103,25 @@ def captured_errors(spark, sf_dir):
     return parsers.errors(captures.Folder(spark, write_captures(spark, sf_dir)))
 
 
+@query
+def page_cards(spark, sf_dir):
+    """Cards of the HTML sources in SQL: a table function beside each page, prices and stock by SQL functions."""
+    catalogue.register(spark)
+    pages = captures.Folder(spark, write_captures(spark, sf_dir)).only(parsers.CARDS, ["search"])
+    return spark.sql(
+        "SELECT p.request_key AS query_id, p.source, c.rank, c.id, c.name, offer_tokens(c.name) AS tokens, offer_price(c.price) AS price_euro, c.url, offer_stock(c.stock) AS in_stock, c.stock_flag, c.sku, c.brand "
+        "FROM {pages} p, LATERAL page_cards(p.source, p.body) c WHERE p.status < 400", pages=pages,
+    ).withColumn("tokens", F.array_join("tokens", " "))
+
+
+@query
+def page_products(spark, sf_dir):
+    """Product pages of the HTML sources in SQL, those of other sources too: what has no product gives no row."""
+    catalogue.register(spark)
+    pages = captures.Folder(spark, write_captures(spark, sf_dir)).only(None, ["product"])
+    return spark.sql("SELECT p.request_key AS query_id, p.source, c.name, offer_fold(c.name) AS folded, offer_price(c.price) AS price_euro, offer_stock(c.stock) AS in_stock, c.availability, c.ean, c.sku, c.brand FROM {pages} p, LATERAL page_product(p.source, p.body) c", pages=pages)
+
+
 @query
 def jsonld_product(spark, sf_dir):
     """Scripts of five shapes: one product, a graph beside a broken script, an array with an aggregate offer, no product, and two products."""
@@ -155,3 +175,10 @@ _FLOOR = "floor(p_retailprice)::BIGINT"
 SQL["jsonld_product"] = f"""SELECT p_partkey, trim(p_name) AS name, CASE m WHEN 0 THEN p_partkey::VARCHAR END AS sku, CASE m WHEN 1 THEN p_partkey::VARCHAR END AS mpn, CASE m WHEN 0 THEN 'g' || p_partkey WHEN 4 THEN '8' || p_partkey END AS gtin,
   CASE WHEN m IN (0, 2) THEN p_brand END AS brand, CASE m WHEN 0 THEN 'a' || p_partkey WHEN 2 THEN 'c' END AS image, CASE m WHEN 0 THEN '/own' WHEN 1 THEN '/o' || p_partkey END AS url,
   CASE WHEN m IN (0, 1) THEN {_FLOOR}::VARCHAR WHEN m = 2 THEN {_FLOOR} || '.5' END AS price, CASE m WHEN 0 THEN 'InStock' END AS availability FROM (SELECT *, p_partkey % 5 AS m FROM part) WHERE m != 3"""
+SQL["page_cards"] = f"""SELECT p_partkey::VARCHAR AS query_id, source, 0::INTEGER AS rank, CASE WHEN source != 'multitronic' THEN p_partkey::VARCHAR END AS id, trim(p_name) AS name, array_to_string(string_split(trim(p_name), ' '), ' ') AS tokens,
+  {_EUROS} + CASE source WHEN 'datatronic' THEN 0.5 WHEN 'multitronic' THEN 0.25 ELSE 0 END AS price_euro, CASE source WHEN 'datatronic' THEN '/p/' || p_partkey WHEN 'multitronic' THEN '/fi/products/' || p_partkey || '/n' ELSE '/n/' || p_partkey END AS url,
+  CASE WHEN source = 'multitronic' THEN {_STOCK} END AS in_stock, CASE WHEN source = 'proshop' THEN CASE p_partkey % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END END AS stock_flag, CASE WHEN source = 'multitronic' THEN 'K' || p_partkey END AS sku,
+  CASE WHEN source = 'multitronic' THEN p_brand END AS brand FROM (SELECT *, {_SEARCH_SOURCE} AS source FROM part) WHERE source IN ('datatronic', 'multitronic', 'proshop') AND {_SOUND}"""
+SQL["page_products"] = f"""SELECT p_partkey::VARCHAR AS query_id, source, trim(p_name) AS name, lower(trim(p_name)) AS folded, {_EUROS} + CASE source WHEN 'datatronic' THEN 0.9 WHEN 'jimms' THEN 0.5 ELSE 0 END AS price_euro,
+  CASE WHEN source = 'datatronic' THEN false END AS in_stock, CASE WHEN source != 'datatronic' THEN 'https://schema.org/InStock' END AS availability, 'g' || p_partkey AS ean, CASE WHEN source = 'datatronic' THEN 's' ELSE 'm' END || p_partkey AS sku,
+  CASE WHEN source != 'datatronic' THEN p_brand END AS brand FROM (SELECT *, ['{"', '".join(PAGED)}'][p_partkey % 5 + 1] AS source FROM part)"""

@@ -118,6 +118,9 @@ SQL = {
     "cheapest_offer_list": f"{_OFFERS}{_LATEST} SELECT product_id, string_agg(source, '>' ORDER BY price_euro, source) AS by_price, min(price_euro) AS cheapest FROM latest GROUP BY 1",
     "price_history_topn": f"{_OFFERS} SELECT product_id, source, price_euro, recorded_at, seq, rank FROM (SELECT *, row_number() OVER (PARTITION BY product_id, source ORDER BY recorded_at DESC, seq DESC) AS rank FROM offers) WHERE rank <= 3",
     "price_history_of_product": f"{_OFFERS} SELECT * FROM offers WHERE product_id = '7' AND source = 'src3' ORDER BY recorded_at DESC, seq DESC LIMIT 30",
+    "store_search_postings": f"{_SIGHTINGS}{_PRODUCTS} " + " UNION ALL ".join(
+        f"(SELECT '{q}' AS query, product_id, source, name FROM products WHERE name ILIKE '%{q}%' OR product_id = '{q}' OR ean = '{q}' OR sku = '{q}' ORDER BY last_seen DESC, product_id, source LIMIT 40)" for q in ("AME 1", "na_e%12", "7", "e 3", "none such")
+    ),
     "change_only_history": f"""{_SIGHTINGS}, folded AS (SELECT product_id, source, list_reduce(list_prepend([NULL::STRUCT(t TIMESTAMP, q BIGINT, p DOUBLE, s BOOLEAN)], list_transform(list({{t: recorded_at, q: seq, p: price_euro, s: in_stock}} ORDER BY recorded_at, seq), lambda x: [x])),
   lambda acc, x: CASE WHEN acc[-1] IS NULL OR abs(x[1].p - acc[-1].p) >= 50.0 OR x[1].s IS DISTINCT FROM acc[-1].s THEN list_concat(acc, x) ELSE acc END) AS kept FROM sightings WHERE price_euro > 0 GROUP BY 1, 2)
 SELECT product_id, source, k.q AS seq, k.p AS price_euro, k.s AS in_stock FROM (SELECT product_id, source, unnest(kept) AS k FROM folded) WHERE k IS NOT NULL""",
@@ -182,3 +185,5 @@ FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 <> 0""",
     "page_titles": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages",
     "refresh_outcome": f"{common('actions', 'offers')}{_LATEST}{_TRACKED} SELECT count(*) AS total, count(price_euro) AS updated, count(*) - count(price_euro) AS errors FROM tracked LEFT JOIN latest USING (product_id, source)",
 }
+SQL["price_history_oldest_first"] = f"""WITH points AS ({SQL["change_only_history"]}), best AS (SELECT product_id, source FROM points GROUP BY 1, 2 ORDER BY count(*) DESC, 1, 2 LIMIT 1),
+newest AS (SELECT * FROM points JOIN best USING (product_id, source) ORDER BY seq DESC LIMIT 30) SELECT product_id, source, seq, price_euro, row_number() OVER (ORDER BY seq)::INTEGER AS turn FROM newest"""

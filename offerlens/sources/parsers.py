@@ -16,7 +16,7 @@ from ..functions import scalars as S
 from . import jsonld
 from .captures import Folder
 from .markup import Node, parse
-from .registry import ORIGIN
+from .registry import ORIGIN, PAGE_CAP, WITHOUT_PAGES
 
 RAW = ("id", "name", "price", "url", "image", "stock", "stock_flag", "availability", "ean", "sku", "brand")
 RAW_SCHEMA = "query_id string, source string, rank int, " + ", ".join(f"{c} string" for c in RAW)
@@ -308,7 +308,7 @@ def search_listings(payloads: DataFrame | Folder, limit: int = 10) -> DataFrame:
     order = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(ORIGIN) for x in (s, i)]), F.col("source"))
     together = verkkokauppa_search(payloads).unionByName(power_search(payloads)).unionByName(jimms_search(payloads)).unionByName(html_search(payloads))
     ranked = together.withColumn("arrival", order.cast("long") * 1_000_000 + F.col("rank")).drop("rank")
-    return first_by_source(ranked, limit)
+    return first_by_source(ranked, limit, caps=PAGE_CAP)
 
 
 def errors(payloads: DataFrame | Folder) -> DataFrame:
@@ -346,7 +346,7 @@ def enrich(listings: DataFrame, pages: DataFrame, budget: int = ENRICH_BUDGET) -
 
     rank = F.row_number().over(Window.partitionBy("query_id", F.col("ean").isNull()).orderBy("arrival"))
     facts = pages.select("source", F.col("id"), *[F.col(c).alias(f"_{c}") for c in ("ean", "sku", "brand")])
-    chosen = listings.withColumn("_due", F.col("ean").isNull() & (rank <= budget))
+    chosen = listings.withColumn("_due", F.col("ean").isNull() & (rank <= budget) & ~F.coalesce(F.col("source").isin(*WITHOUT_PAGES), F.lit(False)))
     joined = chosen.join(facts, ["source", "id"], "left")
     useful = F.col("_due") & (F.col("_ean").isNotNull() | F.col("_sku").isNotNull())
     filled = {c: F.coalesce(F.col(c), F.when(useful, F.col(f"_{c}"))) for c in ("ean", "sku", "brand")}

@@ -17,6 +17,9 @@ ROWS = [
     (6, "gigantti", "gigantti.fi", "www.gigantti.fi", "https://www.gigantti.fi", False, True, False, 0, "html", True, "product pages only"),
 ]
 ORIGIN = {r[1]: r[4] for r in ROWS}
+#: Listings on a page of search results; sources whose product pages can't be looked up.
+PAGE_CAP = {r[1]: r[8] for r in ROWS if r[8] != 100 and r[5]}
+WITHOUT_PAGES = [r[1] for r in ROWS if not r[6]]
 
 
 def sources(spark: SparkSession) -> DataFrame:

@@ -169,3 +169,11 @@ def test_write_and_read_back(spark, tmp_path):
     captures.write(rows, f"file://{tmp_path}/c")
     got = captures.read(spark, f"file://{tmp_path}/c")
     assert sorted((r.source, r.request_key, r.status, r.headers, r.body) for r in got.filter(F.col("error").isNull()).collect()) == [("a/b", "q", None, None, None), ("power", "a b", 200, {"h": "v"}, "{}")]
+
+
+def test_pages_of_listings_hold_so_many(spark):
+    """A limit above a source's page size gives a page; others have theirs."""
+    card = CARDS["multitronic"]
+    replies = payload_rows(spark, ("multitronic", "search", "q", 200, {}, "".join(card.replace("/1/n", f"/{n}/n") for n in range(40))), ("power", "search", "q", 200, {}, json.dumps({"products": [{"productId": n, "title": "T"} for n in range(120)]})))
+    count = lambda limit: {r.source: r["count"] for r in parsers.search_listings(replies, limit).groupBy("source").count().collect()}
+    assert count(200) == {"multitronic": 24, "power": 100} and count(30) == {"multitronic": 24, "power": 30} and count(3) == {"multitronic": 3, "power": 3}
