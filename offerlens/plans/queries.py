@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from ..operators import trigrams
 from ..operators.filters import Filters, apply_filters, dropped_count
 from ..operators.identity import signature
 from ..operators.ledger import Ledger
+from ..operators.stored import Stored
 from ..sources import registry
 from .tables import view
 
@@ -154,6 +156,17 @@ def alerts_report(spark, sf_dir):
     return A.report(A.alerts(view(spark, sf_dir, "actions")), *_known(spark, sf_dir))
 
 
+@query
+def alerts_report_stored(spark, sf_dir):
+    """The same over tables that share their partitioning."""
+    latest = H.latest(view(spark, sf_dir, "offers"))
+    known = latest.select(*H.KEY, F.concat(F.lit("product "), "product_id").alias("name"), F.concat(F.lit("https://example.org/"), "source").alias("url"))
+    store = Stored(spark, shared_dir(spark, "stored"), f"alerts_{uuid.uuid4().hex}", buckets=8)
+    for name, rows in (("actions", view(spark, sf_dir, "actions")), ("products", known), ("latest", latest)):
+        store.write(name, rows)
+    return store.report()
+
+
 @query
 def alerts_triggered(spark, sf_dir):
     return A.report(A.alerts(view(spark, sf_dir, "actions")), *_known(spark, sf_dir)).filter("triggered").select("product_id", "source", "current_price", "target_price")
@@ -236,6 +249,13 @@ def match_groups(spark, sf_dir):
     return g.select("query_id", "head", "name", "retailer_count", "offer_count", "cheapest", "highest", "savings", "confidence", "basis", F.array_join(F.transform("offers", lambda o: o["id"]), ",").alias("members"))
 
 
+@query
+def group_attributes(spark, sf_dir):
+    """The richest attributes of each group's members."""
+    g = M.groups(signed_titles(spark, sf_dir))
+    return g.select("query_id", "head", "attributes.brand", "attributes.screen_inches", "attributes.capacity_gb", F.array_join("attributes.qualifiers", ",").alias("qualifiers"), "attributes.kind")
+
+
 @query
 def match_groups_multi(spark, sf_dir):
     return M.groups(apply_filters(signed_titles(spark, sf_dir), Filters(devices_only=True)), multi_only=True).select("query_id", "head", "retailer_count", "cheapest")

@@ -134,6 +134,7 @@ SELECT product_id, source, k.q AS seq, k.p AS price_euro, k.s AS in_stock FROM (
     "tracked": f"{_ACTIONS}{_TRACKED} SELECT * FROM tracked",
     "alerts": f"{_ACTIONS}{_ALERTS} SELECT * FROM alerts",
     "alerts_report": f"{_REPORT} SELECT * FROM report",
+    "alerts_report_stored": f"{_REPORT} SELECT * FROM report",
     "alerts_triggered": f"{_REPORT} SELECT product_id, source, current_price, target_price FROM report WHERE triggered",
     "tracked_report": f"{common('actions', 'offers')}{_LATEST}{_TRACKED}{_KNOWN} SELECT product_id, source, added_at, name, url, price_euro, in_stock FROM tracked LEFT JOIN known USING (product_id, source)",
     "fold_text": f"{_SIGNED} SELECT id, e AS folded FROM signed",
@@ -158,6 +159,8 @@ held AS (SELECT *, {_GTIN} AS g FROM bodies) SELECT id, any_value(ean) AS ean, m
     "blocking_candidates": f"{_SIGNED} SELECT a.query_id, a.arrival AS a, b.arrival AS b {_BOTH} AND {_SHARED} AND {_ALLOWED}",
     "pair_scores": f"{_SCORES} SELECT * FROM scores WHERE score IS NOT NULL",
     "match_groups": f"{_grouped('true')} SELECT * FROM grouped",
+    "group_attributes": f"""{_grouped("true")}, best AS (SELECT query_id, root, arg_max(pos, row((screen_inches IS NOT NULL)::INT + (capacity_gb IS NOT NULL)::INT + (brand_key IS NOT NULL)::INT, place)) AS pos, min(CASE WHEN pos = root THEN arrival END) AS head FROM placed GROUP BY 1, 2)
+SELECT query_id, head, brand_key AS brand, screen_inches, capacity_gb, array_to_string(qualifiers, ',') AS qualifiers, kind FROM best JOIN placed USING (query_id, root, pos)""",
     "match_groups_multi": f"""{_grouped("kind = 'device'")} SELECT query_id, head, retailer_count, cheapest FROM grouped WHERE retailer_count > 1""",
     "parse_price": f"{_PRICES} SELECT seq, {_NUMBER} AS price_euro FROM (SELECT seq, regexp_replace(raw_price, '[^0-9.,]', '', 'g') AS k FROM prices)",
     "parse_stock": f"{_PRICES} SELECT seq, CASE WHEN trim(s) = '' THEN NULL WHEN regexp_matches(s, '{'|'.join(S.OUT_OF_STOCK)}') THEN false WHEN regexp_matches(s, '{'|'.join(S.IN_STOCK)}') THEN true END AS in_stock FROM (SELECT seq, lower(raw_stock) AS s FROM prices)",
