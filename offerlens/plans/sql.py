@@ -169,7 +169,7 @@ SELECT query_id, head, brand_key AS brand, screen_inches, capacity_gb, array_to_
     "squeeze_text": "SELECT doc_id, trim(regexp_replace(text, '[\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) AS squeezed FROM documents",
     "url_ids": "SELECT page_id, page_id::VARCHAR AS id_verkkokauppa, page_id::VARCHAR AS id_power, 'x' AS id_proshop, nullif(regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/]*[0-9A-Za-z][^/]*)/*$', 1), '') AS id_segment FROM pages",
     "source_resolve": "SELECT s_suppkey, raw, CASE s_suppkey % 6 WHEN 0 THEN 'jimms' WHEN 1 THEN 'power' WHEN 2 THEN 'proshop' WHEN 5 THEN 'gigantti' END AS source FROM (SELECT s_suppkey, [' JIMMS ', 'www.power.fi', 'proshop.fi', 'amazon', '', 'Gigantti'][s_suppkey % 6 + 1] AS raw FROM supplier)",
-    "sources_catalog": "SELECT * FROM (VALUES " + ", ".join(f"({r[0]}, '{r[1]}', '{r[2]}', '{r[3]}', {r[8]}, {str(r[10]).lower()})" for r in ROWS if r[5]) + ") AS t(rank, id, name, domain, page_cap, disallowed)",
+    "sources_catalog": "SELECT t.*, (SELECT count(*) FROM supplier WHERE CASE s_suppkey % 6 WHEN 0 THEN 'jimms' WHEN 1 THEN 'power' WHEN 2 THEN 'proshop' END = t.id) AS suppliers FROM (VALUES " + ", ".join(f"({r[0]}, '{r[1]}', '{r[2]}', '{r[3]}', {r[8]}, {str(r[10]).lower()})" for r in ROWS if r[5]) + ") AS t(rank, id, name, domain, page_cap, disallowed)",
     "fan_out_union": f"{_TITLES} SELECT source, count(*) AS n, sum(arrival)::BIGINT AS arrivals FROM titles GROUP BY 1",
     "per_source_limit": f"{_TITLES} SELECT query_id, source, arrival FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY arrival) AS r FROM titles) WHERE r <= 2",
     "enrich_missing": f"""{_TITLES_EAN}, due AS (SELECT *, ean IS NULL AND row_number() OVER (PARTITION BY query_id, ean IS NULL ORDER BY arrival) <= 12 AS d, arrival % 4 <> 3 AS page FROM listings)

@@ -76,3 +76,10 @@ def test_signature(spark):
     a, b = signature(rows).collect()
     assert (a.sku_key, a.brand_key, a.model_tokens, a.capacity_gb, a.qualifiers) == ("wds100", "wd oy", ["sn850x"], 1000, [])
     assert (b.sku_key, b.brand_key, b.model_tokens, b.screen_inches, b.qualifiers) == (None, "asus", ["4070"], 27, ["heatsink", "super", "ti"])
+
+
+def test_timestamps_of_texts(spark):
+    """What is no time is the epoch, as a stored text that can't be read."""
+    texts = ["2024-05-01T10:00:00Z", "2024-05-01 10:00:00", "yesterday", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.unix_timestamp(S.timestamp(F.col("t"))).alias("s")).collect()
+    assert [r.s for r in got] == [1714557600, 1714557600, 0, 0, 0]
