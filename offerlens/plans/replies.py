@@ -16,7 +16,10 @@ SQL: dict[str, str] = {}
 LISTED = ("query_id", "source", "id", "name", "price_euro", "url", "image_url", "in_stock", "ean", "sku", "brand")
 SEARCHED = ("datatronic", "verkkokauppa", "power", "jimms", "multitronic", "proshop")
 PAGED = ("datatronic", "multitronic", "proshop", "gigantti", "jimms")
-KEY = F.col("p_partkey")
+
+
+def _key() -> Column:
+    return F.col("p_partkey")
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -26,7 +29,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 def _filled(template: str) -> Column:
     """``<k>``, ``<name>``, ``<euros>`` and ``<brand>`` of a template become the part's."""
-    values = {"k": KEY.cast("string"), "name": F.col("p_name"), "euros": F.floor("p_retailprice").cast("string"), "brand": F.col("p_brand")}
+    values = {"k": _key().cast("string"), "name": F.col("p_name"), "euros": F.floor("p_retailprice").cast("string"), "brand": F.col("p_brand")}
     out: Column = F.lit(template)
     for name, value in values.items():
         out = F.replace(out, F.lit(f"<{name}>"), value)
@@ -34,7 +37,7 @@ def _filled(template: str) -> Column:
 
 
 def _stock(yes: str, no: str, unknown: str) -> Column:
-    return F.when(KEY % 3 == 0, yes).when(KEY % 3 == 1, no).otherwise(unknown)
+    return F.when(_key() % 3 == 0, yes).when(_key() % 3 == 1, no).otherwise(unknown)
 
 
 def _search_bodies() -> dict[str, Column]:
@@ -44,7 +47,7 @@ def _search_bodies() -> dict[str, Column]:
         "datatronic": _filled('<article class="product-miniature" data-id-product="<k>"><a href="/p/<k>"><img data-src="//cdn.x/<k>.jpg"></a><h3 class="h3 product-title"><a href="/p/<k>"><name></a></h3><span class="price"><euros>,50 €</span></article><article class="product-miniature" data-id-product="9"><h3 class="product-title"><a href="/x">no price</a></h3></article>'),
         "verkkokauppa": _filled(item),
         "power": _filled('{"products":[{"productId":1,"title":" "},{"productId":<k>,"title":"<name>","price":<euros>,"manufacturerName":"<brand>","eanGtin12":" ","barcode":"b","productManufactorIdentity":"m<k>","webStockMeta":"InStock","productImage":{"basePath":"/m/","variants":[{"filename":"a","width":9},{"filename":"z","width":90}]}}]}'),
-        "jimms": F.replace(_filled('{"IsError":<failed>,"ErrorMessage":"down","Products":[{"ProductID":<k>,"Code":"c<k>","VendorName":"Acme ","Name":"<name>","PriceTax":<euros>,"Uri":"/Product/<k>","ImageID":<k>,"ImageBaseSrc":"https://i/","ItemAvailability":1}]}'), F.lit("<failed>"), F.when(KEY % 7 == 0, "true").otherwise("false")),
+        "jimms": F.replace(_filled('{"IsError":<failed>,"ErrorMessage":"down","Products":[{"ProductID":<k>,"Code":"c<k>","VendorName":"Acme ","Name":"<name>","PriceTax":<euros>,"Uri":"/Product/<k>","ImageID":<k>,"ImageBaseSrc":"https://i/","ItemAvailability":1}]}'), F.lit("<failed>"), F.when(_key() % 7 == 0, "true").otherwise("false")),
         "multitronic": stock('<div class="item_wrapper" data-code="K<k>"><a class="pTitle" href="/fi/products/<k>/n"><b><name></b></a><div class="productDataEntry" data-price="<euros>.25" data-brand="<brand>"></div><div class="product_image"><img src="//cdn.x/<k>.png"></div><div class="product_stock"><span class="greytext"><stock></span></div></div>'),
         "proshop": F.replace(_filled('<ul><li class="site-productlist-item"><a class="site-product-link" href="/n/<k>"></a><h2 product-display-name><name></h2><span class="site-currency-lg"><euros> €</span><input name="productId" value="<k>"><span class="<icon>"></span><img src="/i/<k>.png"></li></ul>'), F.lit("<icon>"), _stock("site-icon-stock-in", "site-icon-stock-out", "none")),
     }
@@ -63,7 +66,7 @@ def _product_bodies() -> dict[str, Column]:
 
 def _kinds(of: dict[str, Column], sources: tuple[str, ...]) -> tuple[Column, Column]:
     """Source and body of a part: sources take turns."""
-    turn = (KEY % len(sources)).cast("int")
+    turn = (_key() % len(sources)).cast("int")
     body = F.lit(None).cast("string")
     for n, s in enumerate(sources):
         body = F.when(turn == n, of[s]).otherwise(body)
@@ -74,14 +77,14 @@ def write_captures(spark: SparkSession, sf_dir: str) -> str:
     """A folder of captures made from ``part``: every eleventh reply failed, some bodies are broken or of another shape, and some lines are cut off."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     source, body = _kinds(_search_bodies(), SEARCHED)
-    body = F.when(KEY % 13 == 0, "oops").when(KEY % 17 == 0, '{"data":"oops","products":{},"Products":7}').otherwise(body)
+    body = F.when(_key() % 13 == 0, "oops").when(_key() % 17 == 0, '{"data":"oops","products":{},"Products":7}').otherwise(body)
     page_source, page = _kinds(_product_bodies(), PAGED)
-    stock = F.format_string('[{"pid":%d,"status":{"schema":"%s"}}]', KEY, F.when(KEY % 4 == 1, "instock").otherwise("OutOfStock"))
-    reply = lambda s, kind, status, b: F.struct(s.alias("source"), F.lit(kind).alias("kind"), KEY.cast("string").alias("request_key"), status.cast("int").alias("status"), b.alias("body"))
-    failed = lambda code: F.when(KEY % 11 == 0, code).otherwise(200)
-    replies = F.array(reply(source, "search", failed(503), body), reply(page_source, "product", F.when(KEY % 9 == 0, 404).otherwise(failed(500)), page))
-    replies = F.when(KEY % 12 == 1, F.array_append(replies, reply(F.lit("verkkokauppa"), "availability", F.lit(200), stock))).otherwise(replies)
-    lines = parts.select(F.explode(replies).alias("r"), (KEY % 19 == 0).alias("cut")).select("r.source", "r.kind", "cut", F.to_json(F.struct("r.request_key", "r.status", "r.body")).alias("value"))
+    stock = F.format_string('[{"pid":%d,"status":{"schema":"%s"}}]', _key(), F.when(_key() % 4 == 1, "instock").otherwise("OutOfStock"))
+    reply = lambda s, kind, status, b: F.struct(s.alias("source"), F.lit(kind).alias("kind"), _key().cast("string").alias("request_key"), status.cast("int").alias("status"), b.alias("body"))
+    failed = lambda code: F.when(_key() % 11 == 0, code).otherwise(200)
+    replies = F.array(reply(source, "search", failed(503), body), reply(page_source, "product", F.when(_key() % 9 == 0, 404).otherwise(failed(500)), page))
+    replies = F.when(_key() % 12 == 1, F.array_append(replies, reply(F.lit("verkkokauppa"), "availability", F.lit(200), stock))).otherwise(replies)
+    lines = parts.select(F.explode(replies).alias("r"), (_key() % 19 == 0).alias("cut")).select("r.source", "r.kind", "cut", F.to_json(F.struct("r.request_key", "r.status", "r.body")).alias("value"))
     cut = lines.filter("cut AND kind = 'search'").select("source", "kind", F.lit('{"request_key": ').alias("value"))
     path = shared_dir(spark, "captures")
     lines.select("source", "kind", "value").unionByName(cut).write.partitionBy("source", "kind").text(path)
@@ -133,7 +136,7 @@ def jsonld_product(spark, sf_dir):
         '<script type="application/ld+json">[{"@type":"Product","name":"<name>","gtin8":"8<k>","gtin12":true},{"@type":"Product","name":"second"}]</script>',
     )
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
-    pages = parts.select("p_partkey", F.element_at(F.array(*map(_filled, shapes)), (KEY % 5).cast("int") + 1).alias("html"))
+    pages = parts.select("p_partkey", F.element_at(F.array(*map(_filled, shapes)), (_key() % 5).cast("int") + 1).alias("html"))
     return jsonld_native.products(pages, "p_partkey", "html")
 
 
