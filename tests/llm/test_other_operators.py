@@ -216,6 +216,90 @@ def test_html_keeps_content_and_leaves_inline_noise(page, text):
     assert html.main_text(page) == text
 
 
+def plain_texts(hosts):
+    """The main texts of hosts of pages, given as trees (tag, class, children or text), from the rules as they are stated."""
+    noise, doubtful = {"ad", "related"}, {"share-line"}
+
+    def walk(node, path=(), main=False, bad=False):
+        tag, cls, below = node
+        name = f"{tag}.{'.'.join(sorted(cls.split('-')))}" if cls else tag
+        bad = bad or cls in noise and not (main and cls == "related")
+        weight = 0.5 if cls in doubtful or cls in noise else 1.0
+        main = main or tag == "article"
+        kids = [walk(k, (*path, name), main, bad) for k in below] if isinstance(below, list) else []
+        text = tuple(k["text"] for k in kids if k["text"]) if isinstance(below, list) else (below,)
+        return {"path": (*path, name), "name": name, "bad": bad, "weight": weight, "main": main, "kids": kids, "text": text, "own": None if isinstance(below, list) else below}
+
+    def flat(node):
+        yield node
+        for k in node["kids"]:
+            yield from flat(k)
+
+    out = []
+    for pages in hosts:
+        trees = [[walk(n) for n in p] for p in pages]
+        every = [[x for n in t for x in flat(n)] for t in trees]
+        seen, shown = {}, defaultdict(lambda: ([], []))
+        mains = {x["path"]: x["main"] for xs in every for x in xs}
+        for xs in every:  # a page counts once for each element and variant
+            name = tuple(x["own"] for x in xs if x["own"] and not x["bad"])
+            for path in dict.fromkeys(x["path"] for x in xs if not x["bad"]):
+                of = [x for x in xs if x["path"] == path and not x["bad"]]
+                variant = (tuple(tuple(k["name"] for k in x["kids"]) for x in of), tuple(x["text"] for x in of))
+                if seen.setdefault((name, path, variant), len(seen)) == len(seen) - 1 and (name, path, variant) not in shown:
+                    for where, v in zip(shown[path], variant, strict=True):
+                        where.append(v)
+                    shown[(name, path, variant)] = ([], [])
+        share = lambda some: 1.0 if len(some) <= 1 else 1 - sum(n * math.log(n) for n in Counter(some).values()) / (len(some) * math.log(len(some)))
+        entropy = {}
+        for path, (looks, reads) in shown.items():
+            if looks:
+                prior, n = html.PRIOR_MAIN if mains[path] else html.PRIOR, len(looks)
+                entropy[path] = (prior + n * (0.3 * share(looks) + 0.7 * share(reads))) / (prior + n)
+        for tree, xs in zip(trees, every, strict=True):
+            size = lambda x: 0 if x["bad"] and x["own"] else len(x["own"]) if x["own"] else sum(map(size, x["kids"]))
+            whole, held = sum(map(size, tree)), Counter()
+            for x in xs:
+                held[x["path"]] += size(x)
+
+            def kept(x):
+                if x["bad"] or x["weight"] * min(entropy.get(x["path"], 1.0), 1.0) < html.LOW and held[x["path"]] < 0.9 * whole:
+                    return []
+                return [(x["own"], x["main"])] if x["own"] else [t for k in x["kids"] for t in kept(k)]
+
+            texts = [t for x in tree for t in kept(x)]
+            inside, outside = (sum(len(t) for t, main in texts if main is side) for side in (True, False))
+            out.append("\n\n".join(t for t, main in texts if main or not inside or outside > inside))
+    return out
+
+
+def test_html_text_by_plain_rules(spark):
+    """Random hosts whose pages share menus, notices and phrases: all of the text against the rules, entropy included."""
+    import random
+
+    draw = random.Random(11)
+    phrases = ["always the same words", "a line that comes back", "more"]
+
+    def node(depth, page):
+        cls = draw.choice(["", "", "", "x", "y", "ad", "related", "share-line"])
+        if depth > 2 or draw.random() < 0.4:
+            return ("p", cls, draw.choice([*phrases, f"story {page} {draw.randrange(50)}", f"page {page} tells {'so ' * draw.randrange(9)}much"]))
+        return (draw.choice(["div", "section", "article"]) if depth == 0 else "div", cls, [node(depth + 1, page) for _ in range(draw.randrange(1, 4))])
+
+    def markup(n):
+        tag, cls, below = n
+        return f"<{tag}{f' class={cls}' if cls else ''}>{''.join(map(markup, below)) if isinstance(below, list) else below}</{tag}>"
+
+    frame = [node(0, "same") for _ in range(2)]
+    hosts = [[[*frame, *(node(0, n) for _ in range(draw.randrange(1, 4)))] for n in range(size)] for size in (90, 25, 3)]
+    rows = [(len(hosts[0]) * 10 * h + n, f"http://h{h}.org/{n}", "".join(map(markup, p))) for h, pages in enumerate(hosts) for n, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = dict(zip([r[0] for r in rows], plain_texts(hosts), strict=True))
+    assert got == want
+    without = {r[0]: html.main_text(r[2]) for r in rows}
+    assert sum(without[k] != got[k] for k in got) > 10  # entropy decides
+
+
 def test_html_quotes_in_linear_time():
     for page in ('<a "> y" z ', '<a b="> y" z ', "<a b='> y\" z ", '<p b="x>y'):
         began = time.monotonic()
