@@ -87,8 +87,7 @@ def nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 def products(pages: DataFrame, key: str, html: str) -> DataFrame:
     """``key`` and the fields of the first product node of each page that has one; price and availability as text."""
-    first = nodes(pages, key, html).groupBy(key).agg(F.min("place").alias("place"))
-    found = nodes(pages, key, html).join(first, [key, "place"])
+    found = nodes(pages, key, html).groupBy(key).agg(F.min_by("node", "place").alias("node"))
     v = F.col("node")
     rows = found.select(key, v, _chosen(_at(v, "$.offers")).alias("offer"))
     for _ in range(OFFER_DEPTH - 1):  # an aggregate's own offers
