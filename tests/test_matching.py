@@ -148,3 +148,46 @@ def test_a_component_of_ten_thousand(spark):
 def test_components_change_nothing(spark, signed):
     key = lambda d: sorted((r.query_id, r.arrival, r.head, r.place, r.confidence, r.basis) for r in d.collect())
     assert key(M.clusters(signed, 0.3)) == key(M.clusters(signed, 0.3, links_at_once=0))
+
+
+@pytest.fixture(scope="module")
+def sharing(signed):
+    """Pairs of a query that share an EAN, a SKU or a model token, by plain loops."""
+    rows = signed.select("query_id", "arrival", "ean_key", "sku_key", "model_tokens").collect()
+    same = lambda x, y: x is not None and x == y
+    met = lambda x, y: x.query_id == y.query_id and (same(x.ean_key, y.ean_key) or same(x.sku_key, y.sku_key) or set(x.model_tokens) & set(y.model_tokens))
+    return sorted((x.query_id, x.arrival, y.arrival) for x in rows for y in rows if x.arrival < y.arrival and met(x, y))
+
+
+@pytest.mark.parametrize("hot, at_once", [(M.HOT, M.AT_ONCE), (M.HOT, 0), (7, 0), (7, 61)])
+def test_blocking_forbids_nothing(signed, sharing, all_pairs, hot, at_once):
+    """All that share a key, those that the score rules out too; each once. The two queries have 62 listings each."""
+    assert sorted(tuple(r) for r in M.blocked(signed, hot, at_once).collect()) == sharing
+    assert len(set(sharing)) == len(sharing) and not set(sharing) <= set(all_pairs)
+
+
+@pytest.mark.parametrize("threshold", [0.01, 0.1, 0.11, 0.25, 0.4, 0.41, 0.55])
+def test_no_pair_is_lost_by_keys(signed, all_pairs, threshold):
+    """Queries too large to be held side by side give the same pairs and scores."""
+    for hot in (7, M.HOT):
+        found = M.scored_pairs(signed, threshold, hot, at_once=0).collect()
+        got = {(r.query_id, r.a, r.b): (r.score, r.basis) for r in found}
+        assert len(got) == len(found) and got.items() <= all_pairs.items()
+        assert {k: v for k, v in got.items() if v[0] >= threshold} == {k: v for k, v in all_pairs.items() if v[0] >= threshold}
+
+
+def test_both_ways_meet_the_same(signed):
+    """Above 0.40 keys and conditions say the same of every pair."""
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    assert key(M.candidates(signed)) == key(M.candidates(signed, at_once=0)) == key(M.candidates(signed, hot=7, at_once=61))
+
+
+def plan_of(spark, df):
+    return spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+
+
+def test_a_listing_is_not_shuffled_by_key(spark, signed):
+    """Small queries have no rows by key; of large ones the rows by key carry no names."""
+    assert "Generate explode" not in plan_of(spark, M.scored_pairs(signed))
+    keyed = [line for line in plan_of(spark, M._pairs_by_keys(signed, M.THRESHOLD, M.HOT)).splitlines() if "Generate explode" in line or "AS x#" in line]
+    assert keyed and not any("name_tokens, name_tokens" in line for line in keyed)
