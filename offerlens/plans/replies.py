@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..folders import shared_dir
+from ..folders import shared_dir, spread
 from ..functions import catalogue
 from ..sources import captures, jsonld_native, parsers
 
@@ -75,7 +75,7 @@ def _kinds(of: dict[str, Column], sources: tuple[str, ...]) -> tuple[Column, Col
 
 def write_captures(spark: SparkSession, sf_dir: str) -> str:
     """A folder of captures made from ``part``: every eleventh reply failed, some bodies are broken or of another shape, and some lines are cut off."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    parts = spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
     source, body = _kinds(_search_bodies(), SEARCHED)
     body = F.when(_key() % 13 == 0, "oops").when(_key() % 17 == 0, '{"data":"oops","products":{},"Products":7}').otherwise(body)
     page_source, page = _kinds(_product_bodies(), PAGED)
@@ -135,7 +135,7 @@ def jsonld_product(spark, sf_dir):
         '<script type="application/ld+json">{"@type":"Thing","name":"<name>"}</script><script>{"@type":"Product","name":"no"}</script>',
         '<script type="application/ld+json">[{"@type":"Product","name":"<name>","gtin8":"8<k>","gtin12":true},{"@type":"Product","name":"second"}]</script>',
     )
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    parts = spread(spark.read.parquet(f"{sf_dir}/part.parquet"), "p_partkey")
     pages = parts.select("p_partkey", F.element_at(F.array(*map(_filled, shapes)), (_key() % 5).cast("int") + 1).alias("html"))
     return jsonld_native.products(pages, "p_partkey", "html")
 
