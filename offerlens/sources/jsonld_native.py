@@ -1,6 +1,6 @@
 """The schema.org product of a page's JSON-LD by VARIANT: no Python row on the executors.
 
-Scripts are taken by a pattern, parsed by ``try_parse_json`` and walked level by level: arrays and the ``@graph`` of objects that are no product are exploded,
+Scripts are taken by a pattern, parsed by ``try_parse_json`` and walked level by level, each written as it is found so that none is read twice: arrays and the ``@graph`` of objects that are no product are exploded,
 until none is left; the first product in the order of the page wins. Fields and offers are then read by native expressions. It gives
 what ``jsonld.find`` gives, but for offers that lie deeper than ``OFFER_DEPTH`` below one another, and lists within lists of brands, images or offers.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..folders import written
 from .jsonld import FIELDS, GTIN_KEYS
 
 SCRIPT = r"""(?is)<script\b(?=[^>]*\btype\s*=\s*(?:"application/ld\+json"|'application/ld\+json'|application/ld\+json[\s>]))[^>]*>(.*?)(?:</script\b[^>]*>|\z)"""
@@ -74,15 +75,15 @@ def nodes(pages: DataFrame, key: str, html: str) -> DataFrame:
     level = scripts.select(key, F.array("n").alias("place"), F.try_parse_json("script").alias("v"))
     found = None
     while True:
-        product = _is_product(F.col("v"))
-        done = level.filter(product).select(key, "place", F.col("v").alias("node"))
+        level = level.withColumn("kind", _kind(F.col("v"))).filter("kind IN ('ARRAY', 'OBJECT')")
+        level = written(level.withColumn("product", (F.col("kind") == "OBJECT") & _is_product(F.col("v"))), "nodes")
+        done = level.filter("product").select(key, "place", F.col("v").alias("node"))
         found = done if found is None else found.unionByName(done)
-        inner = F.when(_kind(F.col("v")) == "ARRAY", F.col("v")).when(_kind(F.col("v")) == "OBJECT", _at(F.col("v"), '$["@graph"]'))
-        deeper = level.filter(~product).select(key, "place", inner.alias("v")).filter("v IS NOT NULL")
-        level = deeper.select(key, "place", F.posexplode(_items(F.col("v"))).alias("n", "v")).select(key, F.concat("place", F.array("n")).alias("place"), "v")
-        level = level.filter(_kind(F.col("v")).isin("ARRAY", "OBJECT"))
-        if level.isEmpty():
+        inner = F.when(F.col("kind") == "ARRAY", F.col("v")).otherwise(_at(F.col("v"), '$["@graph"]'))
+        deeper = level.filter("NOT product").select(key, "place", inner.alias("v")).filter("v IS NOT NULL")
+        if deeper.isEmpty():
             return found
+        level = deeper.select(key, "place", F.posexplode(_items(F.col("v"))).alias("n", "v")).select(key, F.concat("place", F.array("n")).alias("place"), "v")
 
 
 def products(pages: DataFrame, key: str, html: str) -> DataFrame:

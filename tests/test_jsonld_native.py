@@ -62,3 +62,11 @@ def test_random_documents(spark):
 def test_no_python_in_the_plan(spark):
     plan = spark._jvm.PythonSQLUtils.explainString(N.products(spark.createDataFrame([(1, script({"@type": "Product"}))], "page long, html string").withColumn("html", F.col("html")), "page", "html")._jdf.queryExecution(), "formatted")
     assert not any(x in plan for x in ("EvalPython", "InArrow", "InPandas"))
+
+
+def test_a_level_is_read_once(spark):
+    """Levels below one another are written: the plan neither takes scripts by the pattern nor parses a second time."""
+    deep = script({"@graph": [{"@graph": [[{"@type": "Product", "name": "N"}]]}]})
+    found = N.nodes(spark.createDataFrame([(1, deep)], "page long, html string"), "page", "html")
+    plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert "Generate" not in plan and "try_parse_json" not in plan.lower() and [r.page for r in found.collect()] == [1]
