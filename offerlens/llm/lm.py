@@ -101,26 +101,40 @@ def start(counts: np.ndarray, seed: int = 1) -> Weights:
 BITS_PER_E, BITS_OF_ONE = float(np.float32(2**23 / np.log(2))), float(127 << 23)
 
 
-def exponents(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+def scaled(w: np.ndarray) -> np.ndarray:
+    """Output weights as ``exponents`` takes them: with these the logits are the bits of the result."""
+    if w.dtype == np.float64:  # as tests have it
+        return w
+    w = w * np.float32(BITS_PER_E)
+    w[..., -1, :] += np.float32(BITS_OF_ONE)
+    return w
+
+
+def surely_within(x: np.ndarray, w: np.ndarray) -> bool:
+    """Whether no logit of ``x @ w`` can come near the cuts, by the product of the longest row and column and the largest bias."""
+    row = (np.square(x) @ np.ones(x.shape[1], x.dtype)).max(initial=0)
+    column = np.square(w[..., :-1, :]).sum(axis=-2).max()
+    return bool(np.sqrt(float(row) * float(column)) + float(np.abs(w[..., -1, :]).max()) < 59)
+
+
+def exponents(x: np.ndarray, w: np.ndarray, within: bool) -> np.ndarray:
     """exp(x @ w), taken linear between powers of two in single precision: the logits, scaled and shifted, are the bits of the result.
 
     Any positive function gives a distribution once it is divided by its sum, and this one saves most of the time. ``x`` has a last
-    column of ones, for the bias in the last row of ``w``; logits are cut at -80 and 60.
+    column of ones, for the bias in the last row of ``w``, which is ``scaled``; logits are cut at -80 and 60, unless they are known to lie ``within``.
     """
-    if x.dtype == np.float64:  # as tests have it
+    if x.dtype == np.float64:
         return np.exp(np.clip(x @ w, -80, 60))
-    w = w * np.float32(BITS_PER_E)
-    w[-1] += np.float32(BITS_OF_ONE)
     bits = x @ w
     low, high = BITS_OF_ONE - 80 * BITS_PER_E, BITS_OF_ONE + 60 * BITS_PER_E
-    if bits.min(initial=high) < low or bits.max(initial=low) > high:
+    if not within and (bits.min(initial=high) < low or bits.max(initial=low) > high):
         np.clip(bits, np.float32(low), np.float32(high), out=bits)
     return bits.astype(np.int32).view(np.float32)
 
 
 def forward(p: Weights, inputs: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
     """States (steps, lanes, width) over a window, and what backpropagation needs; ``keep`` is 0 where a text begins."""
-    gates, values, peep, trail = np.negative(p["gate"])[inputs], p["value"][inputs], -p["peep"], []
+    gates, values, peep, trail = np.negative(p["gate"]).take(inputs, axis=0), p["value"].take(inputs, axis=0), -p["peep"], []
     states = np.empty_like(values)
     begins = (keep == 0).any(axis=1)
     for t in range(len(inputs)):
@@ -159,7 +173,8 @@ def backward(p: Weights, inputs: np.ndarray, keep: np.ndarray, trail: list, gs:
     ids = inputs.ravel()
     order = np.argsort(ids.astype(np.uint16), kind="stable")
     first = np.nonzero(np.concatenate(([True], np.diff(ids[order]) != 0)))[0]
-    sums = np.add.reduceat(both.reshape(len(ids), -1)[order], first)
+    pairs = both.reshape(len(ids), -1).take(order, axis=0).view(np.result_type(gs.dtype, np.complex64))  # half as many columns to sum
+    sums = np.add.reduceat(pairs, first).view(gs.dtype)
     out = {"gate": np.zeros_like(p["gate"]), "value": np.zeros_like(p["value"]), "peep": gp}
     out["gate"][ids[order][first]], out["value"][ids[order][first]] = sums[:, :WIDTH], sums[:, WIDTH:]
     return out
@@ -168,41 +183,47 @@ def backward(p: Weights, inputs: np.ndarray, keep: np.ndarray, trail: list, gs:
 def log_probabilities(p: Weights, states: np.ndarray, targets: np.ndarray, back: bool = False):
     """log P of targets (n) after states (n, width); with ``back`` also the gradients of their negative sum."""
     order = np.argsort((targets // IN_CLASS).astype(np.uint8), kind="stable")
-    target = targets[order]
+    target = targets.take(order)
     x = np.ones((len(order), WIDTH + 1), states.dtype)
-    x[:, :-1] = states[order]
+    x[:, :-1] = states.take(order, axis=0)
     of_class, place = target // IN_CLASS, target % IN_CLASS
-    row, part = np.arange(4096), 4096  # so many rows of logits stay in the cache
+    part = 4096  # so many rows of logits stay in the cache
+    starts = [np.arange(part) * n for n in (CLASSES, IN_CLASS)]  # of rows in flat logits
+    ones = [np.ones(n, x.dtype) for n in (CLASSES, IN_CLASS)]
     chosen, total = np.empty((2, len(x)), x.dtype), np.empty((2, len(x)), x.dtype)
     if back:
         grads = {k: np.zeros_like(p[k]) for k in ("wc", "ww")}
-        gx = np.empty_like(x)
+        gx = np.zeros_like(x)
 
-    def softmax(level: int, a: int, z: int, w: np.ndarray, at: np.ndarray, gw: np.ndarray | None) -> None:
-        e = exponents(x[a:z], w)
-        total[level, a:z] = e @ np.ones(e.shape[1], e.dtype)
-        chosen[level, a:z] = e[row[: z - a], at]
+    def softmax(level: int, a: int, z: int, w: np.ndarray, ready: np.ndarray, within: bool, at: np.ndarray, gw: np.ndarray | None) -> None:
+        e = exponents(x[a:z], ready, within)
+        e.dot(ones[level], out=total[level, a:z])
+        flat, cell = e.reshape(-1), starts[level][: z - a] + at
+        picked = flat.take(cell, out=chosen[level, a:z])
         if back:  # (e - total at the place) / total is the gradient of the logits; the division comes last, where rows are short
-            e[row[: z - a], at] -= total[level, a:z]
+            flat[cell] = picked - total[level, a:z]
             over = (1 / total[level, a:z])[:, None]
             gw += (e.T @ (x[a:z] * over)).T
-            gx[a:z] = e @ w.T * over + (gx[a:z] if level else 0)
+            to_x = e @ w.T
+            to_x *= over
+            gx[a:z] += to_x
 
+    of_classes, ready, within = scaled(p["wc"]), scaled(p["ww"]), [surely_within(x, p[k]) for k in ("wc", "ww")]
     for a in range(0, len(x), part):
         z = min(a + part, len(x))
-        softmax(0, a, z, p["wc"], of_class[a:z], grads["wc"] if back else None)
-    edges = np.searchsorted(of_class, np.arange(CLASSES + 1))
+        softmax(0, a, z, p["wc"], of_classes, within[0], of_class[a:z], grads["wc"] if back else None)
+    edges = np.searchsorted(of_class, np.arange(CLASSES + 1)).tolist()
     for c in range(CLASSES):
         for a in range(edges[c], edges[c + 1], part):
             z = min(a + part, edges[c + 1])
-            softmax(1, a, z, p["ww"][c], place[a:z], grads["ww"][c] if back else None)
+            softmax(1, a, z, p["ww"][c], ready[c], within[1], place[a:z], grads["ww"][c] if back else None)
     out = np.empty(len(x), np.float32)
     out[order] = np.log(chosen / total).sum(axis=0)
     if not back:
         return out
-    gs = np.empty((len(x), WIDTH), x.dtype)
-    gs[order] = gx[:, :-1]
-    return out, gs, grads
+    given = np.empty_like(order)
+    given[order] = np.arange(len(order))
+    return out, gx.take(given, axis=0)[:, :-1], grads
 
 
 def windows(texts: list[np.ndarray], lanes: int = LANES, steps: int = STEPS, cells: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
@@ -245,12 +266,12 @@ def windows(texts: list[np.ndarray], lanes: int = LANES, steps: int = STEPS, cel
 def score_block(p: Weights, texts: list[np.ndarray]) -> np.ndarray:
     """The natural log-likelihood of each whole text's entries."""
     scores, state = np.zeros(len(texts)), np.zeros((LANES, WIDTH), np.float32)
-    for inputs, targets, keep, text in windows(texts, cells=LANES * STEPS):
+    for inputs, targets, keep, text in windows(texts, cells=4 * LANES * STEPS):  # long ones, so that each class has many rows
         states, _ = forward(p, inputs, keep, state[: inputs.shape[1]])
         state = states[-1]
-        inside = text.ravel() >= 0
-        logp = log_probabilities(p, states.reshape(-1, WIDTH)[inside], targets.ravel()[inside])
-        scores += np.bincount(text.ravel()[inside], logp, len(texts))
+        inside = np.flatnonzero(text >= 0)
+        logp = log_probabilities(p, states.reshape(-1, WIDTH).take(inside, axis=0), targets.take(inside))
+        scores += np.bincount(text.take(inside), logp, len(texts))
     return scores
 
 
@@ -261,20 +282,26 @@ def train_block(p: Weights, seen: Weights, texts: list[np.ndarray]) -> int:
     for inputs, targets, keep, text in windows(texts):
         states, trail = forward(p, inputs, keep, state[: inputs.shape[1]])
         state = states[-1]
-        inside = text.ravel() >= 0
-        n = int(inside.sum())
-        _, gs, grads = log_probabilities(p, states.reshape(-1, WIDTH)[inside], targets.ravel()[inside], back=True)
-        full = np.zeros((inputs.size, WIDTH), np.float32)
-        full[inside] = gs
-        grads |= backward(p, inputs, keep, trail, full.reshape(states.shape))
-        for g in grads.values():
-            g /= n
-        norm = float(np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in grads.values())))
-        scale = np.float32(min(1.0, CLIP / (norm + 1e-9)))
+        inside = np.flatnonzero(text >= 0)
+        n, flat = len(inside), states.reshape(-1, WIDTH)
+        if n == text.size:
+            _, gs, grads = log_probabilities(p, flat, targets.ravel(), back=True)
+        else:
+            _, some, grads = log_probabilities(p, flat.take(inside, axis=0), targets.take(inside), back=True)
+            gs = np.zeros_like(flat)
+            gs[inside] = some
+        grads |= backward(p, inputs, keep, trail, gs.reshape(states.shape))
+        norm = float(np.sqrt(sum(float(g.ravel() @ g.ravel()) for g in grads.values()))) / n
+        scale = np.float32(min(1.0, CLIP / (norm + 1e-9)) / n)
         for name, g in grads.items():
             g *= scale
-            seen[name] += g * g
-            p[name] -= np.float32(RATE) * g / (np.sqrt(seen[name]) + np.float32(1e-6))
+            step = g * g
+            seen[name] += step
+            np.sqrt(seen[name], out=step)
+            step += np.float32(1e-6)
+            np.divide(g, step, out=step)
+            step *= np.float32(RATE)
+            p[name] -= step
         tokens += n
     return tokens
 
@@ -309,6 +336,16 @@ def blocked(batches: Iterator[pa.RecordBatch], column: int, block: int) -> Itera
         yield from (t.columns for t in pa.Table.from_batches(held).combine_chunks().to_batches())
 
 
+def numbers_of(packed: pa.Array) -> np.ndarray:
+    """The 32-bit numbers that all of the packed binaries hold, in order, read in place."""
+    packed = packed.cast(pa.large_binary())
+    _, offsets, data = packed.buffers()
+    if not len(packed) or data is None:
+        return np.empty(0, "<u4")
+    ends = np.frombuffer(offsets, np.int64)[packed.offset : packed.offset + len(packed) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view("<u4")
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over all of ``docs``; the end has the null word."""
 
@@ -359,14 +396,15 @@ def entries(counts: DataFrame) -> Entries:
     return Entries(top_words, np.log10(np.array([r["n"] for r in top], np.float64) + 1), entry, at[OWN : OWN + SHAPES], share, by_rank, int(at[-1]), int(total[0]), int(total[1]))
 
 
-PARTS = "word binary, block long, docs binary, times binary, n int, doc_id long, ids binary, n_tokens long, n_known long, logs double, inner double"
+#: ``docs`` holds a text's number in the block and the word's occurrences there, text by text.
+PARTS = "word binary, block long, docs binary, n int, doc_id long, ids binary, n_tokens long, n_known long, logs double, inner double"
 
 
 def encoded(docs: DataFrame, of: Entries) -> DataFrame:
     """Each text as entries, and a row for each block's word that isn't among the known ones; written once."""
     given = docs.sparkSession.sparkContext.broadcast(of)
     names = [c.split()[0] for c in PARTS.split(", ")]
-    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def batch(rows: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.nulls(rows, k) if c not in columns else columns[c] if isinstance(columns[c], pa.Array) else pa.array(columns[c], k) for c, k in zip(names, kinds, strict=True)], names)
@@ -401,9 +439,9 @@ def encoded(docs: DataFrame, of: Entries) -> DataFrame:
             for a in range(0, len(distinct), 50_000):
                 z = min(a + 50_000, len(distinct))
                 lo, hi = edge[a], edge[z]
-                cut = pa.array(((edge[a : z + 1] - lo) * 4).astype(np.int32))
-                packed = [pa.Array.from_buffers(pa.binary(), z - a, [None, cut.buffers()[1], pa.py_buffer(x[lo:hi].astype("<u4").tobytes())]) for x in (doc, times)]
-                yield batch(z - a, word=distinct.slice(a, z - a).cast(pa.binary()), block=np.full(z - a, number), docs=packed[0], times=packed[1])
+                cut = pa.array(((edge[a : z + 1] - lo) * 8).astype(np.int32))
+                packed = np.stack((doc[lo:hi], times[lo:hi]), axis=1).astype("<u4").tobytes()
+                yield batch(z - a, word=distinct.slice(a, z - a).cast(pa.binary()), block=np.full(z - a, number), docs=pa.Array.from_buffers(pa.binary(), z - a, [None, cut.buffers()[1], pa.py_buffer(packed)]))
             number += 1
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
@@ -488,9 +526,9 @@ def score(parts: DataFrame, of: Entries, weights: Weights, counts: DataFrame) ->
             return pa.RecordBatch.from_arrays([pa.array(block[cut]), *(pa.array(x, pa.binary()) for x in packed)], ["block", "docs", "rare_logs", "rare_known"])
 
         for b in batches:
-            count = b.column(3).to_numpy().astype(np.float64)
-            docs_, times = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").astype(np.int64) for i in (1, 2))
-            length = pc.binary_length(b.column(1)).to_numpy() // 4
+            count = b.column(2).to_numpy().astype(np.float64)
+            docs_, times = numbers_of(b.column(1)).astype(np.int64).reshape(-1, 2).T
+            length = pc.binary_length(b.column(1)).to_numpy() // 8
             held.append((np.repeat(b.column(0).to_numpy(), length), docs_, np.repeat(np.log10(count + 1), length) * times, np.repeat(count > 0, length) * times))
             size += len(docs_)
             if size > 2_000_000:
@@ -528,7 +566,7 @@ def score(parts: DataFrame, of: Entries, weights: Weights, counts: DataFrame) ->
             yield out()
 
     rare = parts.filter("word IS NOT NULL").join(counts.filter("word IS NOT NULL").withColumnRenamed("n", "c"), "word", "left")
-    rare = rare.select("block", "docs", "times", F.coalesce("c", F.lit(0)).alias("c")).mapInArrow(sums, "block long, docs binary, rare_logs binary, rare_known binary")
+    rare = rare.select("block", "docs", F.coalesce("c", F.lit(0)).alias("c")).mapInArrow(sums, "block long, docs binary, rare_logs binary, rare_known binary")
     plain = parts.filter("word IS NULL").select(*(c.split()[0] for c in plain_kind.split(", ")[:-1]), "ids").mapInArrow(run, plain_kind)
     own = plain_kind.split(", ")[1:]
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)

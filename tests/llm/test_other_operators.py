@@ -464,6 +464,58 @@ def test_model_is_a_distribution(width_of_logits):
     assert np.abs(got - exact).max() < 0.25  # exponentials are linear between powers of two
 
 
+def test_scoring_reads_many_rows_at_a_time(monkeypatch):
+    draw, rows = np.random.default_rng(3), []
+    plain = lm.exponents
+    monkeypatch.setattr(lm, "exponents", lambda x, *more: rows.append(len(x)) or plain(x, *more))
+    texts = [np.append(draw.integers(8, SIZE, 300), 7).astype(np.uint16) for _ in range(700)]
+    lm.score_block(lm.start(np.ones(SIZE, np.int64)), texts)
+    assert sum(rows) == 2 * 700 * 301 and len(rows) < 700  # windows of 16,384 tokens took over 1,000 products
+
+
+@pytest.mark.parametrize("size", [0.1, 1.0, 4.0, 30.0])
+def test_logits_that_surely_lie_within_need_no_cut(size):
+    draw = np.random.default_rng(5)
+    x, w = (draw.standard_normal(s).astype(np.float32) * np.float32(size) for s in ((50, lm.WIDTH + 1), (3, lm.WIDTH + 1, 20)))
+    x[:, -1] = 1
+    logits = np.abs(x @ w).max()
+    assert lm.surely_within(x, w) == {0.1: True, 1.0: True}.get(size, False) and (logits < 59 or not lm.surely_within(x, w))
+    w[1, 2, 3] = np.nan
+    assert not lm.surely_within(x, w)
+    if size == 1.0:
+        assert (lm.exponents(x, lm.scaled(w[0]), True) == lm.exponents(x, lm.scaled(w[0]), False)).all()
+
+
+def test_packed_numbers():
+    packed = pa.array([np.array(x, "<u4").tobytes() for x in ([9], [1, 2], [], [3, 1 << 31])], pa.binary())
+    assert lm.numbers_of(packed.slice(1)).tolist() == [1, 2, 3, 1 << 31] and lm.numbers_of(packed.slice(4)).tolist() == lm.numbers_of(pa.array([], pa.binary())).tolist() == []
+
+
+def test_training_by_a_plain_step():
+    """Windows that are full and such that are not, against Adagrad written out in double precision."""
+    draw, counts = np.random.default_rng(6), np.arange(SIZE)[::-1]
+    texts = [np.append(draw.integers(8, SIZE, n), 7).astype(np.uint16) for n in (31, 31, 80, 3)]
+    p = lm.start(counts)
+    seen = {k: np.full_like(v, 1e-4) for k, v in p.items()}
+    q, total = ({k: v.astype(np.float64) for k, v in x.items()} for x in (p, seen))
+    assert lm.train_block(p, seen, texts) == sum(map(len, texts))
+    state, tokens = np.zeros((lm.LANES, lm.WIDTH)), 0
+    for inputs, targets, keep, text in lm.windows(texts):
+        states, trail = lm.forward(q, inputs, keep, state[: inputs.shape[1]])
+        state, inside = states[-1], text.ravel() >= 0
+        tokens += inside.sum()
+        _, some, grads = lm.log_probabilities(q, states.reshape(-1, lm.WIDTH)[inside], targets.ravel()[inside], back=True)
+        gs = np.zeros((inputs.size, lm.WIDTH))
+        gs[inside] = some
+        grads |= lm.backward(q, inputs, keep, trail, gs.reshape(states.shape))
+        norm = np.sqrt(sum((g**2).sum() for g in grads.values())) / inside.sum()
+        for k, g in grads.items():
+            g = g / inside.sum() * min(1, lm.CLIP / (norm + 1e-9))
+            total[k] += g**2
+            q[k] -= lm.RATE * g / (np.sqrt(total[k]) + 1e-6)
+    assert tokens == sum(map(len, texts)) and all(np.abs(p[k] - q[k]).max() < 0.02 for k in p)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from(" \t\n\x0b\x0c\r\x1c\x85\xa0\u3000AaÄé.9"), max_size=20)), max_size=5))
 def test_words_of_texts(texts):
